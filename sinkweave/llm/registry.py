@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinkweave.llm import decontaminate, sharding
+from sinkweave.llm import decontaminate, sharding, simhash
 from sinkweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH iw AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
@@ -44,7 +48,7 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
