@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinkweave.llm import decontaminate, sharding, simhash
+from sinkweave.llm import bpe, decontaminate, sharding, simhash, toxicity
 from sinkweave.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH iw AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
@@ -48,7 +56,7 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
