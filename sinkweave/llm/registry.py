@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinkweave.llm import bpe, decontaminate, sharding, simhash, toxicity
+from sinkweave.llm import bpe, decontaminate, licenses, quality, sharding, simhash, toxicity
 from sinkweave.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op8_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op6_licenses, op7_quality, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
