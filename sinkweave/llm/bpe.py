@@ -302,7 +302,7 @@ def digest(docs: DataFrame, vocabulary: str | None = None, n_words: int = LEXICO
                 packed = own.encode(text)
                 again = own.decode(packed).encode("utf-8", "surrogatepass")
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(again).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
 
     made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")("text")
     return docs.select("doc_id", made.alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

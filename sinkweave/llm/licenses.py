@@ -194,7 +194,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates, phrases)
         for texts in batches:
-            out = pd.DataFrame([scanner.scan(t) for t in texts], columns=names)
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+            yield pd.DataFrame([scanner.scan(t) for t in texts], columns=names, dtype=object)
 
     return docs.select("doc_id", F.pandas_udf(run, schema)("text").alias("r")).select("doc_id", "r.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinkweave.llm import bpe, decontaminate, licenses, quality, sharding, simhash, toxicity
+from sinkweave.llm import bpe, decontaminate, licenses, pages, quality, sharding, simhash, toxicity, urls
 from sinkweave.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = r"""
 WITH iw AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
@@ -64,7 +72,7 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op6_licenses, op7_quality, op8_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op5_html, op6_licenses, op7_quality, op8_bpe, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
