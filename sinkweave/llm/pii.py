@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import cut, let
+from sinkweave.llm.common import cut
 
 KEY = "sinkweave"
 #: Up to so many drawn-again entities in documents are broadcast (their rows are under 1 KB); beyond, Spark shuffles.
@@ -73,6 +73,7 @@ def _draw(key: str, *parts: Column) -> Column:
 
 
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_HEX, _UPPER_HEX = ("0123456789abcdef",), ("0123456789ABCDEF",)
 
 
 def _shape(text: Column, sets) -> Column:
@@ -80,7 +81,7 @@ def _shape(text: Column, sets) -> Column:
     return F.translate(text, "".join(sets), "".join(str(k) * len(letters) for k, letters in enumerate(sets)))
 
 
-def _pass(text: Column, key: str, kind: str, sets, forward: bool) -> Column:
+def _pass(text: Column, key: str, kind: Column, sets, forward: bool) -> Column:
     """Moves each character within its set by what stands before it (or, backward, after it). One
     pass can be undone from its first (last) character on, so it is one-to-one on each shape."""
     shape = _shape(text, sets)
@@ -88,7 +89,7 @@ def _pass(text: Column, key: str, kind: str, sets, forward: bool) -> Column:
     def moved(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
         said = F.substring(text, F.lit(1), i - 1) if forward else F.substring(text, i + 1, F.length(text))
-        by = _draw(key, F.lit(f"{kind}{int(forward)}"), shape, i.cast("string"), said)
+        by = _draw(key, kind, F.lit(str(int(forward))), shape, i.cast("string"), said)
         out = None
         for letters in sets:
             at = F.instr(F.lit(letters), c)
@@ -99,16 +100,6 @@ def _pass(text: Column, key: str, kind: str, sets, forward: bool) -> Column:
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), moved), "")).otherwise(F.lit(""))
 
 
-def _permuted(text: Column, key: str, kind: str, sets=_SETS) -> Column:
-    """The letters and digits of a text permuted within their sets; all else stays in place."""
-    return let(_pass(text, key, kind, sets, True), lambda t: _pass(t, key, kind, sets, False))
-
-
-def _hex_permuted(text: Column, key: str) -> Column:
-    lower, upper = ("0123456789abcdef",), ("0123456789ABCDEF",)
-    return F.when(text.rlike("^[0-9a-f]+$"), _permuted(text, key, "hex", lower)).otherwise(_permuted(text, key, "HEX", upper))
-
-
 def _luhn(text: Column, shift: int) -> Column:
     """Sum of the Luhn values of a text's digits; shift 1: its last digit is the one before the check digit."""
     digits = F.reverse(F.regexp_replace(text, "[^0-9]", ""))
@@ -120,14 +111,6 @@ def _luhn(text: Column, shift: int) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, b: a + b)
 
 
-def _number(text: Column, key: str) -> Column:
-    """All digits but the last permuted; the last keeps the Luhn remainder."""
-    body, last = F.substring(text, F.lit(1), F.length(text) - 1), F.substring(text, F.length(text), F.lit(1)).cast("int")
-    return let(_permuted(body, key, "number"), lambda new: F.concat(
-        new, F.pmod(last + _luhn(body, 1) - _luhn(new, 1), F.lit(10)).cast("string"),
-    ))
-
-
 def _ip(text: Column, key: str) -> Column:
     """The address as two 16-bit halves that move by each other in turn."""
     octet = [F.element_at(F.split(text, r"\."), k).cast("int") for k in (1, 2, 3, 4)]
@@ -157,83 +140,96 @@ def _name(text: Column, attempt: Column, key: str) -> Column:
         is_it = (gender == g) & (cyrillic == F.lit(s == "cyrillic"))
         picked = _picked(names, F.shiftright(drawn, 1))
         given = F.when(is_it, picked) if given is None else given.when(is_it, picked)
-    # a family keeps its surrogate with every given name, until a clash draws it again
-    again = F.when(F.size(rest) > 1, (attempt / 4).cast("int")).otherwise(attempt)
-    number = _draw(key, F.lit("family"), family, again.cast("string"))
+    # a family keeps its surrogate with every given name; one drawn again after a clash has a longer
+    # one of its own, and a longer one still with every further draw
+    number = F.when(attempt == 0, _draw(key, F.lit("family"), family)).otherwise(_draw(key, F.lit("again"), text, attempt.cast("string")))
 
     def built(s: str) -> Column:
-        parts, n = [], len(SYLLABLES[s])
-        for k in range(4):
-            parts.append(_picked(SYLLABLES[s], (number / n**k).cast("long")))
-        # the first draws have three syllables, later ones four
-        return F.initcap(F.concat(*parts[:3], F.when(again > 0, parts[3]).otherwise("")))
+        n = len(SYLLABLES[s])
+        parts = [_picked(SYLLABLES[s], (number / n**k).cast("long")) for k in range(9)]
+        return F.initcap(F.concat(*parts[:3], *[F.when(attempt > (k - 3) // 2, parts[k]).otherwise("") for k in range(3, 9)]))
 
     whole = F.when(cyrillic, built("cyrillic")).otherwise(built("latin"))
     return F.concat_ws(" ", title, F.when(F.size(rest) > 1, given), whole)
 
 
-def surrogate(entity: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of one entity; ``attempt`` counts how often it was drawn again."""
-    kind = kind_of(entity)
-    local, domain, top = (F.regexp_extract(entity, r"^(.*)@(.*)(\.[A-Za-z]+)$", k) for k in (1, 2, 3))
-    lead = F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?=[ .(-]))?(.*)$", 1)
-    fixed = F.regexp_extract(entity, r"^(AKIA|gh[pousr]_|sk-)?(.*)$", 1)
-
-    def after(prefix: Column) -> Column:
-        return F.substring(entity, F.length(prefix) + 1, F.length(entity))
-
-    return (
-        F.when(kind == "email", F.concat(_permuted(local, key, "local"), F.lit("@"), _permuted(domain, key, "domain"), top))
-        .when(kind == "secret", F.when(fixed == "", _hex_permuted(entity, key)).otherwise(F.concat(fixed, _permuted(after(fixed), key, "secret"))))
-        .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _permuted(after(F.lit("XX")), key, "iban")))
-        .when(kind == "phone", F.concat(lead, _permuted(after(lead), key, "phone")))
-        .when(kind == "ip", _ip(entity, key))
-        .when(kind == "ssn", _permuted(entity, key, "ssn"))
-        .when(kind == "number", _number(entity, key))
-        .otherwise(_name(entity, attempt, key))
+def with_surrogates(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """Adds ``kind`` and ``s``, the replacement, to rows of ``entity`` and ``attempt`` (how often it
+    was drawn again). Every step is a column of its own, so no expression is nested deeply."""
+    e, kind = F.col("entity"), F.col("kind")
+    none = F.lit("")
+    hexes = e.rlike("^[0-9a-f]{32,}$") | e.rlike("^[0-9A-F]{32,}$")
+    email = r"^(.*)@(.*)(\.[A-Za-z]+)$"
+    rows = rows.withColumn("kind", kind_of(e)).withColumn("_sets", F.when((kind == "secret") & hexes, F.when(e.rlike("[a-f]"), "hex").when(e.rlike("[A-F]"), "HEX").otherwise("hex")).otherwise("all"))
+    # front, first permuted part, middle, second permuted part, end
+    front = F.when(kind == "phone", F.regexp_extract(e, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)).when((kind == "secret") & ~hexes, F.regexp_extract(e, r"^(AKIA|gh[pousr]_|sk-)?", 0)).when(kind == "iban", F.substring(e, 1, 2)).otherwise(none)
+    rows = rows.withColumn("_front", front)
+    one = (
+        F.when(kind == "email", F.regexp_extract(e, email, 1))
+        .when(kind == "number", F.substring(e, F.lit(1), F.length(e) - 1))
+        .when(kind.isin("phone", "secret", "iban", "ssn"), F.substring(e, F.length("_front") + 1, F.length(e)))
+        .otherwise(none)
     )
+    rows = rows.withColumn("_one", one).withColumn("_two", F.when(kind == "email", F.regexp_extract(e, email, 2)).otherwise(none))
+    for name, tag in (("_one", kind), ("_two", F.lit("domain"))):
+        for forward in (True, False):
+            passed = None
+            for which, sets in (("hex", _HEX), ("HEX", _UPPER_HEX), ("all", _SETS)):
+                moved = _pass(F.col(name + ("" if forward else "1")), key, tag, sets, forward)
+                passed = F.when(F.col("_sets") == which, moved) if passed is None else passed.when(F.col("_sets") == which, moved)
+            rows = rows.withColumn(name + ("1" if forward else "2"), passed)
+    check = F.pmod(F.substring(e, F.length(e), F.lit(1)).cast("int") + _luhn(F.col("_one"), 1) - _luhn(F.col("_one2"), 1), F.lit(10)).cast("string")
+    rows = rows.withColumn(
+        "s",
+        F.when(kind == "email", F.concat("_one2", F.lit("@"), "_two2", F.regexp_extract(e, email, 3)))
+        .when(kind == "ip", _ip(e, key))
+        .when(kind == "number", F.concat("_one2", check))
+        .when(kind == "name", _name(e, F.col("attempt"), key))
+        .otherwise(F.concat("_front", "_one2")),
+    )
+    return rows.drop("_sets", "_front", "_one", "_one1", "_one2", "_two", "_two1", "_two2")
 
 
-def clashes(docs: DataFrame, key: str = KEY, most: int = 200) -> DataFrame:
-    """(entity, attempt) of all entities of the corpus that must be drawn again so that no two
+def clashes(found: DataFrame, key: str = KEY, most: int = 200) -> DataFrame:
+    """``found(entity)`` -> (entity, attempt) of those that must be drawn again so that no two
     entities share a surrogate. Distinct entities only, folded on the map side first."""
-    found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
-    now = cut(found.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(0), key).alias("s")), "pii-entities")
+    now = cut(with_surrogates(found.select("entity").distinct().withColumn("attempt", F.lit(0)), key).select("entity", "attempt", "s"), "pii-entities")
     same = Window.partitionBy("s").orderBy("attempt", "entity")
     for _ in range(most):
         ranked = now.withColumn("nth", F.row_number().over(same))
         again = cut(ranked.filter("nth > 1").select("entity", (F.col("attempt") + 1).alias("attempt")), "pii-again")
         if again.isEmpty():
             return now.filter("attempt > 0").select("entity", "attempt")
-        drawn = again.withColumn("s", surrogate(F.col("entity"), F.col("attempt"), key))
-        now = cut(now.join(again.select("entity"), "entity", "left_anti").select("entity", "attempt", "s").unionByName(drawn), "pii-entities")
+        drawn = with_surrogates(again, key).select("entity", "attempt", "s")
+        now = cut(now.join(again.select("entity"), "entity", "left_anti").unionByName(drawn), "pii-entities")
     raise RuntimeError(f"surrogates still clash after {most} draws")
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and two columns more: ``pii_entities`` (long) and
-    ``pii_kinds`` (distinct, sorted, comma-joined)."""
+    ``pii_kinds`` (distinct, sorted, comma-joined).
+
+    Only entities and their places are shuffled to be replaced; a document's come back as one array."""
     if not key:
         raise ValueError("a key is needed")
-    again = clashes(docs, key)
-    mine = "_pii_id", "_pii_text", "_pii_again"
-    base = docs
-    if again.isEmpty():
-        drawn = F.create_map().cast("map<string,int>")
-    else:
-        held = docs.select(F.col("doc_id").alias(mine[0]), F.xxhash64("text").alias(mine[1]), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity"))
-        maps = cut(held.join(again, "entity").distinct().groupBy(*mine[:2]).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(mine[2])), "pii-documents")
-        side = F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps
-        base = docs.join(side, F.col("doc_id").eqNullSafe(F.col(mine[0])) & (F.xxhash64("text") == F.col(mine[1])), "left")
-        drawn = F.col(mine[2])
-
-    def rewritten(found: Column) -> Column:
-        new = F.transform(found, lambda e: surrogate(e, F.coalesce(F.element_at(drawn, e), F.lit(0)), key))
-        return F.array_join(F.zip_with(F.split("text", ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-
-    out = base.withColumn("_pii_found", F.coalesce(entities(F.col("text")), F.array().cast("array<string>")))
-    return out.select(
-        *[F.when(F.size("_pii_found") > 0, rewritten(F.col("_pii_found"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_pii_found").cast("long").alias("pii_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_pii_found", kind_of))), ",").alias("pii_kinds"),
+    found = docs.select(F.col("doc_id").alias("_pii_id"), F.xxhash64("text").alias("_pii_text"), F.posexplode(entities(F.col("text"))).alias("at", "entity"))
+    found = cut(found.distinct(), "pii-found")  # of repeated rows once
+    again = clashes(found, key)
+    drawn = found.join(_bounded(again), "entity", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    made = (
+        with_surrogates(drawn, key).groupBy("_pii_id", "_pii_text")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("_pii_new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("pii_kinds"))
+    )
+    made = made.withColumnRenamed("_pii_id", "_pii_id2").withColumnRenamed("_pii_text", "_pii_text2")
+    base = docs.join(made, F.col("doc_id").eqNullSafe(F.col("_pii_id2")) & (F.xxhash64("text") == F.col("_pii_text2")), "left")
+    new = F.array_join(F.zip_with(F.split("text", ANY, -1), "_pii_new", lambda part, x: F.concat(part, F.coalesce(x["s"], F.lit("")))), "")
+    text = F.when(F.col("_pii_new").isNull(), F.col("text")).otherwise(new)
+    return base.select(
+        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
+        F.coalesce(F.size("_pii_new").cast("long"), F.lit(0)).cast("long").alias("pii_entities"),
+        F.coalesce("pii_kinds", F.lit("")).alias("pii_kinds"),
     )

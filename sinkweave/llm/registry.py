@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sinkweave.llm import bpe, decontaminate, licenses, pages, quality, sharding, simhash, toxicity, urls
+import corpus_pipeline
+from sinkweave.llm import bpe, decontaminate, licenses, pages, pii, quality, sharding, simhash, toxicity, urls
 from sinkweave.llm.common import table
 
 
@@ -42,6 +44,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("pii_entities").alias("n_entities"), F.col("pii_kinds").alias("kinds"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -72,7 +79,11 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op5_html, op6_licenses, op7_quality, op8_bpe, op10_urls)}
+    ops = (
+        op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op5_html,
+        op6_licenses, op7_quality, op8_bpe, op9_pii, op10_urls,
+    )
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

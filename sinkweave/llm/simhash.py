@@ -130,6 +130,12 @@ def _looked_up(many: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest reachable doc_id)."""
+    prints, labels = _labelled(docs)
+    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
     prints = cut(with_fingerprint(docs), "simhash-fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comps = connected_components(links(classes.select("fp")))
@@ -138,14 +144,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     labelled = cut(named.join(least, "component").select("fp", "component_id"), "simhash-components")
     alone = classes.join(labelled.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    labels = labelled.unionByName(alone)
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints, labelled.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id; repeated rows of it
     are one document and fold into one row. Rows whose group has no id stay as one row."""
-    groups = near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("_keep"))
+    prints, labels = _labelled(docs)
+    groups = labels.select(F.col("component_id").alias("_keep")).distinct()
     kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
     return kept.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth").select(*docs.columns)
