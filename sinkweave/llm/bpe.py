@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -27,12 +28,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sinkweave.llm.common import cut
+
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 65_536
 #: Words that a worker remembers with their ids, beside the lexicon.
 CACHE_WORDS = 300_000
 #: From this many bytes on, merges use a heap, so that one endless word stays n log n.
 LONG_WORD = 48
+_NEVER = 1 << 40
+#: The tokenizer's pattern for texts of ASCII and Latin-1 letters, where these classes are the same.
+_BEYOND_LATIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,11 +67,13 @@ class Merges:
         self.start = [0] * 256
         for c, b in letter.items():
             self.start[b] = ids[c]
-        #: (left id, right id) as one number -> (rank, merged id)
-        self.rule: dict[int, tuple[int, int]] = {}
+        #: (left id, right id) as one number -> rank, and rank -> merged id
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rule[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
+            self.rank[ids[a] << 32 | ids[b]] = rank
+            self.made.append(ids[a + b])
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -81,45 +90,43 @@ class Merges:
         ids = [self.start[b] for b in word.encode("utf-8", "surrogatepass")]
         if len(ids) >= LONG_WORD:
             return self._merge_long(ids)
-        rule = self.rule
-        while len(ids) > 1:
-            best = min((x for a, b in zip(ids, ids[1:]) if (x := rule.get(a << 32 | b))), default=None)
-            if best is None:
+        rank, made = self.rank.get, self.made
+        ranks = [rank(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
-            out, k, last = [], 0, len(ids) - 1
-            while k <= last:
-                if k < last and rule.get(ids[k] << 32 | ids[k + 1]) == best:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+            k = ranks.index(best)  # lowest rank first, then leftmost
+            ids[k] = new = made[best]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank(ids[k - 1] << 32 | new, _NEVER)
+            if k < len(ranks):
+                ranks[k] = rank(new << 32 | ids[k + 1], _NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same, with a heap of pairs over a linked list: lowest rank first, then leftmost."""
-        rule, n = self.rule, len(ids)
+        rank, made, n = self.rank.get, self.made, len(ids)
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(x[0], k, ids[k], ids[k + 1], x[1]) for k in range(n - 1) if (x := rule.get(ids[k] << 32 | ids[k + 1]))]
+        heap = [(x, k, ids[k], ids[k + 1]) for k in range(n - 1) if (x := rank(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, merged = heapq.heappop(heap)
+            best, k, a, b = heapq.heappop(heap)
             right = nxt[k]
             if ids[k] != a or right < 0 or ids[right] != b:
                 continue
-            ids[k], ids[right] = merged, -1
+            ids[k], ids[right] = made[best], -1
             nxt[k] = nxt[right]
             if nxt[k] >= 0:
                 prv[nxt[k]] = k
             for left in (prv[k], k):
-                if left >= 0 and nxt[left] >= 0 and (x := rule.get(ids[left] << 32 | ids[nxt[left]])):
-                    heapq.heappush(heap, (x[0], left, ids[left], ids[nxt[left]], x[1]))
+                if left >= 0 and nxt[left] >= 0 and (x := rank(ids[left] << 32 | ids[nxt[left]])) is not None:
+                    heapq.heappush(heap, (x, left, ids[left], ids[nxt[left]]))
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
-        table = self.bytes_of
-        return b"".join([table[k] for k in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
@@ -231,7 +238,8 @@ class Encoder:
             if special:
                 out.append(struct.pack("<I", self.merges.special[piece]))
             else:
-                out += [get(w) or packed(w) for w in self.merges.split.findall(piece)]
+                split = self.merges.split if _BEYOND_LATIN.search(piece) else _LATIN_SPLIT
+                out += [get(w) or packed(w) for w in split.findall(piece)]
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
@@ -251,11 +259,20 @@ def encoder(vocabulary: str, data: bytes | None) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The n most frequent words of all documents, each with the space before it, as the
+    """The most frequent words of all documents, n at most, each with the space before it, as the
     tokenizer's pattern cuts them. Counted on the map side first."""
     pieces = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r" ?\p{L}+"), F.lit(0))).alias("w"))
-    counted = pieces.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and length(w) <= 40")
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(n).collect()]
+    counted = cut(pieces.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and length(w) <= 40"), "bpe-words")
+    # a histogram of logarithms gives the count from which on n words remain, so that no task sends
+    # the driver more than is kept
+    step = F.floor(F.log2("n") * 64)
+    left, least = n, None
+    for row in counted.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("k")).collect():
+        left -= row["m"]
+        if left < 0:
+            break
+        least = row["k"]
+    return [] if least is None else [r["w"] for r in counted.filter(step >= least).select("w").orderBy("w").collect()]
 
 
 def build(docs: DataFrame, vocabulary: str, n_words: int = LEXICON_WORDS) -> bytes | None:
