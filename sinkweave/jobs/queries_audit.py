@@ -1,2 +1,182 @@
+"""Queries over triage, verification and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sinkweave.jobs import queries_index, queries_structure
+from sinkweave.jobs.bindings import bind, with_bindings
+from sinkweave.operators import rules, triage, verify
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None, **more: str):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = with_bindings(sql, **more)
+        return f
+
+    return keep
+
+
+def _symbols(spark, sf_dir):
+    return bind(spark, sf_dir, "b_symbols").withColumns({"container": F.lit(None).cast("string"), "signature": F.lit("()")})
+
+
+@register("split_chunks")
+def split_chunks(spark, sf_dir):
+    return triage.split_chunks(bind(spark, sf_dir, "b_docs"), bind(spark, sf_dir, "b_symbols"), 2000)
+
+
+# every line is about 20 characters, so a limit above the file's size makes one chunk of each file
+WHOLE = "SELECT file, 0 AS chunk, 1 AS first, CAST(count(*) AS INTEGER) AS last FROM b_lines GROUP BY file"
+LISTED = """
+SELECT w.file, coalesce((SELECT string_agg('- ' || s.kind || ' ' || s.name || '()  lines ' || (s.start_line + 1) || '-' || (s.end_line + 1), chr(10) ORDER BY s.sym_seq) FROM b_symbols s WHERE s.file = w.file AND s.start_line + 1 <= w.last), '(no static symbol information)') AS symbols FROM whole w"""
+
+
+def _chunks(spark, sf_dir):
+    files = queries_index.content(spark, sf_dir)
+    return triage.symbol_list_text(triage.split_chunks(files, _symbols(spark, sf_dir), 10_000_000), _symbols(spark, sf_dir)), files
+
+
+@register("symbol_list_text", "SELECT * FROM listed", whole=WHOLE, listed=LISTED)
+def symbol_list_text(spark, sf_dir):
+    return _chunks(spark, sf_dir)[0].select("file", "symbols")
+
+
+@register("build_triage_prompts", f"""
+SELECT l.file, 'File: ' || l.file || chr(10) || 'Language: ' || {queries_index.LANG.replace('file,', 'l.file,')} || chr(10) || 'Symbols:' || chr(10) || l.symbols || chr(10) || 'Code:' || chr(10) || n.text AS prompt
+FROM listed l JOIN (SELECT file, string_agg(t, chr(10) ORDER BY line) AS text FROM numbered GROUP BY file) n ON n.file = l.file""", whole=WHOLE, listed=LISTED, numbered=queries_index.NUMBERED)
+def build_triage_prompts(spark, sf_dir):
+    chunks, files = _chunks(spark, sf_dir)
+    return triage.build_triage_prompts(chunks, rules.detect_language(files)).select("file", "prompt")
+
+
+PARSED = "SELECT d.doc_id, d.n_chars, d.n_chars % 100 + 1 AS line_count, l.toxic, l.quality FROM documents d JOIN labels l USING (doc_id)"
+
+
+def _parsed(spark, sf_dir):
+    return triage.parse_json_reply(bind(spark, sf_dir, "b_replies"))
+
+
+@register("parse_json_reply", "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 's' || doc_id END AS summary, CASE WHEN doc_id % 4 < 3 THEN 2 ELSE NULL END AS n_functions FROM prs", prs=PARSED)
+def parse_json_reply(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("doc_id", "parsed.summary", F.when(F.col("json").isNotNull(), F.size("parsed.functions")).alias("n_functions"))
+
+
+ANALYSED = """
+SELECT doc_id, line_count, CASE WHEN doc_id % 4 < 3 THEN greatest(1, least(n_chars % 50, line_count)) END AS f_line, CASE WHEN doc_id % 4 < 3 THEN greatest(1, least(n_chars % 300, line_count)) END AS i_start,
+  CASE WHEN doc_id % 4 < 3 THEN greatest(greatest(1, least(n_chars % 300, line_count)), least(2, line_count)) END AS i_end, CASE WHEN doc_id % 4 < 3 THEN CASE WHEN toxic = 1 THEN 'high' WHEN quality = 1 THEN 'low' ELSE 'medium' END END AS severity FROM prs"""
+
+
+def _analysed(spark, sf_dir):
+    return triage.normalize_analysis(_parsed(spark, sf_dir))
+
+
+@register("normalize_analysis", "SELECT doc_id, f_line, i_start, i_end, severity FROM analysed", prs=PARSED, analysed=ANALYSED)
+def normalize_analysis(spark, sf_dir):
+    one = lambda c: F.get(c, 0)
+    return _analysed(spark, sf_dir).select("doc_id", one("functions")["line"].alias("f_line"), one("issues")["start_line"].alias("i_start"), one("issues")["end_line"].alias("i_end"), one("issues")["severity"].alias("severity"))
+
+
+@register("merge_chunks", """
+SELECT file, CAST(sum(n) AS INTEGER) AS n_issues, CASE WHEN count(*) = 1 THEN max(s) ELSE string_agg('Chunk ' || (chunk + 1) || ': ' || s, chr(10) ORDER BY chunk) END AS summary
+FROM (SELECT doc_id // 5 AS file, doc_id % 5 AS chunk, CASE WHEN doc_id % 4 < 3 THEN 1 ELSE 0 END AS n, CASE WHEN doc_id % 4 < 3 THEN 's' || doc_id ELSE '' END AS s FROM prs) GROUP BY file""", prs=PARSED)
+def merge_chunks(spark, sf_dir):
+    rows = _analysed(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / 5)).withColumn("chunk", F.col("doc_id") % 5)
+    return triage.merge_chunks(rows).select("file", F.size("issues").alias("n_issues"), "summary")
+
+
+@register("staleness", "SELECT d.file, CASE WHEN a.path IS NULL THEN 'none' WHEN a.content_hash = sha1(d.content) THEN 'fresh' ELSE 'stale' END AS state FROM b_docs d LEFT JOIN b_analyses a ON a.path = d.file")
+def staleness(spark, sf_dir):
+    return triage.staleness(bind(spark, sf_dir, "b_docs"), bind(spark, sf_dir, "b_analyses"))
+
+
+@register("analysis_overview", """
+SELECT doc_id, CASE WHEN severity IS NULL THEN 0 ELSE 1 END AS n_issues, CASE WHEN severity IS NULL THEN 0 ELSE 1 END AS n_functions, 0 AS n_attention, coalesce('t L' || i_start || ' ' || severity || '/medium', '') AS lines FROM analysed""", prs=PARSED, analysed=ANALYSED)
+def analysis_overview(spark, sf_dir):
+    return triage.analysis_overview(_analysed(spark, sf_dir), "doc_id")
+
+
+# ---- verification: chains of depth 0, whose hops are the sinks themselves
+
+
+def _chains(spark, sf_dir):
+    return queries_structure._chains(spark, sf_dir, max_depth=0)
+
+
+HOPS = """
+SELECT k.id AS sink, k.file, CAST(k.line AS INTEGER) AS line, arg_min(s.name, (s.end_line - s.start_line, s.sym_seq)) AS name, coalesce(arg_min(s.start_line, (s.end_line - s.start_line, s.sym_seq)), greatest(0, k.line - 4)) AS a, coalesce(arg_min(s.end_line, (s.end_line - s.start_line, s.sym_seq)), k.line + 4) AS b
+FROM sinks k LEFT JOIN b_symbols s ON s.file = k.file AND k.line - 1 BETWEEN s.start_line AND s.end_line GROUP BY k.id, k.file, k.line"""
+SOURCED = "SELECT h.sink, h.file, h.line, coalesce(h.name, regexp_extract(h.file, '[^/]*$')) AS name, coalesce((SELECT string_agg(n.t, chr(10) ORDER BY n.line) FROM numbered n WHERE n.file = h.file AND n.line BETWEEN h.a AND h.b), '') AS source FROM hps h"
+VER = dict(sinks=queries_structure.SINKS, hps=HOPS, numbered=queries_index.NUMBERED, sourced=SOURCED)
+
+
+@register("hop_sources", "SELECT * FROM sourced", **VER)
+def hop_sources(spark, sf_dir):
+    return verify.hop_sources(_chains(spark, sf_dir), bind(spark, sf_dir, "b_symbols"), queries_index.content(spark, sf_dir)).select("sink", "file", "line", "name", "source")
+
+
+@register("verify_prompts")
+def verify_prompts(spark, sf_dir):
+    found = _chains(spark, sf_dir)
+    return verify.verify_prompts(found, verify.hop_sources(found, bind(spark, sf_dir, "b_symbols"), queries_index.content(spark, sf_dir)))
+
+
+SAID = "CASE WHEN line % 3 = 0 THEN 'reachable' WHEN line % 3 = 1 THEN 'unreachable' ELSE 'maybe' END"
+
+
+def _findings(spark, sf_dir):
+    sinks = bind(spark, sf_dir, "b_marks").filter("kind = 'sink' and status <> 'excluded'")
+    replies = sinks.select(F.col("id").alias("sink"), F.lit(1).alias("chain_seq"), F.lit("full reply").alias("reply"), F.expr(SAID).alias("verdict"), F.when(F.col("line") % 2 == 0, "why").otherwise("").alias("analysis"),
+                           F.lit(None).cast("array<struct<file:string,symbol:string,line:int,evidence:string>>").alias("hops"))
+    return verify.build_findings(_chains(spark, sf_dir), replies, sinks, "me", "t0")
+
+
+FOUND = f"""
+SELECT sha1(m.id || '|') AS id, m.category || ' @ ' || regexp_extract(m.file, '[^/]*$') || ':' || m.line || ' · ' || CASE {SAID} WHEN 'maybe' THEN 'undetermined' ELSE {SAID} END AS title, m.id AS sink_mark_id,
+  CASE {SAID} WHEN 'maybe' THEN 'undetermined' ELSE {SAID} END AS verdict, CASE WHEN m.line % 2 = 0 THEN 'why' ELSE 'full reply' END AS analysis FROM b_marks m WHERE kind = 'sink' AND status <> 'excluded'"""
+
+
+@register("build_findings", "SELECT * FROM fnd", fnd=FOUND)
+def build_findings(spark, sf_dir):
+    return _findings(spark, sf_dir).select("id", "title", "sink_mark_id", "verdict", "analysis")
+
+
+@register("normalize_verdict", "SELECT verdict, count(*) AS n FROM fnd GROUP BY verdict", fnd=FOUND)
+def normalize_verdict(spark, sf_dir):
+    marks = bind(spark, sf_dir, "b_marks").filter("kind = 'sink' and status <> 'excluded'")
+    return marks.groupBy(verify.normalize_verdict(F.expr(SAID)).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("list_findings", "SELECT id, verdict, 1 AS n_hops FROM fnd", fnd=FOUND)
+def list_findings(spark, sf_dir):
+    return verify.list_findings(_findings(spark, sf_dir)).select("id", "verdict", "n_hops")
+
+
+@register("delete_findings", "SELECT id, title FROM fnd WHERE verdict <> 'unreachable'", fnd=FOUND)
+def delete_findings(spark, sf_dir):
+    found = _findings(spark, sf_dir)
+    return verify.delete_findings(found, found.filter("verdict = 'unreachable'")).select("id", "title")
+
+
+@register("flatten_conversations", """
+SELECT conv_id, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system,
+  coalesce(string_agg(CASE role WHEN 'assistant' THEN '[assistant previous reply]' || chr(10) WHEN 'tool' THEN '[tool result]' || chr(10) ELSE '' END || content, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS prompt
+FROM b_messages GROUP BY conv_id""")
+def flatten_conversations(spark, sf_dir):
+    return verify.flatten_conversations(bind(spark, sf_dir, "b_messages"))
+
+
+@register("extract_text_parts", "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN role || ' ' || turn ELSE role END AS text FROM conversations")
+def extract_text_parts(spark, sf_dir):
+    return bind(spark, sf_dir, "b_parts").select("conv_id", "turn", verify.extract_text_parts(F.col("payload")).alias("text"))
+
+
+@register("split_model_id", "SELECT file, CASE WHEN contains(file, '/') THEN regexp_extract(file, '^[^/]*') ELSE '' END AS provider, regexp_replace(file, '^[^/]*/', '') AS model FROM b_files")
+def split_model_id(spark, sf_dir):
+    provider, model = verify.split_model_id(F.col("file"))
+    return bind(spark, sf_dir, "b_files").select("file", provider.alias("provider"), model.alias("model"))
