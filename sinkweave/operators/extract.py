@@ -23,7 +23,7 @@ SIGNATURE_CHARS, TEXT_CHARS = 80, 120
 
 _KEYWORDS = frozenset(
     "if for while switch catch return sizeof else do try new function throw typeof await yield in of case delete void instanceof elif not and or lambda assert except with print "
-    "foreach using lock unless until go defer select func def class match when isset empty array list unset echo exit die static_assert decltype alignof noexcept".split()
+    "foreach using lock unless until func def class isset empty array list unset echo exit die static_assert decltype alignof noexcept".split()
 )
 _CALLABLE_KEYWORDS = frozenset("assert print exit die".split())
 _STRINGS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
