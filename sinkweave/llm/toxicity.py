@@ -2,9 +2,9 @@
 
 Two words are alike by the character triples they share as subsequences: a triple may skip up to two
 inserted characters and counts less the wider it lies (``DECAY`` per skipped character). Word starts
-and ends count as characters. The word kernel is scaled by the words' own weight, raised to POWER, and
-nothing below FLOOR; a sentence is as near to a landmark as its nearest word. Landmarks are word
-stems that tell labelled toxic documents from clean ones; a sentence's to the landmarks, whitened by their own kernel, gives the Nystroem features of a linear SVM.
+and ends count as characters. A word's kernel value at a landmark is the share of the landmark's weight that
+it holds (1 if all of it), raised to POWER, and nothing below FLOOR; a sentence is as near to a landmark as its nearest word. Landmarks are words
+and word stems that tell labelled toxic documents from clean ones; a sentence's to the landmarks, whitened by their own kernel, gives the Nystroem features of a linear SVM.
 
 Labels are of documents, so the SVM learns which sentence of a toxic document is toxic: it starts
 from the sentence nearest to the landmarks and moves to the one that scores highest. A document's
@@ -34,13 +34,11 @@ from pyspark.sql import functions as F
 
 MAX_PER_CLASS = 1500
 MAX_TRAIN_CHARS = 100_000
-N_LANDMARKS = 64
+N_LANDMARKS = 96
 STEM_LENGTHS = range(4, 11)
 #: A stem is worth a landmark if it adds this share of the toxic documents, decayed by those that cover them.
 LEAST_GAIN = 0.004
 NEARLY = 0.8
-#: Longer words are scaled like words of this length.
-LONGEST = 9
 SPAN = 5
 DECAY = 0.6
 POWER = 4
@@ -95,15 +93,15 @@ class WordKernel:
                 for i, j in _OFFSETS:
                     if at + j < len(codes):
                         triples[(first * self.base + codes[at + i]) * self.base + codes[at + j]][m] += DECAY ** (j - 2)
-        scale = np.array([math.sqrt(self.weight(min(len(z), LONGEST))) for z in landmarks])
+        scale = np.array([math.sqrt(self.weight(len(z))) for z in landmarks])
         self.row = np.zeros(self.base**3, dtype=np.int32)
         self.values = np.zeros((len(triples) + 1, len(landmarks)), dtype=np.float32)
         for k, (triple, value) in enumerate(sorted(triples.items()), 1):
-            self.row[triple], self.values[k] = k, value / scale
+            self.row[triple], self.values[k] = k, value / scale**2
 
     @staticmethod
     def weight(length: int) -> float:
-        """Squared weights of all triples of a word: what scales its kernel values."""
+        """Squared weights of all triples of a landmark: what scales its kernel values."""
         return max(1e-9, sum(max(0, length - j) * DECAY ** (2 * (j - 2)) for _, j in _OFFSETS))
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -122,8 +120,7 @@ class WordKernel:
                 owner = word[at]
                 first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 out[owner[first]] += np.float32(DECAY ** (j - 2)) * np.add.reduceat(self.values[row[at]], first, axis=0)
-        weights = np.array([self.weight(min(n, LONGEST)) for n in range(int(lengths.max(initial=0)) + 1)])
-        out = (out / np.sqrt(weights[lengths])[:, None].astype(np.float32)) ** POWER
+        out = np.minimum(out, 1) ** POWER
         out[out < FLOOR] = 0
         return out
 
@@ -197,7 +194,7 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> list[str]:
     clean: Counter[str] = Counter()
     for k, (sentences, label) in enumerate(docs):
         own = {w for s in sentences for w in s}
-        stems = {w[: n + 1] for w in own for n in STEM_LENGTHS if n + 2 <= len(w)}
+        stems = {w[: n + 1] for w in own for n in STEM_LENGTHS if n + 2 <= len(w)} | {w for w in own if len(w) >= STEM_LENGTHS[0] + 2}
         if label:
             for s in stems:
                 where[s].add(k)
@@ -221,7 +218,7 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> list[str]:
     return chosen
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
     """Linear SVM with squared hinge loss, by Newton steps on the active rows; the last entry is the bias."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
