@@ -55,36 +55,44 @@ def initial_map(n_slots: int, n_shards: int) -> list[int]:
 
 
 def rebalance(shard_of: list[int], loads: dict[int, int], n_shards: int) -> list[int]:
-    """Edits a map until no single move of a slot narrows the gap between the fullest shard and
-    another: from the fullest to the emptiest goes the slot whose size is nearest to half of the
-    gap. Works on the map alone (one entry per slot), never on records."""
+    """Edits a map until no move of a slot, and no swap of two, narrows the gap between the emptiest
+    shard and another: from the fullest goes the slot whose size is nearest to half of the gap, or it
+    is swapped for a smaller one. Works on the map alone (one entry per slot), never on records."""
     shard_of = list(shard_of)
     slots: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
     for slot, shard in enumerate(shard_of):
         if loads.get(slot):
             bisect.insort(slots[shard], (loads[slot], slot))
     total = [sum(b for b, _ in own) for own in slots]
+
+    def nearest(own: list[tuple[int, int]], want: float, below: float) -> tuple[int, int] | None:
+        at = bisect.bisect_left(own, (want, -1))
+        return min((own[k] for k in (at - 1, at) if 0 <= k < len(own) and 0 < own[k][0] < below), key=lambda x: (abs(x[0] - want), x), default=None)
+
+    def move(item: tuple[int, int], source: int, target: int) -> None:
+        slots[source].remove(item)
+        bisect.insort(slots[target], item)
+        total[source] -= item[0]
+        total[target] += item[0]
+        shard_of[item[1]] = target
+
     for _ in range(20 * len(shard_of)):
         low = min(range(n_shards), key=lambda k: (total[k], k))
-        best = None
         for high in sorted(range(n_shards), key=lambda k: (-total[k], k)):
             gap = total[high] - total[low]
             if gap <= 1:
+                return shard_of
+            if item := nearest(slots[high], gap / 2, gap):
+                move(item, high, low)
                 break
-            own = slots[high]
-            at = bisect.bisect_left(own, (gap / 2, -1))
-            near = [own[k] for k in (at - 1, at) if 0 <= k < len(own) and own[k][0] < gap]
-            if near:
-                best = (high, min(near, key=lambda x: (abs(x[0] - gap / 2), x)))
+            swaps = [(x, y) for x in slots[high] if (y := nearest(slots[low], x[0] - gap / 2, x[0])) and 0 < x[0] - y[0] < gap]
+            if swaps:
+                x, y = min(swaps, key=lambda s: (abs(s[0][0] - s[1][0] - gap / 2), s))
+                move(x, high, low)
+                move(y, low, high)
                 break
-        if best is None:
+        else:
             break
-        high, item = best
-        slots[high].remove(item)
-        bisect.insort(slots[low], item)
-        total[high] -= item[0]
-        total[low] += item[0]
-        shard_of[item[1]] = low
     return shard_of
 
 
