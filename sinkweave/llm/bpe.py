@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import cut
+from sinkweave.llm.common import cut, most_frequent
 
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 65_536
@@ -263,16 +263,7 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
     tokenizer's pattern cuts them. Counted on the map side first."""
     pieces = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r" ?\p{L}+"), F.lit(0))).alias("w"))
     counted = cut(pieces.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and length(w) <= 40"), "bpe-words")
-    # a histogram of logarithms gives the count from which on n words remain, so that no task sends
-    # the driver more than is kept
-    step = F.floor(F.log2("n") * 64)
-    left, least = n, None
-    for row in counted.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("k")).collect():
-        left -= row["m"]
-        if left < 0:
-            break
-        least = row["k"]
-    return [] if least is None else [r["w"] for r in counted.filter(step >= least).select("w").orderBy("w").collect()]
+    return [r["w"] for r in most_frequent(counted, n).select("w").orderBy("w").collect()]
 
 
 def build(docs: DataFrame, vocabulary: str, n_words: int = LEXICON_WORDS) -> bytes | None:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinkweave.functions.lineage import cut, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Runs of ASCII letters and digits and of anything beyond ASCII, in lower-cased text.
@@ -29,25 +28,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; on a single machine without one, a temporary folder."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later stages survive lost
-    executors and nothing above is computed again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sinkweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def most_frequent(counted: DataFrame, n: int, count: str = "n") -> DataFrame:
+    """The rows with the highest counts, n at most: those from a count on that a histogram of
+    logarithms gives, so that no task sends the driver more than is kept. Read a written table here."""
+    step = F.floor(F.log2(count) * 64)
+    left, least = n, None
+    for row in counted.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("k")).collect():
+        left -= row["m"]
+        if left < 0:
+            break
+        least = row["k"]
+    return counted.filter(F.lit(False) if least is None else step >= least)
