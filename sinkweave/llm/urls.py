@@ -3,7 +3,7 @@
 Rules name a host (with all its subdomains) and a path prefix; the longest fitting rule decides.
 Urls without one are judged by a multinomial naive Bayes model over words: names like
 ``cheappills`` are split by unigram Viterbi, paths at their separators. Word counts of the unigram
-model come from the titles and urls of all pages. The model is trained on all pages: those whose
+model come from the titles and url paths of all pages. The model is trained on all pages: those whose
 host has a seed word (or two weak ones) stand for the blocked class, the others for the allowed.
 
 Both models are counted in Spark over all rows; of the counts, the UNIGRAMS and TOKENS most frequent
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sinkweave.llm.common import cut, most_frequent
 from sinkweave.llm.pages import host_of
 
 #: (host, path, verdict)
@@ -118,11 +119,12 @@ def is_seed(found: list[str]) -> bool:
 
 
 def unigrams(pages: DataFrame, n: int = UNIGRAMS) -> dict[str, int]:
-    """Counts of the most frequent words of all titles and urls, and of the known words."""
+    """Counts of the most frequent words of all titles and paths, and of the known words. Hosts don't
+    count: their names are what is to be split."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1)
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, "url")), F.lit("[a-z]{2,20}"), F.lit(0))
-    counted = pages.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(n).collect()}
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, path_of(F.col("url")))), F.lit("[a-z]{2,20}"), F.lit(0))
+    counted = cut(pages.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "url-words")
+    counts = {r["w"]: r["n"] for r in most_frequent(counted, n).collect()}
     usual = max(1, sum(counts.values()) // 1000)
     return counts | {w: max(usual, counts.get(w, 0)) for w in KNOWN}
 
@@ -143,9 +145,9 @@ def train(keyed: DataFrame, segmenter: Segmenter, n: int = TOKENS) -> tuple[dict
     rows = rows.select("t", ((F.size(seeds) > 0) | (F.size(weak) > 1)).cast("int").alias("blocked"))
     # the number of pages is counted as the token ''
     each = rows.select("blocked", F.explode(F.array_append("t", "")).alias("t"))
-    counted = each.groupBy("t").agg(F.sum(F.col("blocked")).alias("bad"), F.sum(1 - F.col("blocked")).alias("good"))
-    found = {r["t"]: (r["bad"], r["good"]) for r in counted.orderBy(F.col("t") != "", F.desc(F.col("bad") + F.col("good")), "t").limit(n + 1).collect()}
-    n_bad, n_good = found.pop("", (0, 0))
+    counted = cut(each.groupBy("t").agg(F.sum(F.col("blocked")).alias("bad"), F.sum(1 - F.col("blocked")).alias("good"), F.count(F.lit(1)).alias("n")), "url-tokens")
+    n_bad, n_good = next(((r["bad"], r["good"]) for r in counted.filter("t = ''").collect()), (0, 0))
+    found = {r["t"]: (r["bad"], r["good"]) for r in most_frequent(counted.filter("t <> ''"), n).collect()}
     if not n_bad or not n_good:
         return None
     sum_bad, sum_good = (sum(x[k] for x in found.values()) + len(found) for k in (0, 1))
