@@ -111,7 +111,9 @@ def _chains(spark, sf_dir):
 HOPS = """
 SELECT k.id AS sink, k.file, CAST(k.line AS INTEGER) AS line, arg_min(s.name, (s.end_line - s.start_line, s.sym_seq)) AS name, coalesce(arg_min(s.start_line, (s.end_line - s.start_line, s.sym_seq)), greatest(0, k.line - 4)) AS a, coalesce(arg_min(s.end_line, (s.end_line - s.start_line, s.sym_seq)), k.line + 4) AS b
 FROM sinks k LEFT JOIN b_symbols s ON s.file = k.file AND k.line - 1 BETWEEN s.start_line AND s.end_line GROUP BY k.id, k.file, k.line"""
-SOURCED = "SELECT h.sink, h.file, h.line, coalesce(h.name, regexp_extract(h.file, '[^/]*$')) AS name, coalesce((SELECT string_agg(n.t, chr(10) ORDER BY n.line) FROM numbered n WHERE n.file = h.file AND n.line BETWEEN h.a AND h.b), '') AS source FROM hps h"
+SOURCED = """
+SELECT h.sink, h.file, h.line, coalesce(h.name, regexp_extract(h.file, '[^/]*$')) AS name, coalesce(string_agg(n.t, chr(10) ORDER BY n.line), '') AS source
+FROM hps h LEFT JOIN numbered n ON n.file = h.file AND n.line BETWEEN h.a AND h.b GROUP BY h.sink, h.file, h.line, h.name"""
 VER = dict(sinks=queries_structure.SINKS, hps=HOPS, numbered=queries_index.NUMBERED, sourced=SOURCED)
 
 
