@@ -35,6 +35,8 @@ BROADCAST_BYTES = 16 << 20
 #: Pages of a host from which on a constant text counts as template, and the share of pages with it.
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.6
+#: Input partitions whose templates of a host are merged in one group.
+FOLDED = 256
 #: Texts that the summary of a node keeps.
 KEPT_TEXTS = 4
 #: Deeper nodes are read as if they were at this depth.
@@ -353,7 +355,8 @@ def _frame(found: dict[str, list]) -> pd.DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): folded inside each partition first, then per host."""
+    """(host, template): folded inside each partition first, then per host and FOLDED input partitions,
+    then per host, so that a host that stands in every partition stays a small group."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, list] = {}
@@ -373,7 +376,9 @@ def templates(pages: DataFrame) -> DataFrame:
         return _frame({parts["host"].iloc[0]: whole})
 
     schema = "host string, template string"
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(fold, schema).groupBy("host").applyInPandas(join, schema)
+    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(fold, schema)
+    some = parts.withColumn("some", F.floor(F.spark_partition_id() / FOLDED)).groupBy("host", "some").applyInPandas(join, schema)
+    return some.groupBy("host").applyInPandas(join, schema)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
