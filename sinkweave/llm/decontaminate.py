@@ -78,6 +78,11 @@ def _item_table(benchmark: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _judged(docs, benchmark).drop("_th")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``contamination`` with ``_th``, the hash of the text: an id alone names no row."""
     spark = docs.sparkSession
     items = cut(_item_table(benchmark), "bench-items")
     short = sorted(r["m"] for r in items.select(F.size("iw").alias("m")).filter(F.col("m") < SPAN).distinct().collect())  # 12 lengths at most
@@ -111,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (base["_th"] == hits["_th"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"),
+        "doc_id", base["_th"], "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.size("ids").cast("long"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
@@ -155,6 +160,7 @@ def _extend(keyed: DataFrame, diagonals: DataFrame, items: DataFrame, bounded) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that are not contaminated, with their own columns. A row goes by its id and its
+    text, so that rows without an id, and others of the same id, are judged on their own."""
+    bad = _judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_th").alias("_bad_th")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_th")), "left_anti")

@@ -62,7 +62,11 @@ def _fingerprint_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
-    return docs.select("doc_id", F.pandas_udf(_fingerprint_batches, "long")("text").alias("fp"))
+    return _printed(docs).select("doc_id", "fp")
+
+
+def _printed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("_th"), F.pandas_udf(_fingerprint_batches, "long")("text").alias("fp"))
 
 
 def _variants() -> Column:
@@ -135,25 +139,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
-    prints = cut(with_fingerprint(docs), "simhash-fp")
+    """(doc_id, _th, fp) of every row, _th the hash of its text, and (fp, group, component_id) of every fingerprint."""
+    prints = cut(_printed(docs), "simhash-fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comps = connected_components(links(classes.select("fp")))
     # a component's name is the smallest doc_id of its classes
     named = classes.join(comps, classes["fp"] == comps["id"]).select("fp", "first", "component")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labelled = cut(named.join(least, "component").select("fp", "component_id"), "simhash-components")
-    alone = classes.join(labelled.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    labelled = cut(named.join(least, "component").select("fp", F.col("component").alias("group"), "component_id"), "simhash-components")
+    alone = classes.join(labelled.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("group"), F.col("first").alias("component_id"))
     return prints, labelled.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id; repeated rows of it
-    are one document and fold into one row. Rows whose group has no id stay as one row."""
+    """One document of each near-duplicate group, see ``one_of_each``."""
     prints, labels = _labelled(docs)
-    groups = labels.select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    return one_of_each(docs, prints.join(labels, "fp").select("group", "doc_id", "_th"))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``grouped(group, doc_id, _th)``, _th the hash of the text -> the document of each group with the
+    smallest id, and of that id with the smallest hash; one without an id only if the group has no
+    other. Repeated rows of it are one document and fold into one row."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("best")
+    chosen = cut(grouped.groupBy("group").agg(best).select(F.col("best.doc_id").alias("_keep"), F.col("best._th").alias("_keep_th")), "chosen")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.xxhash64("text") == F.col("_keep_th")), "left_semi")
+    if grouped.groupBy("doc_id", "_th").count().filter("count > 1").isEmpty():
         return kept
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth").select(*docs.columns)
+    whole = F.min(F.struct(*docs.columns)).alias("_row")
+    return kept.groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(whole).select("_row.*")

@@ -328,3 +328,14 @@ def test_pipeline_keeps_clean_documents(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in start.collect()} - bad
     out = corpus_pipeline.run(spark, DATA)
     assert 0 < out.count() <= kept.count()
+
+
+def test_stages_decide_by_id_and_text(spark):
+    words = lambda seed, n: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(random.Random(seed * 1000 + k).randrange(9999)) for k in range(n))
+    leak, one, two, three, four = (words(k, 40) for k in range(1, 6))
+    start = docs(spark, [(None, leak), (None, one), (None, two), (7, leak), (7, three), (8, four), (8, four)])
+    clean = decontaminate.decontaminate(start, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in clean.collect()))) == sorted(map(str, [(None, one), (None, two), (7, three), (8, four), (8, four)]))
+    kept = simhash.keep_one(start)
+    assert kept.columns == start.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(7, leak), (None, one), (None, two), (7, three), (8, four)]))
