@@ -40,9 +40,14 @@ LOOK_UP_FROM = 256
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words as split on ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def fingerprint_of(text: str | None) -> int:
-    """The 64-bit fingerprint of one text; words are split on ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    """The 64-bit fingerprint of one text."""
+    words = words_of(text)
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else [b" ".join(words)]

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sinkweave.llm import bpe, components, decontaminate, licenses, pages, pii, quality, registry, sharding, simhash, toxicity, urls
+from sinkweave.llm import bpe, components, decontaminate, licenses, pages, pii, quality, registry, resemblance, sharding, simhash, toxicity, urls
 from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, shard string, kind string, w string"
@@ -339,3 +339,22 @@ def test_stages_decide_by_id_and_text(spark):
     kept = simhash.keep_one(start)
     assert kept.columns == start.columns
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(7, leak), (None, one), (None, two), (7, three), (8, four)]))
+
+
+def test_pipeline_finds_copies_with_some_edits(spark):
+    import corpus_pipeline
+
+    rows, rng = [], random.Random(3)
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        edited = [*words[:50], "x1", *words[51:150], "x2", *words[151:250], "x3", *words[251:]]  # 15 of 296 shingles differ: 0.90
+        apart = [w if i % 20 else "y" for i, w in enumerate(words)]  # 0.6
+        rows += [(k, " ".join(words)), (100 + k, " ".join(edited).upper()), (200 + k, " ".join(apart)), (None, " ".join(edited))]
+    # one group larger than ALL_PAIRS
+    words = [f"v{k}" for k in range(400)]
+    rows += [(1000 + k, " ".join([*words[: 4 * k], "z", *words[4 * k + 1 :]])) for k in range(90)]
+    kept = {r["doc_id"] for r in corpus_pipeline.distinct_enough(spark, docs(spark, rows), "").collect()}
+    assert kept == {*range(30), *range(200, 230), 1000}
+    odd = resemblance.keep_one(docs(spark, ODD)).collect()
+    assert sorted(str(r["doc_id"]) for r in odd) == ["1", "4", "5", "6", "7", "None"]
+    assert resemblance.keep_one(docs(spark, [])).count() == 0
