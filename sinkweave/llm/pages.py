@@ -51,6 +51,13 @@ _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies notice notices consent alert popup modal "
     "newsletter subscribe signup login social share sharing related recommended comment comments disqus respond reply replies widget toolbar pagination pager copyright".split()
 )
+#: Words that say what a page has or lacks, not what a node is: has-comments, no-sidebar.
+_SAYS_OF = frozenset("has have no not non with without show hide is".split())
+#: Stands among a node's names if they drop it.
+_MARK = "!"
+#: Never dropped by their names; nor is a node with this share of the page's text.
+_KEPT = frozenset("html body main article".split())
+MOST = 0.8
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What an implied end tag does not reach beyond.
 _WALLS = frozenset("article aside body div footer form header html main nav ol section table td th ul dl blockquote".split())
@@ -65,7 +72,7 @@ class Node:
 
     @property
     def is_dropped(self) -> bool:
-        return self.tag in _DROPPED or bool(self.named & _BOILERPLATE)
+        return self.tag in _DROPPED or _MARK in self.named
 
     @property
     def is_header(self) -> bool:
@@ -76,11 +83,22 @@ class Node:
         return (self.tag in ("article", "main") or "articlebody" in self.named or "main" in self.named) and not self.is_dropped
 
 
+def _label(tag: str, names: frozenset | set) -> str:
+    return tag + "".join(f".{w}" for w in sorted(names))
+
+
+def _names_boilerplate(token: str) -> bool:
+    """A whole name (ad), or its last word (site-footer), but not one that says what a page has."""
+    runs = _NAMED.findall(token)
+    return bool(runs) and runs[-1] in _BOILERPLATE and _SAYS_OF.isdisjoint(runs)
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", "#root", frozenset())
         self.open = [self.root]
+        self.deep: list[Node] = []  # open elements beyond MAX_DEPTH
 
     def handle_starttag(self, tag, attrs):
         if tag not in _INLINE and tag not in _CLOSES:
@@ -88,46 +106,80 @@ class _Builder(HTMLParser):
         for k in (_CLOSES[tag],) if tag in _CLOSES else ():
             self._end(k)
         words: set[str] = set()
+        drops = False
         for name, value in attrs:
             if value and name in ("class", "id", "role", "itemprop"):
                 words.update(_NAMED.findall(value.lower()))
-        label = tag + "".join(f".{w}" for w in sorted(words))
-        node = Node(tag, label, frozenset(words))
-        self.open[-1].kids.append(node)
-        if tag not in _VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+                drops = drops or any(map(_names_boilerplate, value.lower().split()))
+        is_main = tag in _KEPT or any(pair in attrs for pair in (("role", "main"), ("itemprop", "articleBody")))
+        if drops and not is_main:
+            words.add(_MARK)
+        node = Node(tag, _label(tag, words), frozenset(words))
+        self._inside().kids.append(node)
+        if tag not in _VOID:
+            (self.open if len(self.open) < MAX_DEPTH else self.deep).append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.open[-1].tag == tag:
-            self.open.pop()
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def _inside(self) -> Node:
+        """Where text goes: beyond MAX_DEPTH into what is dropped there, else into the last node above."""
+        return next((n for n in self.deep if n.is_dropped), self.open[-1])
+
+    def _close(self, tags, walls) -> None:
+        """Closes the nearest open element of these, and all in it, unless a wall is nearer."""
+        for opened in (self.deep, self.open):
+            for k in range(len(opened) - 1, 0 if opened is self.open else -1, -1):
+                if opened[k].tag in tags:
+                    if opened is self.open:
+                        self.deep.clear()
+                    elif any(n.tag not in _INLINE for n in opened[k:]):
+                        self.open[-1].kids.append(Node("p", "p", frozenset()))  # its end is the end of a block
+                    del opened[k:]
+                    return
+                if opened[k].tag in walls:
+                    return
 
     def _end(self, tags):
         """The implied end of the nearest open element of these, inside the same container."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in _WALLS:
-                return
+        self._close(tags, _WALLS)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        self._close((tag,), ())
 
     def handle_data(self, data):
-        self.open[-1].kids.append(data)
+        self._inside().kids.append(data)
 
 
 def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
+    _unmark(builder.root)
     return builder.root
 
 
+def _unmark(root: Node) -> None:
+    """Names don't drop a node that holds most of the page's text."""
+
+    def weigh(node: Node) -> int:
+        if node.tag in _DROPPED:
+            return 0
+        own = sum(weigh(k) if isinstance(k, Node) else len("".join(k.split())) for k in node.kids)
+        if _MARK in node.named:
+            marked.append((node, own))
+        return own
+
+    marked: list[tuple[Node, int]] = []
+    whole = weigh(root)
+    for node, own in marked:
+        if own and own >= MOST * whole:
+            node.named -= {_MARK}
+            node.label = _label(node.tag, node.named)
+
+
 def _texts(node: Node) -> Iterator[str]:
     """All text below a node that markup doesn't drop; every block starts and ends with a line break."""
     stack: list = [iter((node,))]
@@ -255,7 +307,7 @@ def is_constant(t: list) -> bool:
 
 def _drops(label: str) -> bool:
     tag, *named = label.split(".")
-    return tag in _DROPPED or not _BOILERPLATE.isdisjoint(named)
+    return tag in _DROPPED or _MARK in named
 
 
 def _names_article(label: str) -> bool:

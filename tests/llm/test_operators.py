@@ -358,3 +358,18 @@ def test_pipeline_finds_copies_with_some_edits(spark):
     odd = resemblance.keep_one(docs(spark, ODD)).collect()
     assert sorted(str(r["doc_id"]) for r in odd) == ["1", "4", "5", "6", "7", "None"]
     assert resemblance.keep_one(docs(spark, [])).count() == 0
+
+
+def test_names_of_a_page_do_not_drop_it():
+    text = "<h1>Head</h1><p>Story that is long enough to be most of what the page says</p>"
+    for whole in ('<body class="no-sidebar"><article>{}</article>', '<article class="post has-comments">{}</article>', '<div id="page-with-menu"><article>{}</article></div>',
+                  '<div class="widget">{}</div>', '<main class="menu"><div class="content">{}</div></main>'):
+        assert pages.extract(whole.format(text), None) == "Head\nStory that is long enough to be most of what the page says"
+    rest = '<div class="ad">Buy</div><div class="site-footer">End</div><div class="cookie-notice">Yes</div><div class="post-comments">No</div>'
+    assert pages.extract(f"<article>{text}{rest}</article>", None) == "Head\nStory that is long enough to be most of what the page says"
+
+
+def test_deep_pages_keep_their_text():
+    nest = "<div>" * 70 + "<p>Deep</p><script>var x</script><p>down</p>tail" + "</div>" * 70
+    assert pages.extract(f"<div><article><p>First</p>{nest}<p>Last</p></article></div><footer>End</footer>", None) == "First\nDeep\ndown\ntail\nLast"
+    assert pages.extract("<article>" + "<div>" * 70 + "<p>a<p>b<nav><p>Menu</p></nav></div>c" + "</div>" * 69 + "<p>d</article>e", None) == "a\nb\nc\nd"
