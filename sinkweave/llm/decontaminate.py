@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import WORD, WORD_ANY_CASE, cut, let, lower_ascii
+from sinkweave.llm.common import WORD, WORD_ANY_CASE, cut, fresh, let, lower_ascii
 
 SPAN = 13
 K = 7
@@ -160,7 +160,9 @@ def _extend(keyed: DataFrame, diagonals: DataFrame, items: DataFrame, bounded) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns. A row goes by its id and its
-    text, so that rows without an id, and others of the same id, are judged on their own."""
-    bad = _judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_th").alias("_bad_th")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_th")), "left_anti")
+    """The documents that are not contaminated, with their own columns, whatever their names and types.
+    A row goes by its id and its text, so that rows without an id, and others of the same id, are
+    judged on their own; repeated rows stay or go together; an empty table gives no rows."""
+    bad_id, bad_text = fresh(docs, "bad"), fresh(docs, "bad_th")
+    bad = _judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("_th").alias(bad_text)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text)), "left_anti")
