@@ -7,12 +7,14 @@ fingerprints meet at one variant at least. Rows are shuffled on (view, variant);
 deduplicated and verified on all 64 bits.
 
 Copies share a fingerprint and are folded before anything is emitted. Members of one variant that
-also agree in the set-aside block are within 2 bits of each other and get a star of links, so large
-groups of near copies stay linear; only such sub-groups, not their members, are compared.
+also agree in the set-aside block are within 2 bits of each other and get a star of links; such
+sub-groups are linked by hashing their set-aside blocks in the same way, so no pairs are listed and
+large groups of near copies stay linear.
 
 Defined results: null, empty or wordless texts have fingerprint zero and are linked like any other;
 a repeated row gets the same result each time; rows without an id count as copies but cannot name a
-component, and a component whose rows have no id at all has a null one.
+component, and a component whose rows have no id at all has a null one; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import LOWER, UPPER, cut
+from sinkweave.llm.common import LOWER, UPPER, cut, fresh
 from sinkweave.llm.components import connected_components
 
 RADIUS = 3
@@ -34,9 +36,8 @@ SHINGLE = 3
 SEED = 42
 BLOCKS = 4
 BLOCK_BITS = 16
-#: Sub-groups of one variant up to which all are compared; beyond, each looks up its neighbours.
-#: Both ways find the same links; this is where looking up becomes the cheaper one.
-LOOK_UP_FROM = 256
+#: Fingerprints whose variants one task emits.
+PER_TASK = 10_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -94,8 +95,9 @@ def _differ(a: str, b: str) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """``fps(fp)``, distinct -> (a, b): links that connect exactly what the graph of all pairs
-    within RADIUS bits connects. Every link is a verified pair."""
-    emitted = fps.select("fp", F.explode(_variants()).alias("x")).select(
+    within RADIUS bits connects. Every link is a verified pair; rows are linear in the fingerprints."""
+    tasks = fps.count() // PER_TASK + 1
+    emitted = fps.repartition(tasks).select("fp", F.explode(_variants()).alias("x")).select(
         F.col("x.view").alias("view"),
         F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip")).alias("key"),
         "fp",
@@ -110,31 +112,42 @@ def links(fps: DataFrame) -> DataFrame:
     met = cut(met.withColumn("aside", aside.cast("int")).withColumn("centre", F.col("fp").bitwiseAND(mask) == F.col("key")), "simhash-met")
     sub = met.groupBy("view", "key", "aside").agg(F.min("fp").alias("m"), F.max(F.when(F.col("centre"), F.col("fp"))).alias("c"))
     star = met.join(sub.select("view", "key", "aside", "m"), ["view", "key", "aside"]).filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
-    sub = cut(sub.withColumn("n", F.count(F.lit(1)).over(group)).filter("n > 1"), "simhash-sub")
-    few = sub.filter(F.col("n") <= LOOK_UP_FROM)
-    many = sub.filter(F.col("n") > LOOK_UP_FROM)
-    left = few.select("view", "key", F.col("aside").alias("s"), F.col("m").alias("m1"), F.col("c").alias("c1"))
-    right = few.select("view", "key", F.col("aside").alias("t"), F.col("m").alias("m2"), F.col("c").alias("c2"))
-    crossed = left.join(right, ["view", "key"]).filter("s < t").withColumn("d", _differ("s", "t")).filter(F.col("d") <= RADIUS)
-    crossed = crossed.drop("s", "t").unionByName(_looked_up(many))
-    pairs = crossed.select(F.explode(F.array(
-        F.struct(F.when(F.col("d") == 1, F.col("m1")).alias("a"), F.col("m2").alias("b")),
-        F.struct(F.when(F.col("d") == 2, F.col("c1")).alias("a"), F.col("m2").alias("b")),
-        F.struct(F.when(F.col("d") == 2, F.col("c2")).alias("a"), F.col("m1").alias("b")),
-        F.struct(F.when(F.col("d") == 3, F.col("c1")).alias("a"), F.col("c2").alias("b")),
-    )).alias("p")).select("p.a", "p.b").filter("a is not null and b is not null")
-    return star.unionByName(pairs).filter(_differ("a", "b") <= RADIUS).distinct()
-
-
-def _looked_up(many: DataFrame) -> DataFrame:
-    """Neighbouring sub-groups of crowded variants: each asks for the set-aside blocks within 1 bit
-    and, if it has a centre, within 3; at most 696 questions, however many sub-groups there are."""
-    near = {d: [sum(1 << b for b in bits) for bits in combinations(range(BLOCK_BITS), d)] for d in (1, 2, 3)}
-    ask = F.when(F.col("c").isNull(), F.array(*[F.lit(x) for x in near[1]])).otherwise(F.array(*[F.lit(x) for d in near for x in near[d]]))
-    asking = many.select("view", "key", F.col("m").alias("m1"), F.col("c").alias("c1"), "aside", F.explode(ask).alias("e"))
-    asking = asking.withColumn("d", F.bit_count("e")).withColumn("aside", F.col("aside").bitwiseXOR(F.col("e"))).drop("e")
-    asked = many.select("view", "key", "aside", F.col("m").alias("m2"), F.col("c").alias("c2"))
-    return asking.join(asked, ["view", "key", "aside"]).select("view", "key", "m1", "c1", "m2", "c2", "d")
+    several = sub.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("centred", F.count("c").over(group) > 0).filter("n > 1")
+    several = cut(several, "simhash-sub")
+    near = _one_apart(several).unionByName(_around_centres(several)).unionByName(_between_centres(several))
+    return star.unionByName(near).filter(_differ("a", "b") <= RADIUS).distinct()
+
+
+#: Sub-groups of one variant are compared by the same hashing of their set-aside blocks, whose
+#: distance is d. d = 1: any two members are within RADIUS. d = 2: if one of the two is the variant
+#: itself, its centre. d = 3: if both are. Members of a bucket are linked to its smallest centre, so
+#: rows are linear in the sub-groups, however many share a variant.
+_BALL = {d: [sum(1 << b for b in bits) for bits in combinations(range(BLOCK_BITS), d)] for d in range(3)}
+
+
+def _one_apart(sub: DataFrame) -> DataFrame:
+    """Each sub-group with one bit cleared, bit by bit: a bucket holds the two that differ in it."""
+    cleared = F.array(*[F.lit(x) for x in _BALL[1]])
+    rows = sub.select("view", "key", "m", "aside", F.explode(cleared).alias("bit"))
+    rows = rows.withColumn("aside", F.col("aside").bitwiseAND(F.bitwise_not("bit")))
+    return rows.groupBy("view", "key", "bit", "aside").agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a <> b").select("a", "b")
+
+
+def _around_centres(sub: DataFrame) -> DataFrame:
+    """All within one bit of the same block are within two of each other."""
+    ball = F.array(*[F.lit(x) for d in (0, 1) for x in _BALL[d]])
+    rows = sub.filter("centred").select("view", "key", "m", "c", "aside", F.explode(ball).alias("x"))
+    rows = rows.withColumn("aside", F.col("aside").bitwiseXOR(F.col("x"))).withColumn("hub", F.min("c").over(Window.partitionBy("view", "key", "aside")))
+    both = F.array_compact(F.array("m", "c"))
+    return rows.filter("hub is not null").select("hub", F.explode(both).alias("b")).filter("hub <> b").select(F.col("hub").alias("a"), "b")
+
+
+def _between_centres(sub: DataFrame) -> DataFrame:
+    """Of two blocks three bits apart, some block is within one bit of the one and two of the other."""
+    ball = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(d < 2).alias("near")) for d in (0, 1, 2) for x in _BALL[d]])
+    rows = sub.filter("c is not null").select("view", "key", "c", "aside", F.explode(ball).alias("e")).select("view", "key", "c", F.col("aside").bitwiseXOR(F.col("e.x")).alias("aside"), "e.near")
+    hub = F.min(F.when(F.col("near"), F.col("c"))).over(Window.partitionBy("view", "key", "aside"))
+    return rows.withColumn("hub", hub).filter("hub is not null and hub <> c").select(F.col("hub").alias("a"), F.col("c").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -165,11 +178,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """``grouped(group, doc_id, _th)``, _th the hash of the text -> the document of each group with the
     smallest id, and of that id with the smallest hash; one without an id only if the group has no
-    other. Repeated rows of it are one document and fold into one row."""
+    other. Repeated rows of it are one document and fold into one row, the first by all its columns
+    as JSON. An empty table gives no rows; further columns may have any names and types."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("best")
-    chosen = cut(grouped.groupBy("group").agg(best).select(F.col("best.doc_id").alias("_keep"), F.col("best._th").alias("_keep_th")), "chosen")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.xxhash64("text") == F.col("_keep_th")), "left_semi")
+    keep, text = fresh(docs, "keep"), fresh(docs, "keep_th")
+    chosen = cut(grouped.groupBy("group").agg(best).select(F.col("best.doc_id").alias(keep), F.col("best._th").alias(text)), "chosen")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.xxhash64("text") == F.col(text)), "left_semi")
     if grouped.groupBy("doc_id", "_th").count().filter("count > 1").isEmpty():
         return kept
-    whole = F.min(F.struct(*docs.columns)).alias("_row")
-    return kept.groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(whole).select("_row.*")
+    row = F.struct(*docs.columns)
+    whole = F.min_by(row, F.to_json(row)).alias("row")
+    return kept.groupBy("doc_id", F.xxhash64("text").alias(text)).agg(whole).select("row.*")
