@@ -2,13 +2,15 @@
 
 Two words are alike by the character triples they share as subsequences: a triple may skip up to two
 inserted characters and counts less the wider it lies (``DECAY`` per skipped character). Word starts
-and ends count as characters. A word's kernel value at a landmark is the share of the landmark's weight that
-it holds (1 if all of it), raised to POWER, and nothing below FLOOR; a sentence is as near to a landmark as its nearest word. Landmarks are words
-and word stems that tell labelled toxic documents from clean ones; a sentence's to the landmarks, whitened by their own kernel, gives the Nystroem features of a linear SVM.
+and ends count as characters. The kernel of two words is the inner product of their triples to POWER,
+that of two sentences the sum over their words (see ``WordKernel``). Landmarks are words and word
+stems that tell labelled toxic documents from clean ones; a sentence's kernel values at the landmarks,
+times the inverse root of the landmarks' own kernel, are the Nystroem features of a linear SVM.
 
-Labels are of documents, so the SVM learns which sentence of a toxic document is toxic: it starts
-from the sentence nearest to the landmarks and moves to the one that scores highest. A document's
-decision is that of its highest sentence; a sigmoid fitted to the labels turns it into a score.
+Labels are of documents, so the SVM learns which sentences of a toxic document are toxic: it starts
+from those near a landmark and keeps the ones that it scores as toxic, and each document's highest.
+A document's decision is that of its highest sentence; a sigmoid fitted to the labels turns it into
+a score.
 
 Fitting takes a bounded sample of labelled documents (``MAX_PER_CLASS`` of each class, the first by
 a hash of their id, each of at most ``MAX_TRAIN_CHARS`` characters) to the driver. Scoring reads
@@ -38,6 +40,7 @@ N_LANDMARKS = 96
 STEM_LENGTHS = range(4, 11)
 #: A stem is worth a landmark if it adds this share of the toxic documents, decayed by those that cover them.
 LEAST_GAIN = 0.004
+#: Of a stem's gain, what a longer form must keep; of a landmark, what makes a sentence near it.
 NEARLY = 0.8
 SPAN = 5
 DECAY = 0.6
@@ -78,9 +81,15 @@ def tokens(text: str | None) -> list[str]:
 
 
 class WordKernel:
-    """Kernel values of words at fixed landmarks."""
+    """Kernel values of words at fixed landmarks.
+
+    A word's features are its triples, each with the weight of its tightest occurrence; a landmark is
+    the point ``features / their squared length``, so a word that holds a landmark whole has the inner
+    product 1 with it. The kernel is that inner product to POWER: symmetric and positive
+    semidefinite, as any power of an inner product is. Words near nothing are left out by FLOOR."""
 
     def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
         code = {c: k for k, c in enumerate(sorted({c for z in landmarks for c in z if c < "\uffff"}), 1)}
         self.base = len(code) + 1
         self.codes = np.zeros(1 << 16, dtype=np.int32)
@@ -92,35 +101,36 @@ class WordKernel:
             for at, first in enumerate(codes):
                 for i, j in _OFFSETS:
                     if at + j < len(codes):
-                        triples[(first * self.base + codes[at + i]) * self.base + codes[at + j]][m] += DECAY ** (j - 2)
-        scale = np.array([math.sqrt(self.weight(len(z))) for z in landmarks])
+                        weights = triples[(first * self.base + codes[at + i]) * self.base + codes[at + j]]
+                        weights[m] = max(weights[m], DECAY ** (j - 2))
+        points = np.array([triples[t] for t in sorted(triples)]).reshape(len(triples), len(landmarks))
+        points /= np.maximum(1e-9, (points**2).sum(axis=0))
+        #: kernel values of the landmarks at each other
+        self.inner = (points.T @ points) ** POWER
         self.row = np.zeros(self.base**3, dtype=np.int32)
-        self.values = np.zeros((len(triples) + 1, len(landmarks)), dtype=np.float32)
-        for k, (triple, value) in enumerate(sorted(triples.items()), 1):
-            self.row[triple], self.values[k] = k, value / scale**2
-
-    @staticmethod
-    def weight(length: int) -> float:
-        """Squared weights of all triples of a landmark: what scales its kernel values."""
-        return max(1e-9, sum(max(0, length - j) * DECAY ** (2 * (j - 2)) for _, j in _OFFSETS))
+        self.row[sorted(triples)] = np.arange(1, len(triples) + 1)
+        self.values = np.r_[np.zeros((1, len(landmarks))), points].astype(np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """(word, landmark) -> kernel value; words carry their start and end marks."""
         words = [w if w.isascii() else _BEYOND.sub("\0", w) for w in words]
         lengths = np.array([len(w) for w in words])
         codes = self.codes[np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), dtype="<u2")]
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int64), lengths)
         out = np.zeros((len(words), self.values.shape[1]), dtype=np.float32)
-        for i, j in _OFFSETS:
-            if len(codes) <= j:
-                continue
-            row = self.row[(codes[: len(codes) - j] * self.base + codes[i : len(codes) - j + i]) * self.base + codes[j:]]
-            at = np.flatnonzero((row > 0) & (word[: len(word) - j] == word[j:]))
-            if len(at):
-                owner = word[at]
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                out[owner[first]] += np.float32(DECAY ** (j - 2)) * np.add.reduceat(self.values[row[at]], first, axis=0)
-        out = np.minimum(out, 1) ** POWER
+        found, weights = [], []
+        for i, j in _OFFSETS:  # tighter ones first
+            if len(codes) > j:
+                row = self.row[(codes[: len(codes) - j] * self.base + codes[i : len(codes) - j + i]) * self.base + codes[j:]]
+                at = np.flatnonzero((row > 0) & (word[: len(word) - j] == word[j:]))
+                found.append(word[at] * len(self.values) + row[at])
+                weights.append(np.full(len(at), DECAY ** (j - 2), dtype=np.float32))
+        if found and sum(map(len, found)):
+            held, tightest = np.unique(np.concatenate(found), return_index=True)
+            owner, row = np.divmod(held, len(self.values))
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[owner[first]] = np.add.reduceat(self.values[row] * np.concatenate(weights)[tightest, None], first, axis=0)
+        out = out**POWER
         out[out < FLOOR] = 0
         return out
 
@@ -163,7 +173,7 @@ class Model:
         best, sentence, other = -math.inf, None, False
         for t in [*found, "\n"]:
             if t in hot:
-                sentence = near[t] if sentence is None else np.maximum(sentence, near[t])
+                sentence = near[t] if sentence is None else sentence + near[t]
             elif _is_end(t):
                 if sentence is None:
                     other = True
@@ -260,8 +270,7 @@ def fit(texts: list[tuple[str, int]], toxic_share: float, rounds: int = 5) -> Mo
     if not landmarks:
         return Model(None, constant=toxic_share)
     kernel = WordKernel(landmarks)
-    inner = kernel(landmarks).astype(np.float64)
-    size, basis = np.linalg.eigh((inner + inner.T) / 2)
+    size, basis = np.linalg.eigh(kernel.inner)
     keep = size > 1e-6 * size.max()
     whiten = basis[:, keep] / np.sqrt(size[keep])
     vocabulary = sorted({w for sentences, _ in docs for s in sentences for w in s})
@@ -270,7 +279,7 @@ def fit(texts: list[tuple[str, int]], toxic_share: float, rounds: int = 5) -> Mo
     # sentences near no landmark are alike: one row for all of a document's
     phi, owner = [], []
     for k, (sentences, _) in enumerate(docs):
-        rows = [at_word[[place[w] for w in s]].max(axis=0) for s in sentences]
+        rows = [at_word[[place[w] for w in s]].sum(axis=0) for s in sentences]
         rows = [r for r in rows if r.any()] + [np.zeros(len(landmarks), np.float32)] * (not rows or any(not r.any() for r in rows))
         phi += rows
         owner += [k] * len(rows)
@@ -285,17 +294,22 @@ def fit(texts: list[tuple[str, int]], toxic_share: float, rounds: int = 5) -> Mo
         order = np.lexsort((-value, owner))
         return order[np.searchsorted(owner[order], owner[first])]
 
-    picked = highest(near)
+    # every sentence of a toxic document that is near a landmark, or its nearest one
+    told = (near >= NEARLY) | np.isin(np.arange(len(x)), highest(near))
     for _ in range(rounds):
-        positive = picked[label[owner[picked]] == 1]
+        positive = np.flatnonzero(told & (label[owner] == 1))
+        each = np.bincount(owner[positive], minlength=len(docs))[owner[positive]]
         rows = np.r_[positive, clean]
         y = np.r_[np.ones(len(positive)), -np.ones(len(clean))]
-        w = _svm(x[rows], y, np.r_[np.full(len(positive), 0.5 / max(1, len(positive))), np.full(len(clean), 0.5 / max(1, len(clean)))])
-        new = highest(x @ w[:-1])
-        if np.array_equal(new, picked):
+        w = _svm(x[rows], y, np.r_[0.5 / each / max(1, label.sum()), np.full(len(clean), 0.5 / max(1, len(clean)))])
+        value = x @ w[:-1]
+        picked = highest(value)
+        # those that the model takes for clean stay out, but for a document's highest
+        new = told & (value + w[-1] > 0) | np.isin(np.arange(len(x)), picked)
+        if np.array_equal(new, told):
             break
-        picked = new
-    decision = (x @ w[:-1])[picked] + w[-1]
+        told = new
+    decision = value[picked] + w[-1]
     share = min(max(toxic_share, 1e-3), 1 - 1e-3)
     weight = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
     slope, shift = _sigmoid(decision, label[owner[picked]].astype(float), weight)

@@ -158,6 +158,30 @@ def test_toxicity_on_held_out_documents(spark):
     assert [got[k]["predicted"] for k, _ in odd] == [1, 1, 1, 0]
 
 
+def test_word_kernel_equals_brute_force():
+    """Triples by enumeration, the tightest of each; the landmarks' own kernel has no negative eigenvalue."""
+    rnd = random.Random(5)
+    word = lambda n: "^" + "".join(rnd.choice("abcé") for _ in range(n)) + "$"
+    landmarks, words = [word(rnd.randint(3, 9)) for _ in range(12)], [word(rnd.randint(0, 30)) for _ in range(60)]
+
+    def triples(w):
+        out: dict = {}
+        for a in range(len(w)):
+            for b in range(a + 1, len(w)):
+                for c in range(b + 1, min(len(w), a + toxicity.SPAN)):
+                    out[w[a] + w[b] + w[c]] = max(out.get(w[a] + w[b] + w[c], 0), toxicity.DECAY ** (c - a - 2))
+        return out
+
+    dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
+    kernel = toxicity.WordKernel(landmarks)
+    marks = [triples(z) for z in landmarks]
+    want = np.array([[(dot(triples(w), z) / dot(z, z)) ** toxicity.POWER for z in marks] for w in words])
+    want[want < toxicity.FLOOR] = 0
+    assert np.allclose(kernel(words), want, rtol=1e-3)
+    inner = np.array([[(dot(x, z) / dot(x, x) / dot(z, z)) ** toxicity.POWER for z in marks] for x in marks])
+    assert np.allclose(kernel.inner, inner) and np.linalg.eigvalsh(kernel.inner).min() > -1e-12
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Menu {k}</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; {k}</h1><p><b>First   {k}<br><p>Second&nbsp;{k} &copy</p><div class=comments><p>Reader says</div><form><input>Send</form></article>
 <aside>Side {k}</aside><div class="ad">Buy</div><footer>(c)</footer>"""
