@@ -1,30 +1,39 @@
 """PII: detected entities get keyed surrogates of the same type, format, script and gender.
 
-Detection and replacement are Spark expressions. Emails, phone numbers, card and account numbers,
-IP addresses, IBANs, social security numbers and secrets are rewritten by a keyed permutation of
-their letters, digits or address halves (each moves by a keyed hash of the others, both ways): it is one-to-one on all strings of one shape, so
-different entities stay different and an entity has the same surrogate wherever it stands. Country
-codes, top-level domains, key prefixes and check-digit validity of card numbers stay as they are; a
-mail domain is rewritten by itself, so addresses of one domain keep one. Names after a title get a
-given name of the title's gender and a family name, both in the title's script, from lists and
-syllables; here two names can meet, so the distinct entities of the whole corpus are checked, and all
-but one of those that share a surrogate are drawn again until none do.
+Detection and replacement are Spark expressions. Emails, phone numbers, card numbers, IP addresses,
+IBANs, social security numbers and secrets are rewritten by a keyed permutation of their letters,
+digits or address halves (each moves by a keyed hash of the others, both ways): it is one-to-one on
+all strings of one shape, so an entity has the same surrogate wherever it stands and different ones
+stay different. Country codes, top-level domains, key prefixes and the check digit of card numbers
+stay valid; a mail domain is rewritten by itself, so addresses of one domain keep one. Digit runs
+are card numbers only if their first digit is an issuer's and their check digit is right.
+
+Names are found after a title. Given and family names are entities of their own, so ``Mr Smith`` and
+``Mr John Smith`` keep one family name; a given name gets one of the title's gender, both in the
+name's script. Where a document has a titled name, its given and family names are also replaced
+where they stand without a title. Distinct entities of the whole corpus are checked: those whose
+surrogate is their own text, and all but one of those that share a surrogate, are drawn again.
 
 Defined results: null texts stay null and texts without entities stay as they are; a key must not be
 empty; ties between entities that share a surrogate go by their text; repeated rows get the same
-result; all columns are kept, whatever their names.
+result; all columns are kept, whatever their names and types, but ``pii_entities`` and ``pii_kinds``,
+which are the operator's own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import cut
+from sinkweave.llm.common import cut, fresh
 
-KEY = "sinkweave"
-#: Up to so many drawn-again entities in documents are broadcast (their rows are under 1 KB); beyond, Spark shuffles.
+KEY_CONF = "spark.sinkweave.pii.key"
+#: Up to so many distinct entities are broadcast (their rows are under 1 KB); beyond, Spark shuffles.
 BROADCAST_ROWS = 20_000
+#: Distinct entities whose surrogates one task draws.
+PER_TASK = 5_000
 
 _MALE = r"Mr|Herr|Señor|Sr|Monsieur|господин|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Srta|Madame|Mme|Mlle|госпожа|г-жа"
@@ -38,10 +47,12 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "number": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": rf"(?<![\p{{L}}0-9])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_CAPITAL}(?: {_CAPITAL})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every entity has: a quick test before the patterns are tried at each place.
+GATE = rf"[@0-9]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|{_MALE}|{_FEMALE}|{_NEUTRAL}"
 
 GIVEN = {
     ("male", "latin"): "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nils Oskar Paul Robert Simon Tomas Victor".split(),
@@ -55,8 +66,17 @@ SYLLABLES = {
 }
 
 
-def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+_run_keys: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key of ``KEY_CONF``; without one, a random key for as long as the application runs."""
+    return spark.conf.get(KEY_CONF, None) or _run_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def entities(text: Column, pattern: Column | None = None) -> Column:
+    found = F.regexp_extract_all(text, F.lit(ANY) if pattern is None else pattern, F.lit(0))
+    return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(entity: Column) -> Column:
@@ -111,15 +131,15 @@ def _luhn(text: Column, shift: int) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, b: a + b)
 
 
-def _ip(text: Column, key: str) -> Column:
+def _ip(text: Column, tag: Column, key: str) -> Column:
     """The address as two 16-bit halves that move by each other in turn."""
     octet = [F.element_at(F.split(text, r"\."), k).cast("int") for k in (1, 2, 3, 4)]
     left, right = octet[0] * 256 + octet[1], octet[2] * 256 + octet[3]
     for r in range(3):
         if r % 2 == 0:
-            left = F.pmod(left + _draw(key, F.lit(f"ip{r}"), right.cast("string")), F.lit(65536))
+            left = F.pmod(left + _draw(key, tag, F.lit(str(r)), right.cast("string")), F.lit(65536))
         else:
-            right = F.pmod(right + _draw(key, F.lit(f"ip{r}"), left.cast("string")), F.lit(65536))
+            right = F.pmod(right + _draw(key, tag, F.lit(str(r)), left.cast("string")), F.lit(65536))
     return F.concat_ws(".", *[x.cast("string") for half in (left, right) for x in (F.floor(half / 256), F.pmod(half, F.lit(256)))])
 
 
@@ -127,81 +147,84 @@ def _picked(items: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), F.pmod(number, F.lit(len(items))).cast("int") + 1)
 
 
-def _name(text: Column, attempt: Column, key: str) -> Column:
-    title = F.regexp_extract(text, r"^(\S+?\.?) ", 1)
-    rest = F.split(F.regexp_replace(text, r"^\S+ ", ""), " ")
-    family = F.element_at(rest, -1)
+def _title_gender(title: Column, given: Column, key: str) -> Column:
+    """Of a title; one that has none follows its given name."""
     bare = F.regexp_replace(title, r"\.$", "")
+    drawn = F.when(F.pmod(_draw(key, F.lit("gender"), F.coalesce(given, F.lit(""))), F.lit(2)) == 0, "male").otherwise("female")
+    return F.when(bare.rlike(f"^(?:{_FEMALE})$"), "female").when(bare.rlike(f"^(?:{_MALE})$"), "male").otherwise(drawn)
+
+
+def _name(text: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """Surrogates of given and family names: from the lists and syllables, longer with every draw."""
     cyrillic = text.rlike(r"\p{IsCyrillic}")
-    drawn = F.when(F.size(rest) > 1, _draw(key, F.lit("given"), F.element_at(rest, 1), attempt.cast("string"))).otherwise(F.lit(0))
-    gender = F.when(bare.rlike(f"^(?:{_FEMALE})$"), "female").when(bare.rlike(f"^(?:{_MALE})$"), "male").otherwise(F.when(F.pmod(drawn, F.lit(2)) == 0, "male").otherwise("female"))
-    given = None
-    for (g, s), names in GIVEN.items():
-        is_it = (gender == g) & (cyrillic == F.lit(s == "cyrillic"))
-        picked = _picked(names, F.shiftright(drawn, 1))
-        given = F.when(is_it, picked) if given is None else given.when(is_it, picked)
-    # a family keeps its surrogate with every given name; one drawn again after a clash has a longer
-    # one of its own, and a longer one still with every further draw
-    number = F.when(attempt == 0, _draw(key, F.lit("family"), family)).otherwise(_draw(key, F.lit("again"), text, attempt.cast("string")))
+    number = _draw(key, kind, text, F.when(attempt > 0, attempt.cast("string")).otherwise(""))
 
-    def built(s: str) -> Column:
-        n = len(SYLLABLES[s])
-        parts = [_picked(SYLLABLES[s], (number / n**k).cast("long")) for k in range(9)]
-        return F.initcap(F.concat(*parts[:3], *[F.when(attempt > (k - 3) // 2, parts[k]).otherwise("") for k in range(3, 9)]))
+    def built(script: str, least: int) -> Column:
+        n = len(SYLLABLES[script])
+        parts = [_picked(SYLLABLES[script], (number / n**k).cast("long")) for k in range(9)]
+        return F.concat(*[F.lit(""), *parts[:least]], *[F.when(attempt > (k - least) // 2, parts[k]).otherwise("") for k in range(least, 9)])
 
-    whole = F.when(cyrillic, built("cyrillic")).otherwise(built("latin"))
-    return F.concat_ws(" ", title, F.when(F.size(rest) > 1, given), whole)
+    family = F.initcap(F.when(cyrillic, built("cyrillic", 3)).otherwise(built("latin", 3)))
+    given = None
+    for (gender, script), names in GIVEN.items():
+        is_it = (kind == f"given {gender}") & (cyrillic == F.lit(script == "cyrillic"))
+        picked = F.concat(_picked(names, _draw(key, F.lit("list"), text)), built(script, 0))
+        given = F.when(is_it, picked) if given is None else given.when(is_it, picked)
+    return F.when(kind == "family", family).otherwise(given)
 
 
-def with_surrogates(rows: DataFrame, key: str = KEY) -> DataFrame:
-    """Adds ``kind`` and ``s``, the replacement, to rows of ``entity`` and ``attempt`` (how often it
-    was drawn again). Every step is a column of its own, so no expression is nested deeply."""
-    e, kind = F.col("entity"), F.col("kind")
+def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``s``, the replacement, to rows of ``kind``, ``entity`` and ``attempt`` (how often it was
+    drawn again). Every step is a column of its own, so no expression is nested deeply."""
+    e, kind, attempt = F.col("entity"), F.col("kind"), F.col("attempt")
+    tag = F.concat(kind, F.when(attempt > 0, attempt.cast("string")).otherwise(""))
     none = F.lit("")
     hexes = e.rlike("^[0-9a-f]{32,}$") | e.rlike("^[0-9A-F]{32,}$")
     email = r"^(.*)@(.*)(\.[A-Za-z]+)$"
-    rows = rows.withColumn("kind", kind_of(e)).withColumn("_sets", F.when((kind == "secret") & hexes, F.when(e.rlike("[a-f]"), "hex").when(e.rlike("[A-F]"), "HEX").otherwise("hex")).otherwise("all"))
+    rows = rows.withColumn("_sets", F.when((kind == "secret") & hexes, F.when(e.rlike("[a-f]"), "hex").when(e.rlike("[A-F]"), "HEX").otherwise("hex")).otherwise("all"))
     # front, first permuted part, middle, second permuted part, end
-    front = F.when(kind == "phone", F.regexp_extract(e, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)).when((kind == "secret") & ~hexes, F.regexp_extract(e, r"^(AKIA|gh[pousr]_|sk-)?", 0)).when(kind == "iban", F.substring(e, 1, 2)).otherwise(none)
+    front = F.when(kind == "phone", F.regexp_extract(e, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)).when((kind == "secret") & ~hexes, F.regexp_extract(e, r"^(AKIA|gh[pousr]_|sk-)?", 0)).when(kind == "iban", F.substring(e, 1, 2)).when(kind == "card", F.substring(e, 1, 1)).otherwise(none)
     rows = rows.withColumn("_front", front)
     one = (
         F.when(kind == "email", F.regexp_extract(e, email, 1))
-        .when(kind == "number", F.substring(e, F.lit(1), F.length(e) - 1))
+        .when(kind == "card", F.substring(e, F.lit(2), F.length(e) - 2))
         .when(kind.isin("phone", "secret", "iban", "ssn"), F.substring(e, F.length("_front") + 1, F.length(e)))
         .otherwise(none)
     )
     rows = rows.withColumn("_one", one).withColumn("_two", F.when(kind == "email", F.regexp_extract(e, email, 2)).otherwise(none))
-    for name, tag in (("_one", kind), ("_two", F.lit("domain"))):
+    for name, said in (("_one", tag), ("_two", F.lit("domain"))):
         for forward in (True, False):
             passed = None
             for which, sets in (("hex", _HEX), ("HEX", _UPPER_HEX), ("all", _SETS)):
-                moved = _pass(F.col(name + ("" if forward else "1")), key, tag, sets, forward)
+                moved = _pass(F.col(name + ("" if forward else "1")), key, said, sets, forward)
                 passed = F.when(F.col("_sets") == which, moved) if passed is None else passed.when(F.col("_sets") == which, moved)
             rows = rows.withColumn(name + ("1" if forward else "2"), passed)
-    check = F.pmod(F.substring(e, F.length(e), F.lit(1)).cast("int") + _luhn(F.col("_one"), 1) - _luhn(F.col("_one2"), 1), F.lit(10)).cast("string")
+    check = F.pmod(-_luhn(F.concat("_front", "_one2"), 1), F.lit(10)).cast("string")
     rows = rows.withColumn(
         "s",
         F.when(kind == "email", F.concat("_one2", F.lit("@"), "_two2", F.regexp_extract(e, email, 3)))
-        .when(kind == "ip", _ip(e, key))
-        .when(kind == "number", F.concat("_one2", check))
-        .when(kind == "name", _name(e, F.col("attempt"), key))
+        .when(kind == "ip", _ip(e, tag, key))
+        .when(kind == "card", F.concat("_front", "_one2", check))
+        .when(kind.isin("family", "given male", "given female"), _name(e, kind, attempt, key))
         .otherwise(F.concat("_front", "_one2")),
     )
     return rows.drop("_sets", "_front", "_one", "_one1", "_one2", "_two", "_two1", "_two2")
 
 
-def clashes(found: DataFrame, key: str = KEY, most: int = 200) -> DataFrame:
-    """``found(entity)`` -> (entity, attempt) of those that must be drawn again so that no two
-    entities share a surrogate. Distinct entities only, folded on the map side first."""
-    now = cut(with_surrogates(found.select("entity").distinct().withColumn("attempt", F.lit(0)), key).select("entity", "attempt", "s"), "pii-entities")
-    same = Window.partitionBy("s").orderBy("attempt", "entity")
+def surrogates(found: DataFrame, key: str, most: int = 200) -> DataFrame:
+    """``found(kind, entity)`` -> (kind, entity, s), distinct: no entity keeps its text, and no two of one
+    kind share a surrogate. Distinct entities only, folded on the map side first."""
+    distinct = cut(found.select("kind", "entity").distinct().withColumn("attempt", F.lit(0)), "pii-distinct")
+    spread = distinct.repartition(distinct.count() // PER_TASK + 1)
+    now = cut(with_surrogates(spread, key).select("kind", "entity", "attempt", "s"), "pii-entities")
+    same = Window.partitionBy("kind", "s").orderBy("attempt", "entity")
     for _ in range(most):
         ranked = now.withColumn("nth", F.row_number().over(same))
-        again = cut(ranked.filter("nth > 1").select("entity", (F.col("attempt") + 1).alias("attempt")), "pii-again")
+        again = cut(ranked.filter("nth > 1 or s = entity").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), "pii-again")
         if again.isEmpty():
-            return now.filter("attempt > 0").select("entity", "attempt")
-        drawn = with_surrogates(again, key).select("entity", "attempt", "s")
-        now = cut(now.join(again.select("entity"), "entity", "left_anti").unionByName(drawn), "pii-entities")
+            return now.select("kind", "entity", "s")
+        drawn = with_surrogates(again, key).select("kind", "entity", "attempt", "s")
+        now = cut(now.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(drawn), "pii-entities")
     raise RuntimeError(f"surrogates still clash after {most} draws")
 
 
@@ -209,27 +232,62 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+def _card(entity: Column) -> Column:
+    return F.pmod(_luhn(entity, 0), F.lit(10)) == 0
+
+
+def _parts(found: DataFrame, key: str) -> DataFrame:
+    """Rows of ``entity``, ``kind`` as rows of parts: ``part``, ``kind``, ``entity``, ``as`` (the kind that
+    is reported). A name has a title, which stays (no kind), and names; what is no card stays too."""
+    words = F.split(F.col("entity"), " ")
+    title = F.regexp_extract("entity", r"^(\S+?\.?) ", 1)
+    given = F.when(F.size(words) > 2, F.get(words, 1))
+    none = F.lit(None).cast("string")
+    row = lambda n, kind, entity, told: F.struct(F.lit(n).alias("part"), kind.alias("kind"), entity.alias("entity"), told.alias("as"))
+    told = F.when(F.col("kind").isin("family", "given male", "given female"), "name").otherwise(F.col("kind"))
+    name = F.filter(F.array(
+        row(0, none, title, F.lit("name")), row(1, F.concat(F.lit("given "), _title_gender(title, given, key)), given, F.lit("name")), row(2, F.lit("family"), F.element_at(words, -1), F.lit("name"))), lambda x: x["entity"].isNotNull())
+    plain = F.when((F.col("kind") == "card") & ~_card(F.col("entity")), F.array(row(0, none, F.col("entity"), none))).otherwise(F.array(row(0, F.col("kind"), F.col("entity"), told)))
+    return found.withColumn("_x", F.explode(F.when(F.col("kind") == "name", name).otherwise(plain))).drop("entity", "kind").select("*", "_x.*").drop("_x")
+
+
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, and two columns more: ``pii_entities`` (long) and
     ``pii_kinds`` (distinct, sorted, comma-joined).
 
     Only entities and their places are shuffled to be replaced; a document's come back as one array."""
     if not key:
         raise ValueError("a key is needed")
-    found = docs.select(F.col("doc_id").alias("_pii_id"), F.xxhash64("text").alias("_pii_text"), F.posexplode(entities(F.col("text"))).alias("at", "entity"))
-    found = cut(found.distinct(), "pii-found")  # of repeated rows once
-    again = clashes(found, key)
-    drawn = found.join(_bounded(again), "entity", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-    made = (
-        with_surrogates(drawn, key).groupBy("_pii_id", "_pii_text")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("_pii_new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("pii_kinds"))
-    )
-    made = made.withColumnRenamed("_pii_id", "_pii_id2").withColumnRenamed("_pii_text", "_pii_text2")
-    base = docs.join(made, F.col("doc_id").eqNullSafe(F.col("_pii_id2")) & (F.xxhash64("text") == F.col("_pii_text2")), "left")
-    new = F.array_join(F.zip_with(F.split("text", ANY, -1), "_pii_new", lambda part, x: F.concat(part, F.coalesce(x["s"], F.lit("")))), "")
-    text = F.when(F.col("_pii_new").isNull(), F.col("text")).otherwise(new)
+    docs = docs.drop("pii_entities", "pii_kinds")
+    at_id, at_text = ["_pii_id", "_pii_text"], F.xxhash64("text")
+    keyed = docs.select(F.col("doc_id").alias("_pii_id"), at_text.alias("_pii_text"), "text")
+    found = keyed.select(*at_id, F.posexplode(entities(F.col("text"))).alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
+    found = cut(_parts(found.distinct(), key), "pii-found")  # of repeated rows once
+    # names of a document where they stand without a title
+    names = found.filter("kind in ('family', 'given male', 'given female')").select(*at_id, "entity", "kind").groupBy(*at_id, "entity").agg(F.min("kind").alias("kind"))
+    names = names.groupBy(*at_id).agg(F.map_from_entries(F.collect_list(F.struct("entity", "kind"))).alias("words"))
+    by_length = F.array_sort(F.map_keys("words"), lambda x, y: F.length(y) - F.length(x))
+    names = cut(names.withColumn("pattern", F.concat(F.lit(ANY + r"|(?<![\p{L}0-9])(?:"), F.array_join(by_length, "|"), F.lit(r")(?![\p{L}0-9])"))), "pii-names")
+    if not names.isEmpty():
+        again = keyed.join(names.withColumnsRenamed({"_pii_id": "_id", "_pii_text": "_text"}), F.col("_pii_id").eqNullSafe(F.col("_id")) & (F.col("_pii_text") == F.col("_text")))
+        again = again.select(*at_id, "words", F.posexplode(entities(F.col("text"), F.col("pattern"))).alias("at", "entity"))
+        again = again.withColumn("kind", F.coalesce(F.try_element_at("words", F.col("entity")), kind_of(F.col("entity")))).drop("words").distinct()
+        without = found.join(names.select(F.col("_pii_id").alias("_id"), F.col("_pii_text").alias("_text")), F.col("_pii_id").eqNullSafe(F.col("_id")) & (F.col("_pii_text") == F.col("_text")), "left_anti")
+        found = cut(without.unionByName(_parts(again, key).select(*without.columns)), "pii-found")
+    drawn = _bounded(surrogates(found.filter("kind is not null"), key))
+    made = found.join(drawn, ["kind", "entity"], "left").withColumn("s", F.coalesce("s", "entity"))
+    whole = made.groupBy(*at_id, "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]), " ").alias("s"), F.max("as").alias("kind"))
+    whole = whole.groupBy(*at_id).agg(
+        F.array_sort(F.collect_list(F.struct("at", "s"))).alias("new"), F.count("kind").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    whole = whole.join(names.select(*at_id, "pattern").withColumnsRenamed({"_pii_id": "_id", "_pii_text": "_text"}), F.col("_pii_id").eqNullSafe(F.col("_id")) & (F.col("_pii_text") == F.col("_text")), "left").drop("_id", "_text")
+    own = {c: fresh(docs, c) for c in (*at_id, "new", "n", "kinds", "pattern")}
+    whole = whole.withColumnsRenamed(own)
+    base = docs.join(whole, F.col("doc_id").eqNullSafe(F.col(own["_pii_id"])) & (at_text == F.col(own["_pii_text"])), "left")
+    new, pattern = F.col(own["new"]), F.col(own["pattern"])
+    put = lambda between: F.array_join(F.zip_with(between, new, lambda part, x: F.concat(part, F.coalesce(x["s"], F.lit("")))), "")
+    text = F.when(new.isNull(), F.col("text")).when(pattern.isNull(), put(F.split("text", ANY, -1))).otherwise(put(F.split("text", pattern, -1)))
     return base.select(
         *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.size("_pii_new").cast("long"), F.lit(0)).cast("long").alias("pii_entities"),
-        F.coalesce("pii_kinds", F.lit("")).alias("pii_kinds"),
+        F.coalesce(F.col(own["n"]), F.lit(0)).cast("long").alias("pii_entities"),
+        F.coalesce(F.col(own["kinds"]), F.lit("")).alias("pii_kinds"),
     )

@@ -45,7 +45,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.replace(table(spark, sf_dir, "documents"))
+    out = pii.replace(table(spark, sf_dir, "documents"), pii.key_of(spark))
     return out.select("doc_id", "text", F.col("pii_entities").alias("n_entities"), F.col("pii_kinds").alias("kinds"))
 
 

@@ -32,7 +32,7 @@ OPERATORS = {
     "licenses": lambda spark, d: licenses.scan(d),
     "quality": lambda spark, d: quality.judge(d, spark.createDataFrame([(1, 1, 0), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")),
     "bpe": lambda spark, d: bpe.digest(d),
-    "pii": lambda spark, d: pii.replace(d),
+    "pii": lambda spark, d: pii.replace(d, "k"),
 }
 
 
@@ -298,10 +298,19 @@ def test_lexicon_is_a_map_and_shares_suffixes():
     assert len(lex.final) < 30
 
 
+def _luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10
+
+
+def _card(n):
+    return next(f"{n}{c}" for c in range(10) if not _luhn(f"{n}{c}"))
+
+
 def test_pii_is_consistent_and_distinct(spark):
-    texts = [f"mail u{k}.x@mail{k % 3}.example.com tel +1 (2{k:02d}) 555-{k:04d} ip 10.0.{k}.7 id {4000000000000000 + k * 7} tok {k:040x} Mr. A{chr(98 + k % 20)}a Smith" for k in range(60)]
+    texts = [f"mail u{k}.x@mail{k % 3}.example.com tel +1 (2{k:02d}) 555-{k:04d} ip 10.0.{k}.7 id {_card(400000000000000 + k * 7)} tok {k:040x} Mr. A{chr(98 + k % 20)}a Smith" for k in range(60)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, f"again {t} end") for k, t in enumerate(texts)] + [(500, "clean 12 text, 1.5 and 2024-01-02")]
-    out = {r["doc_id"]: r for r in pii.replace(docs(spark, rows)).collect()}
+    out = {r["doc_id"]: r for r in pii.replace(docs(spark, rows), "k").collect()}
     assert out[500]["text"] == rows[-1][1] and out[500]["pii_entities"] == 0
     found = re.compile(r"\S+@\S+|\+1 \(\d+\) \d+-\d+|\d+\.\d+\.\d+\.\d+|\b\d{16}\b|\b[0-9a-f]{40}\b|Mr\. \w+ \w+")
     seen: dict = {}
@@ -313,17 +322,40 @@ def test_pii_is_consistent_and_distinct(spark):
             assert a.startswith("Mr.") or re.sub("[0-9a-f]" if len(a) == 40 else "[0-9]" if a[0] in "+0123456789" and "@" not in a and a.count(".") < 3 else "[0-9a-z.]+", "x", a)[:3] == re.sub("[0-9a-f]" if len(b) == 40 else "[0-9]" if b[0] in "+0123456789" and "@" not in b and b.count(".") < 3 else "[0-9a-z.]+", "x", b)[:3]
     assert len(set(seen.values())) == len(seen)
     with pytest.raises(ValueError):
-        pii.replace(docs(spark, rows), key="")
+        pii.replace(docs(spark, rows), "")
 
 
 def test_card_numbers_keep_their_check_digit(spark):
-    def luhn(s):
-        d = [int(c) for c in reversed(s)]
-        return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10
-
-    cards = ["4111111111111111", "5500005555555559", "378282246310005", "4111111111111112"]
-    out = pii.replace(docs(spark, list(enumerate(cards)))).collect()
-    assert all(luhn(r["text"]) == luhn(cards[r["doc_id"]]) and r["text"] != cards[r["doc_id"]] for r in out)
+    cards = ["4111111111111111", "5500005555555559", "378282246310005", "4111-1111-1111-1111"]
+    others = ["4111111111111112", "0184490630827271", "1234567890123456"]
+    out = {r["doc_id"]: r for r in pii.replace(docs(spark, list(enumerate(cards + others))), "k").collect()}
+    for k, c in enumerate(cards):
+        assert _luhn(out[k]["text"].replace("-", "")) == 0 and out[k]["text"] != c and out[k]["text"][0] == c[0] and out[k]["pii_kinds"] == "card"
+    assert all(out[len(cards) + k]["text"] == c and out[len(cards) + k]["pii_entities"] == 0 for k, c in enumerate(others))
+
+
+def test_names_keep_their_persons(spark):
+    """One family name for a person however it stands, of the same script; distinct ones for distinct persons."""
+    families = [f"{a}{b}" for a in ("Smi", "Jon", "Bro", "Tay", "Wil", "Dav") for b in ("th", "es", "wn", "lor", "son", "ies")]
+    rows = [(k, f"Mr John {f} met Mrs. Anna {f}. Later Mr {f} wrote, and John left; {f}s Johnny stay") for k, f in enumerate(families)] + [(900, "госпожа Анна Петрова и господин Петров"), (901, "John Smith alone")]
+    out = {r["doc_id"]: r for r in pii.replace(docs(spark, rows), "k").collect()}
+    seen = set()
+    for k, f in enumerate(families):
+        m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Later Mr (\w+) wrote, and (\w+) left; (\w+)s Johnny stay", out[k]["text"])
+        assert m and m[2] == m[4] == m[5] != f and m[1] == m[6] and m[7] == f and out[k]["pii_kinds"] == "name"
+        assert m[1] in pii.GIVEN["male", "latin"] and m[3] in pii.GIVEN["female", "latin"]
+        seen.add(m[2])
+    assert len(seen) == len(families)
+    assert re.fullmatch(r"госпожа [А-Я][а-я]+ [А-Я][а-я]+ и господин [А-Я][а-я]+", out[900]["text"]) and "Петров" not in out[900]["text"]
+    assert out[901]["text"] == "John Smith alone"
+
+
+def test_short_entities_change_and_own_columns_are_replaced(spark):
+    rows = [(k, f"{a}@{b}.io") for k, (a, b) in enumerate((x, y) for x in "abcdefghij" for y in "abcdefghij")]
+    twice = pii.replace(pii.replace(docs(spark, rows), "k"), "k")
+    assert twice.columns.count("pii_kinds") == 1
+    out = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, rows), "k").collect()}
+    assert all(out[k] != t for k, t in rows) and len(set(out.values())) == len(rows)
 
 
 def test_urls(spark):
