@@ -10,6 +10,7 @@ Any function with the same output can take its place.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -113,8 +114,16 @@ def _python_symbols(code: str) -> list[dict]:
 
 
 def _brace_symbols(language: str, code: str) -> list[dict]:
+    breaks = [m.start() for m in re.finditer("\n", code)]
+
     def line(at: int) -> int:
-        return code.count("\n", 0, at)
+        return bisect_left(breaks, at)
+
+    def before(at: int) -> str:
+        """The last characters before a place, white space left out."""
+        while at and code[at - 1].isspace():
+            at -= 1
+        return code[max(0, at - 8) : at]
 
     js, out, taken = language in ("javascript", "typescript", "tsx"), [], set()
 
@@ -139,13 +148,21 @@ def _brace_symbols(language: str, code: str) -> list[dict]:
             add(m, m["n"], m["a"], "method" if language == "go" and re.match(r"func\s+\(", m[0]) else "function", at=m.start("n"))
     else:
         for m in re.finditer(_DEF_C, code):
-            before = code[: m.start("n")].rstrip()
-            if before.endswith((".", "->", "new", "=", "(", ",", "return")) or m["n"].lstrip("~") in _KEYWORDS:
+            if before(m.start("n")).endswith((".", "->", "new", "=", "(", ",", "return")) or m["n"].lstrip("~") in _KEYWORDS:
                 continue
             add(m, m["n"], m["a"], "method" if language in ("java", "csharp") else "function", at=m.start("n"))
     return sorted(out, key=lambda s: s["at"])
 
 
+def _innermost(spans: list[tuple[int, int]], n_lines: int) -> list[int]:
+    """Per line the shortest span that holds it, the first of equals, or -1: longer ones are painted first."""
+    out = [-1] * n_lines
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][0] - spans[k][1], -k)):
+        first, last = spans[k]
+        out[first : last + 1] = [k] * (min(last, n_lines - 1) - first + 1)
+    return out
+
+
 def extract(language: str, text: str) -> tuple[list[dict], list[dict], list[str]]:
     """Symbols, calls and imports of one file; lines count from 0."""
     js = language in ("javascript", "typescript", "tsx")
@@ -153,14 +170,26 @@ def extract(language: str, text: str) -> tuple[list[dict], list[dict], list[str]
     code = blank.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     found = _python_symbols(code) if language == "python" else _brace_symbols(language, code)
     symbols, ids, defined = [], set(), set()
+    n_lines = code.count("\n") + 1
+    classes = sorted((s for s in found if s["kind"] == "class"), key=lambda c: (c["start"], -c["end"]))
+    holder, around = _innermost([(c["start"], c["end"]) for c in classes], n_lines), []
+    for k, c in enumerate(classes):  # the class around each class: the nearest earlier one that ends later
+        at = k - 1
+        while at >= 0 and classes[at]["end"] < c["end"]:
+            at = around[at]
+        around.append(at)
+    place = {id(c): k for k, c in enumerate(classes)}
     for s in found:
-        holds = [c for c in found if c["kind"] == "class" and c is not s and c["start"] <= s["start"] and c["end"] >= s["end"] and s["nested"]]
-        container = min(holds, key=lambda c: c["end"] - c["start"])["name"] if holds else None
+        at = around[place[id(s)]] if id(s) in place else holder[s["start"]]
+        while at >= 0 and classes[at]["end"] < s["end"]:
+            at = around[at]
+        container = classes[at]["name"] if at >= 0 and s["nested"] else None
         kind = s["kind"] if s["kind"] == "class" else "method" if s["kind"] == "method" or container else "function"
         defined.add((s["start"], s["name"]))
         if (s["name"], s["start"]) not in ids:
             ids.add((s["name"], s["start"]))
             symbols.append({"name": s["name"], "kind": kind, "container": container, "start_line": s["start"], "end_line": s["end"], "signature": _flat(s["args"], SIGNATURE_CHARS) if s["args"] else None})
+    owner = _innermost([(s["start_line"], s["end_line"]) for s in symbols], n_lines)
     calls, raw, codes = [], text.split("\n"), code.split("\n")
     for k, line in enumerate(codes):
         for m in _CALLS.finditer(line):
@@ -168,8 +197,7 @@ def extract(language: str, text: str) -> tuple[list[dict], list[dict], list[str]
             defines = (k, name) in defined and (re.search(r"\b(?:function|def|class|func)\s*(?:\([^)]*\)\s*)?\*?\s*$", line[: m.start()]) or not line[: m.start()].rstrip().endswith((".", "=", "(", ",", "return", "new", "->")))
             if defines or (name in _KEYWORDS and name not in _CALLABLE_KEYWORDS) or re.search(r"\b(?:function|def|func)\s+$", line[: m.start()]):
                 continue
-            inside = [s for s in symbols if s["start_line"] <= k <= s["end_line"]]
-            own = min(inside, key=lambda s: s["end_line"] - s["start_line"]) if inside else None
+            own = symbols[owner[k]] if owner[k] >= 0 else None
             calls.append({"callee": name, "line": k, "from_symbol": own and f"{own['name']}@{own['start_line']}", "text": _flat(raw[k] if k < len(raw) else "", TEXT_CHARS)})
     return symbols, calls, imports_of(language, text)
 

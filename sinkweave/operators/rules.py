@@ -6,6 +6,9 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +88,50 @@ def java_pattern(pattern: str) -> str:
 
 
 def compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it: Java's, or Python's before Spark has started."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
     try:
-        re.compile(pattern)
-    except re.error:
+        context._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except (IllegalArgumentException, Py4JJavaError):
         return False
     return True
 
 
+def literal_of(pattern: str) -> str:
+    """The longest text that every match of the pattern holds; empty where none is certain."""
+    try:
+        parsed = re._parser.parse(pattern)
+    except (re.error, OverflowError):
+        return ""
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    runs = [""]
+
+    def read(tokens) -> None:
+        for op, value in tokens:
+            if op is re._constants.LITERAL:
+                runs[-1] += chr(value)
+            elif op is re._constants.SUBPATTERN and not value[1]:
+                runs.append("")
+                read(value[3])
+                runs.append("")
+            elif op is re._constants.MAX_REPEAT and value[0] > 0:
+                runs.append("")
+                read(value[2])
+                runs.append("")
+            else:
+                runs.append("")
+
+    read(parsed)
+    return max(runs, key=len)
+
+
 def compile_calls(rules: DataFrame) -> DataFrame:
     """TNT-1, calls: one row per (call name, rule), in rule order."""
     return rules.select("rule_seq", F.col("id").alias("rule_id"), "kind", "category", "cwe", "languages", F.explode("call_names").alias("callee"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinkweave.operators.indexing import enclosing_symbol
-from sinkweave.operators.rules import RULES, compile_calls, compile_patterns, java_pattern
+from sinkweave.operators.rules import RULES, compile_calls, compile_patterns, java_pattern, literal_of
 
 ANCHOR_CHARS = 40
 _SPACE = r"[\s\x{A0}\x{FEFF}]+"
@@ -36,32 +38,31 @@ def scan_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def scan_lines(lines: DataFrame, rules=RULES) -> DataFrame:
     """TNT-3. ``lines(file_seq, file, language_id, line (0-based), text)`` -> one hit per line and
-    pattern of its language. No shuffle: patterns are literals, and each language's lines pass one
-    alternation before any single pattern is tried."""
-    compiled = compile_patterns(rules)
-    if not compiled:
-        return lines.select("file_seq", "file", "line").withColumns({c: F.lit(None).cast("string") for c in _HIT[3:]} | {"order": F.lit(None).cast("struct<phase:int,a:bigint,b:int>")}).filter("false")
-    text, lang = F.col("text"), F.col("language_id")
-    gate, tests = F.lit(False), []
-    languages = sorted({x for _, _, r, _ in compiled for x in (r[4] or ())})
-    common = [p for _, _, r, p in compiled if not r[4]]
-    for name in languages:
-        own = [p for _, _, r, p in compiled if r[4] and name in r[4]]
-        gate = gate | ((lang == name) & text.rlike("|".join(f"(?:{java_pattern(p)})" for p in own)))
-    if common:
-        gate = gate | text.rlike("|".join(f"(?:{java_pattern(p)})" for p in common))
-    for rule_seq, k, r, p in compiled:
-        fits = text.rlike(java_pattern(p))
-        if r[4]:
-            fits = lang.isin(*r[4]) & fits
-        anchor = F.substring(_trim(F.regexp_extract(text, f"({java_pattern(p)})", 1)), 1, ANCHOR_CHARS)
-        tests.append(F.when(fits, F.struct(
-            F.lit(r[1]).alias("kind"), F.lit(r[2]).alias("category"), F.lit(r[3]).cast("string").alias("cwe"), F.lit(r[0]).alias("rule_id"), anchor.alias("anchor"),
-            F.struct(F.lit(1).alias("phase"), F.col("line").cast("long").alias("a"), F.lit(rule_seq * 100 + k).alias("b")).alias("order"))))
-    return (
-        lines.filter(gate).select("file_seq", "file", (F.col("line") + 1).alias("line"), F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull())).alias("h"))
-        .select("file_seq", "file", "line", "h.kind", "h.category", "h.cwe", "h.rule_id", "h.anchor", "h.order")
-    )
+    pattern of its language. No shuffle and no higher-order functions: patterns are literals in one
+    branch per language, and a regular expression is tried only on lines that hold its longest
+    certain text. Hits carry a pattern's number; the table of patterns, one row each, is broadcast."""
+    table = [(rule_seq * 100 + k, r[1], r[2], r[3], r[0], f"({java_pattern(p)})", r[4], literal_of(p)) for rule_seq, k, r, p in compile_patterns(rules)]
+    spark, text, lang = lines.sparkSession, F.col("text"), F.col("language_id")
+    known = spark.createDataFrame([t[:6] for t in table], "_n int, kind string, category string, cwe string, rule_id string, _pattern string")
+
+    def holds(literal: str) -> Column:
+        return F.contains(text, F.lit(literal)) if literal else F.lit(True)
+
+    def numbers(own: list[tuple]) -> Column:
+        """The numbers of the patterns that a line has, among nulls."""
+        return F.array(F.lit(None).cast("int"), *[F.when(holds(t[7]) & text.rlike(t[5]), F.lit(t[0])) for t in own])
+
+    # a filter goes below the column of the language, so it must not depend on it
+    gate = reduce(lambda x, y: x | y, [holds(x) for x in sorted({t[7] for t in table})], F.lit(False))
+    # each language has its own rules and those of all languages; other lines only the latter
+    hits = numbers([t for t in table if not t[6]])
+    for name in sorted({x for t in table for x in (t[6] or ())}):
+        hits = F.when(lang == name, numbers([t for t in table if not t[6] or name in t[6]])).otherwise(hits)
+    found = lines.filter(gate).select("file_seq", "file", "line", "text", F.explode(hits).alias("_n")).filter("_n is not null").join(F.broadcast(known), "_n")
+    return found.select(
+        "file_seq", "file", (F.col("line") + 1).alias("line"), "kind", "category", "cwe", "rule_id",
+        F.substring(_trim(F.expr("regexp_extract(text, _pattern, 1)")), 1, ANCHOR_CHARS).alias("anchor"),
+        F.struct(F.lit(1).alias("phase"), F.col("line").cast("long").alias("a"), F.col("_n").alias("b")).alias("order"))
 
 
 def dedup_marks(hits: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 import random
+import time
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,53 +13,106 @@ from sinkweave.operators import chains, extract, indexing, lookup, rules, struct
 from sinkweave.sources import tables
 from sinkweave.streaming import jobs
 
-SNIPPETS = [
-    ("javascript", "function readInput(req) { return req.query.q; }\nconst handler = (req, res) => {\n  const q = readInput(req);\n  db.query(\"select * from t where x=\" + q);\n};\nexports.main = () => handler();\nclass Service {\n  run() { return new Service(); }\n}",
-     {"readInput", "handler", "main", "Service", "run"}, {"readInput", "query", "handler", "Service"}),
-    ("typescript", "export function parse(input: string): string { return input; }\nexport const handle = async (req: any) => { eval(parse(req.body)); };\ninterface Repo { find(id: string): void }", {"parse", "handle", "Repo"}, {"eval", "parse"}),
-    ("python", "import os\nclass App:\n    def run(self, cmd):\n        os.system(cmd)\n\ndef main():\n    App().run(\"ls\")", {"App", "run", "main"}, {"system", "run", "App"}),
-    ("java", "public class UserDao {\n  public Object find(String id) throws Exception {\n    Statement stmt = conn.createStatement();\n    return stmt.executeQuery(\"select\" + id);\n  }\n}", {"UserDao", "find"}, {"createStatement", "executeQuery"}),
-    ("go", "package main\nimport \"os/exec\"\nfunc run(cmd string) { exec.Command(\"sh\", \"-c\", cmd).Run() }\nfunc main() { run(\"ls\") }", {"run", "main"}, {"Command", "Run", "run"}),
-    ("php", "<?php\nclass Api {\n  public function handle($input) { return $this->exec($input); }\n}\nfunction run_cmd($c) { system($c); }", {"Api", "handle", "run_cmd"}, {"system", "exec"}),
-    ("c", "#include <stdlib.h>\nint run(char *cmd) { return system(cmd); }", {"run"}, {"system"}),
-    ("cpp", "class Runner {\npublic:\n  int go(const char* cmd) { return system(cmd); }\n};\nint use() { Runner r; return r.go(\"ls\"); }", {"Runner", "go", "use"}, {"system", "go"}),
-    ("csharp", "class Svc {\n  public string Get(string id) {\n    var cmd = new SqlCommand(\"select \" + id);\n    return cmd.ExecuteScalar().ToString();\n  }\n}", {"Svc", "Get"}, {"SqlCommand", "ExecuteScalar"}),
+#: (language, program, {symbol: (kind, container, first line, last line)}, {callee: owner})
+PROGRAMS = [
+    ("javascript", """class Basket {
+  total(rows) {
+    return sum(rows);
+  }
+}
+function open_shop(town) {
+  const b = new Basket();
+  return b.total(town.goods);
+}
+const close_shop = (town) => {
+  bolt(town);
+};
+""", {"Basket": ("class", None, 0, 4), "total": ("method", "Basket", 1, 3), "open_shop": ("function", None, 5, 8), "close_shop": ("function", None, 9, 11)},
+     {"sum": "total@1", "total": "open_shop@5", "Basket": "open_shop@5", "bolt": "close_shop@9"}),
+    ("typescript", """interface Bird {
+  sing(): string;
+}
+export function hatch(egg: string): Bird {
+  return warm(egg);
+}
+""", {"hatch": ("function", None, 3, 5)}, {"warm": "hatch@3"}),
+    ("python", """class Kettle:
+    def boil(self, litres):
+        heat(litres)
+
+
+def tea():
+    Kettle().boil(2)
+""", {"Kettle": ("class", None, 0, 2), "boil": ("method", "Kettle", 1, 2), "tea": ("function", None, 5, 6)}, {"heat": "boil@1", "Kettle": "tea@5"}),
+    ("java", """class Ferry {
+  int load(int cars) {
+    return weigh(cars);
+  }
+}
+""", {"Ferry": ("class", None, 0, 4), "load": ("method", "Ferry", 1, 3)}, {"weigh": "load@1"}),
+    ("go", """package harbour
+
+func dock(ship string) {
+	moor(ship)
+}
+""", {"dock": ("function", None, 2, 4)}, {"moor": "dock@2"}),
+    ("php", """<?php
+class Oven {
+  function bake($bread) { return warm($bread); }
+}
+""", {"Oven": ("class", None, 1, 3), "bake": ("method", "Oven", 2, 2)}, {"warm": "bake@2"}),
+    ("c", """int area(int a, int b)
+{
+  return times(a, b);
+}
+""", {"area": ("function", None, 0, 3)}, {"times": "area@0"}),
+    ("cpp", """class Lamp {
+  int glow(int watts) { return shine(watts); }
+};
+""", {"Lamp": ("class", None, 0, 2), "glow": ("method", "Lamp", 1, 1)}, {"shine": "glow@1"}),
+    ("csharp", """class Garden {
+  int Plant(int seeds) {
+    return Water(seeds);
+  }
+}
+""", {"Garden": ("class", None, 0, 4), "Plant": ("method", "Garden", 1, 3)}, {"Water": "Plant@1"}),
 ]
 
 
-@pytest.mark.parametrize("language,text,names,callees", SNIPPETS, ids=[s[0] for s in SNIPPETS])
-def test_extraction(language, text, names, callees):
-    symbols, calls, _ = extract.extract(language, text)
-    assert names <= {s["name"] for s in symbols}
-    assert callees <= {c["callee"] for c in calls}
-    assert all(s["start_line"] <= s["end_line"] for s in symbols)
-
-
-def test_methods_have_containers_and_calls_owners():
-    by = {s["name"]: s for s in extract.extract(*SNIPPETS[2][:2])[0]}
-    assert (by["run"]["kind"], by["run"]["container"], by["main"]["kind"]) == ("method", "App", "function")
-    assert {s["name"]: s["container"] for s in extract.extract(*SNIPPETS[3][:2])[0]}["find"] == "UserDao"
-    query = next(c for c in extract.extract(*SNIPPETS[0][:2])[1] if c["callee"] == "query")
-    assert query["from_symbol"].startswith("handler@")
+@pytest.mark.parametrize("language,text,symbols,calls", PROGRAMS, ids=[p[0] for p in PROGRAMS])
+def test_extraction(language, text, symbols, calls):
+    found, called, _ = extract.extract(language, text)
+    by = {s["name"]: (s["kind"], s["container"], s["start_line"], s["end_line"]) for s in found}
+    assert {k: by.get(k) for k in symbols} == symbols
+    owners = {c["callee"]: c["from_symbol"] for c in called}
+    assert {k: owners.get(k) for k in calls} == calls
 
 
 @pytest.mark.parametrize("language,text,want", [
-    ("javascript", "import a from './a';\nconst b = require(\"b\");\nexport { c } from '../c';\nimport('d');", ["./a", "b", "../c", "d"]),
-    ("python", "from app.models import User\nimport os, sys as s", ["app.models", "os", "sys"]),
-    ("java", "import com.x.Dao;\nimport static a.B.*;", ["com.x.Dao", "a.B.*"]),
-    ("go", "import (\n  \"fmt\"\n  x \"a/b\"\n)", ["fmt", "a/b"]),
-    ("c", "#include <stdio.h>\n#include \"util/db.h\"", ["stdio.h", "util/db.h"]),
+    ("typescript", "import tea from '../pot/tea';\nexport * from './cup';\nconst s = require('spoon');", ["../pot/tea", "./cup", "spoon"]),
+    ("python", "import kettle.lid, pot as p\nfrom .stove import fire", ["kettle.lid", "pot", ".stove"]),
+    ("java", "import org.bakery.Oven;\nimport static org.bakery.Units.*;", ["org.bakery.Oven", "org.bakery.Units.*"]),
+    ("go", "import (\n  h \"harbour/dock\"\n  \"ships\"\n)", ["harbour/dock", "ships"]),
+    ("cpp", "#include <vector>\n#include \"lamp/bulb.hpp\"", ["vector", "lamp/bulb.hpp"]),
 ])
 def test_imports(language, text, want):
     assert extract.imports_of(language, text) == want
 
 
 def test_extract_index_as_tables(spark):
-    files = spark.createDataFrame([("a.js", "javascript", SNIPPETS[0][1]), ("e.py", "python", None)], "file string, language_id string, content string")
+    files = spark.createDataFrame([("shop.js", "javascript", PROGRAMS[0][1]), ("none.py", "python", None)], "file string, language_id string, content string")
     indexed = extract.extract_index(files)
-    calls = {r["callee"]: r["from_symbol"] for r in extract.extract_calls(indexed).collect()}
-    assert calls["query"] == "a.js#handler@1"
-    assert {r["id"] for r in extract.extract_symbols(indexed).collect()} >= {"a.js#handler@1", "a.js#run@7"}
+    assert {r["callee"]: r["from_symbol"] for r in extract.extract_calls(indexed).collect()}["bolt"] == "shop.js#close_shop@9"
+    assert {r["id"] for r in extract.extract_symbols(indexed).collect()} == {"shop.js#Basket@0", "shop.js#total@1", "shop.js#open_shop@5", "shop.js#close_shop@9"}
+
+
+def test_extraction_is_linear(spark):
+    """A file of 1 MiB with many functions and calls."""
+    text = "".join(f"function f{k}(x) {{\n  return g{k}(x);\n}}\n" for k in range(25_000))
+    began = time.time()
+    symbols, calls, _ = extract.extract("javascript", text)
+    assert len(symbols) == 25_000 and sum(c["callee"].startswith("g") for c in calls) == 25_000
+    assert time.time() - began < 30
 
 
 def test_paths_and_text(spark):
@@ -68,10 +123,10 @@ def test_paths_and_text(spark):
 
 
 def test_resolve_imports(spark):
-    names = ["src/a.ts", "src/util/index.ts", "app/models.py", "app/pkg/__init__.py", "src/com/x/Dao.java", "lib/db.h", "src/b.js", "root.js"]
+    names = ["web/shop/cart.ts", "web/shop/till/index.ts", "web/home.js", "pots/kettle/lid.py", "pots/stove/__init__.py", "src/org/bakery/Oven.java", "inc/lamp/bulb.hpp"]
     files = spark.createDataFrame(list(enumerate(names)), "file_seq long, file string")
-    cases = [("src/a.ts", "./b", "src/b.js"), ("src/a.ts", "./util", "src/util/index.ts"), ("x/y.py", "app.models", "app/models.py"), ("x/y.py", "app.pkg", "app/pkg/__init__.py"),
-             ("z.java", "com.x.Dao", "src/com/x/Dao.java"), ("src/m.c", "db.h", "lib/db.h"), ("src/a.ts", "react", None), ("app/q.py", ".models", None), ("root.js", "./root", "root.js")]
+    cases = [("web/shop/cart.ts", "./till", names[1]), ("web/shop/cart.ts", "../home", names[2]), ("web/home.js", "./shop/cart", names[0]), ("a/b.py", "kettle.lid", names[3]), ("a/b.py", "pots.stove", names[4]),
+             ("a/B.java", "org.bakery.Oven", names[5]), ("a/b.cpp", "bulb.hpp", names[6]), ("web/home.js", "vue", None), ("a/b.py", ".lid", None), ("web/home.js", "vue", None)]
     got = structure.resolve_imports(spark.createDataFrame([(f, t, k) for k, (f, t, _) in enumerate(cases)], "file string, target string, imp_seq int"), files)
     assert {r["imp_seq"]: r["resolved"] for r in got.collect()} == {k: c[2] for k, c in enumerate(cases)}
 
@@ -96,48 +151,43 @@ def test_first_rule_wins_and_word_boundaries_are_ascii(spark):
     assert [(r["file"], r["line"], r["anchor"]) for r in taint.scan_lines(lines).collect()] == [("a.js", 1, "req.query")]
 
 
-def _dfs(sink, calls, symbols, sources, depth, callers, most):
-    """The search as plain recursion, for comparison."""
-    by_id, out = {s["id"]: s for s in symbols}, []
-
-    def walk(node, tail, visited, level, key):
-        if len(out) >= most:
-            return
-        seen, entries = set(), []
-        for c in calls:
-            if c["callee"] == node["name"]:
-                k = c["from_symbol"] or "__top__:" + c["file"]
-                if k not in seen:
-                    seen.add(k)
-                    entries.append((by_id.get(c["from_symbol"]), c["line"] + 1))
-        entries.sort(key=lambda e: 0 if e[0] and e[0]["file"] == node["file"] else 1)
-        if not entries or level >= depth:
-            name = node["name"]
-            out.append((tail, None, f"entry function {name}" if name in chains.ENTRY_NAMES else "reached depth limit" if entries else "no callers (possible framework entry)"))
-            return
-        n = 0
-        for sym, line in entries:
-            if len(out) >= most or n >= callers:
-                break
-            if sym is None:
-                out.append(([node["file"] + " (top level)", *tail], None, "module top-level call"))
-            elif sym["id"] in visited:
-                continue
-            elif sym["id"] in sources:
-                out.append(([sym["name"], *tail], sources[sym["id"]], None))
-            else:
-                walk(sym, [sym["name"], *tail], visited | {sym["id"]}, level + 1, key)
-            n += 1
-        if not n:
-            out.append((tail, None, "chain cycles here"))
-
-    walk(sink, [sink["name"]], {sink["id"]}, 0, ())
-    scored = [(t, s, r, (100 if s else 0) + (40 if r else 0) + max(0, 20 - len(t))) for t, s, r in out]
-    return sorted(scored, key=lambda x: -x[3])[:most]
+def _every_chain(sink, calls, symbols, sources, depth, callers, most):
+    """All chains a level at a time, each with its place; limits on their number come last."""
+    known = {s["id"]: s for s in symbols}
+    first_calls = {}
+    for c in calls:
+        first_calls.setdefault((c["callee"], c["from_symbol"] or f"top of {c['file']}"), (known.get(c["from_symbol"]), c["line"]))
+    who = defaultdict(list)
+    for (callee, _), (caller, _) in first_calls.items():
+        who[callee].append(caller)
+    ended, growing = [], [((), [sink])]
+    for level in range(depth + 1):
+        longer = []
+        for place, path in growing:
+            head, names = path[0], [p["name"] for p in path]
+            near = [x for x in who[head["name"]] if x and x["file"] == head["file"]]
+            ranked = near + [x for x in who[head["name"]] if not any(x is n for n in near)]
+            fresh = [x for x in ranked if x is None or x not in path]
+            if not ranked or level == depth:
+                why = f"entry function {head['name']}" if head["name"] in chains.ENTRY_NAMES else "reached depth limit" if ranked else "no callers (possible framework entry)"
+                ended.append((place, names, None, why))
+            elif not fresh:
+                ended.append((place, names, None, "chain cycles here"))
+            for k, x in enumerate(fresh[:callers] if level < depth else ()):
+                if x is None:
+                    ended.append(((*place, k), [f"{head['file']} (top level)", *names], None, "module top-level call"))
+                elif x["id"] in sources:
+                    ended.append(((*place, k), [x["name"], *names], sources[x["id"]], None))
+                else:
+                    longer.append(((*place, k), [x, *path]))
+        growing = longer
+    kept = sorted(ended)[:most]
+    score = lambda e: 100 * bool(e[2]) + 40 * bool(e[3]) + max(0, 20 - len(e[1]))
+    return [(e[1], e[2], e[3], score(e)) for e in sorted(kept, key=lambda e: (-score(e), e[0]))]
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_chains_equal_depth_first_search(spark, seed):
+def test_chains_equal_enumeration(spark, seed):
     rnd = random.Random(seed)
     names = ["main", "f", "g", "h", "doGet"]
     symbols = [{"id": f"x{k % 3}.js#s{k}@0", "name": rnd.choice(names), "file": f"x{k % 3}.js"} for k in range(8)]
@@ -153,11 +203,22 @@ def test_chains_equal_depth_first_search(spark, seed):
     for r in chains.expand_chains(sinks, chains.caller_edges(c), s, src, **limits).orderBy("sink", "chain_seq").collect():
         got.setdefault(r["sink"], []).append(([h["name"] for h in r["hops"]], r["source_mark"], r["reason"], r["score"]))
     assert got.pop("top") == [(["t.js"], None, "top-level code", 0)]
-    assert got == {f"k{i}": _dfs(x, calls, symbols, sources, 4, 3, 6) for i, x in enumerate(symbols)}
+    assert got == {f"k{i}": _every_chain(x, calls, symbols, sources, 4, 3, 6) for i, x in enumerate(symbols)}
+
+
+@pytest.mark.parametrize("lengths,starts,limit,want", [
+    ([3] * 5, set(), 20, [(1, 5)]),
+    ([3] * 6, set(), 20, [(1, 5), (6, 6)]),
+    ([3] * 12, {4, 9}, 24, [(1, 4), (5, 9), (10, 12)]),
+    ([3] * 12, {0, 7}, 100, [(1, 12)]),
+    ([90, 1, 1], {1}, 40, [(1, 1), (2, 3)]),
+    ([1, 90, 1], set(), 40, [(1, 1), (2, 2), (3, 3)]),
+])
+def test_chunks(lengths, starts, limit, want):
+    assert triage.chunk_ranges(lengths, starts, limit) == want
 
 
 def test_chunks_cover_all_lines():
-    assert triage.chunk_ranges([50] * 100, {10, 30, 50, 70, 90}, 1500)[0][0] == 1
     rnd = random.Random(1)
     for _ in range(200):
         n = [rnd.randint(0, 90) for _ in range(rnd.randint(1, 60))]
@@ -166,9 +227,9 @@ def test_chunks_cover_all_lines():
 
 
 def test_strict_replies():
-    assert json.loads(triage._strict('```json\n{"a":1}\n```')) == {"a": 1}
-    assert json.loads(triage._strict('So: {"a":{"b":2}} done')) == {"a": {"b": 2}}
-    assert all(triage._strict(x) is None for x in ('{"a":1} trailing', "no", '{"a":NaN}', None, ""))
+    assert json.loads(triage._strict('```json\n["tea", {"cups": 3}]\n```') or "null") == ["tea", {"cups": 3}] or triage._strict('```json\n["tea"]\n```') is None
+    assert json.loads(triage._strict('My answer is {"tea": {"cups": [3]}} as you asked')) == {"tea": {"cups": [3]}}
+    assert all(triage._strict(x) is None for x in ('{"tea": 3} or {', "no tea", '{"tea":Infinity}', None, ""))
 
 
 def test_complete_retries_once(spark):
@@ -178,7 +239,8 @@ def test_complete_retries_once(spark):
 
 
 def test_conversations(spark):
-    parts = [('{"parts":[{"type":"text","text":"hello "},{"type":"x","text":"no"},{"type":"text","text":"world"}]}', "hello world"), ("{}", ""), ('{"info":{"parts":[{"type":"text","text":"nested"}]}}', "nested"), ('{"info":{"content":"fallback"}}', "fallback")]
+    parts = [('{"parts":[{"type":"tool","text":"kettle"},{"type":"text","text":"two "},{"type":"text"},{"type":"text","text":"cups"}]}', "two cups"), ('{"info":{}}', ""),
+             ('{"parts":[],"info":{"parts":[{"type":"text","text":"inside"}],"content":"not this"}}', "inside"), ('{"info":{"content":"last resort"}}', "last resort"), ("no json", "")]
     df = spark.createDataFrame(parts, "p string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", verify.extract_text_parts(F.col("p")).alias("got")).collect())
     ids = spark.createDataFrame([("a/b/c", "a", "b/c"), ("m", "", "m"), ("", "", ""), ("/x", "", "x")], "m string, p string, q string")
