@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinkweave.functions import text as tx
+from sinkweave.functions.lineage import shared_dir
 from sinkweave.jobs.bindings import bind, with_bindings
-from sinkweave.operators import indexing, lookup, rules, taint
+from sinkweave.operators import extract, indexing, lookup, rules, taint
+from sinkweave.sources import tables
+from sinkweave.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,13 +92,13 @@ def index_stats(spark, sf_dir):
     return indexing.index_stats(*(bind(spark, sf_dir, n) for n in ("b_files", "b_symbols", "b_calls")))
 
 
-REQUESTS = "SELECT s.id AS req, s.name, f.file AS prefer_file FROM b_symbols s JOIN b_files f ON f.file_seq = (s.file_seq * 7 + s.sym_seq) % (SELECT count(*) FROM b_files) WHERE s.name LIKE 'fn_%'"
+REQUESTS = "SELECT s.id AS req, s.name, f.file AS prefer_file FROM b_symbols s JOIN b_files f ON f.file_seq = (s.file_seq * 7 + s.sym_seq) % (SELECT count(*) FROM b_files)"
 
 
 def _requests(spark, sf_dir):
     s, f = bind(spark, sf_dir, "b_symbols"), bind(spark, sf_dir, "b_files")
     n = f.agg(F.count(F.lit(1)).alias("n"))
-    return s.filter("name like 'fn_%'").crossJoin(n).select(F.col("id").alias("req"), "name", ((F.col("file_seq") * 7 + F.col("sym_seq")) % F.col("n")).alias("k")).join(f.select(F.col("file_seq").alias("k"), F.col("file").alias("prefer_file")), "k").drop("k")
+    return s.crossJoin(n).select(F.col("id").alias("req"), "name", ((F.col("file_seq") * 7 + F.col("sym_seq")) % F.col("n")).alias("k")).join(f.select(F.col("file_seq").alias("k"), F.col("file").alias("prefer_file")), "k").drop("k")
 
 
 RANKED = """
@@ -267,6 +271,55 @@ def apply_status(spark, sf_dir):
     return taint.apply_status(bind(spark, sf_dir, "b_marks"), bind(spark, sf_dir, "b_decisions")).select("id", "status", "origin", "author")
 
 
+FOLDED = """
+SELECT x.id, CASE WHEN x.last IS NULL THEN x.status WHEN x.last = 'exclude' THEN 'excluded' WHEN x.last = 'restore' THEN 'candidate' ELSE 'confirmed' END AS status, CASE WHEN x.by_hand THEN 'manual' ELSE x.origin END AS origin, x.author
+FROM (
+  SELECT t.id, any_value(t.status) AS status, any_value(t.origin) AS origin, arg_max(t.action, (t.ts, t.seq)) AS last, coalesce(bool_or(t.action = 'manual'), false) AS by_hand, arg_max(t.author, (t.ts, t.seq)) FILTER (WHERE t.action IN ('confirm', 'manual')) AS author
+  FROM (
+    SELECT d.id, m.status, m.origin, d.action, d.ts, d.seq, d.author FROM after d LEFT JOIN kept m ON m.id = d.id
+    LEFT JOIN (SELECT id, min(struct_pack(ts := ts, seq := seq)) AS since FROM after WHERE action = 'manual' GROUP BY id) f ON f.id = d.id WHERE m.id IS NOT NULL OR struct_pack(ts := d.ts, seq := d.seq) >= f.since
+    UNION ALL SELECT id, status, origin, NULL, NULL, NULL, NULL FROM kept WHERE id NOT IN (SELECT id FROM after)) t GROUP BY t.id) x"""
+AFTER = "SELECT d.* FROM b_decisions d LEFT JOIN (SELECT id, max(struct_pack(ts := ts, seq := seq)) AS gone FROM b_decisions WHERE action = 'delete' GROUP BY id) g ON g.id = d.id WHERE g.id IS NULL OR struct_pack(ts := d.ts, seq := d.seq) > g.gone"
+KEPT = "SELECT * FROM b_marks WHERE id NOT IN (SELECT id FROM b_decisions WHERE action = 'delete')"
+
+
+@register("fold_decisions", FOLDED, after=AFTER, kept=KEPT)
+def fold_decisions(spark, sf_dir):
+    return jobs.fold_decisions(bind(spark, sf_dir, "b_marks").drop("event_id"), bind(spark, sf_dir, "b_decisions")).select("id", "status", "origin", "author")
+
+
+@register("stream_index", "SELECT file, sha1(content) AS content_hash FROM b_docs")
+def stream_index(spark, sf_dir):
+    """All documents as a stream of file versions, through an index that starts empty."""
+    folder = f"{shared_dir(spark)}/sinkweave/stream-{uuid.uuid4().hex}"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    versions = spark.readStream.schema(documents.schema).parquet(f"{sf_dir}/documents.parque[t]").selectExpr("source || '/' || lang || '/d' || doc_id || '.py' AS file", "text AS content", "doc_id AS ts")
+    jobs.stream_index(versions, lambda new: new.select("file", "content_hash"), f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return jobs.latest(spark, f"{folder}/index")
+
+
+@register("extract_calls", """
+SELECT file, CAST(line AS INTEGER) AS line, CASE WHEN text LIKE '%exec.Command%' THEN 'Command' ELSE regexp_extract(text, 'fn_[0-9]+') END AS callee FROM b_lines WHERE text LIKE '%exec.Command%' OR text LIKE '%fn_%'""")
+def extract_calls(spark, sf_dir):
+    return extract.extract_calls(extract.extract_index(rules.detect_language(content(spark, sf_dir)))).select("file", "line", "callee")
+
+
+@register("write_index", "SELECT f.file, count(s.id) AS n_symbols FROM b_files f LEFT JOIN b_symbols s USING (file) GROUP BY f.file")
+def write_index(spark, sf_dir):
+    """Files by language and symbols, written and read again."""
+    folder = f"{shared_dir(spark)}/sinkweave/index-{uuid.uuid4().hex}"
+    tables.write_index({"files": rules.detect_language(bind(spark, sf_dir, "b_files")), "symbols": bind(spark, sf_dir, "b_symbols")}, folder)
+    files, symbols = spark.read.parquet(f"{folder}/files"), spark.read.parquet(f"{folder}/symbols")
+    return files.join(symbols.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("long").alias("n_symbols"))
+
+
+@register("write_audit", "SELECT path, sha1(replace(path, chr(92), '/')) AS key, content_hash FROM b_analyses")
+def write_audit(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/sinkweave/audit-{uuid.uuid4().hex}"
+    tables.write_audit(bind(spark, sf_dir, "b_analyses"), folder)
+    return spark.read.parquet(folder).select("path", "key", "content_hash")
+
+
 @register("upsert_marks", "SELECT id, status FROM scanned UNION ALL SELECT id, status FROM b_marks WHERE id NOT IN (SELECT id FROM scanned)", **SCAN)
 def upsert_marks(spark, sf_dir):
     return taint.upsert_marks(bind(spark, sf_dir, "b_marks").select("id", "status"), scan_taint(spark, sf_dir).select("id", "status"))

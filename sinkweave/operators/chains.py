@@ -47,14 +47,19 @@ def expand_chains(anchored: DataFrame, edges: DataFrame, symbols: DataFrame, sou
     so keeping the first max_chains of a sink by key after each round loses none of the first.
 
     No node needs more than its first max_callers + max_depth + 1 callers (a path blocks no more), from
-    its own file and overall; only those are joined, so hot names stay small."""
+    its own file and overall; only those are joined, so hot names stay small. A caller of its own file
+    that is among the first overall is left to those."""
     hop = "struct<symbol_id:string,name:string,file:string,line:int>"
     none = F.lit(None).cast("string")
     known = symbols.select(F.col("id").alias("from_symbol"), F.col("name").alias("c_name"), F.col("file").alias("c_file")).join(sources.select(F.col("id").alias("from_symbol"), "source_mark"), "from_symbol", "left")
     edges = edges.join(known, "from_symbol", "left").withColumn("c_id", F.when(F.col("c_name").isNotNull(), F.col("from_symbol")))
     enough = max_callers + max_depth + 1
-    edges = edges.withColumn("r1", F.row_number().over(Window.partitionBy("callee").orderBy("at", "caller"))).withColumn("r2", F.row_number().over(Window.partitionBy("callee", "c_file").orderBy("at", "caller")))
-    edges = cut(edges.filter((F.col("r1") <= enough) | (F.col("c_file").isNotNull() & (F.col("r2") <= enough))).select("callee", "caller", "c_id", "c_name", "c_file", "source_mark", F.col("line").alias("c_line"), "at"), "chain-edges")
+    edges = edges.select("callee", "caller", "c_id", "c_name", "c_file", "source_mark", F.col("line").alias("c_line"), "at")
+    # each limit by itself, so that Spark cuts a hot name's callers before they meet
+    first = lambda *keys: edges.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "caller"))).filter(F.col("_r") <= enough).drop("_r")
+    overall = cut(first("callee"), "chain-edges")
+    beside = cut(first("callee", "c_file").filter("c_file is not null").join(overall.select("callee", "caller"), ["callee", "caller"], "left_anti"), "chain-edges")
+    overall, beside = overall.withColumnRenamed("source_mark", "src"), beside.withColumnRenamed("source_mark", "src")
     top = F.struct(none.alias("symbol_id"), basename(F.col("file")).alias("name"), F.col("file").alias("file"), F.col("line").cast("int").alias("line"))
     first = F.struct(F.col("sym_id").alias("symbol_id"), F.col("sym_name").alias("name"), F.col("sym_file").alias("file"), F.col("line").cast("int").alias("line"))
     inside = F.col("sym_id").isNotNull()
@@ -65,7 +70,7 @@ def expand_chains(anchored: DataFrame, edges: DataFrame, symbols: DataFrame, sou
     for depth in range(max_depth + 1):
         done = state.filter("not open")
         live = state.filter("open").withColumn("name", node["name"]).withColumn("node_file", node["file"])
-        met = live.join(edges.withColumnRenamed("source_mark", "src"), F.col("name") == F.col("callee"), "left")
+        met = live.join(overall, F.col("name") == F.col("callee"), "left").unionByName(live.join(beside, (F.col("name") == F.col("callee")) & (F.col("node_file") == F.col("c_file"))))
         free = F.col("caller").isNotNull() & (F.col("c_id").isNull() | ~F.array_contains("path", F.col("c_id")))
         far = F.when(F.col("c_file") == F.col("node_file"), 0).otherwise(1)
         order = Window.partitionBy("sink", "key", "cyclic").orderBy(far, "at", "caller")

@@ -52,15 +52,26 @@ def stream_index(versions: DataFrame, extract: Callable[[DataFrame], DataFrame],
 
 
 def fold_decisions(marks: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One batch of decisions (id, action, author, ts, seq) folded into marks: statuses by the last of
-    confirm, exclude, restore and manual since the last delete; a delete that comes last removes."""
+    """Decisions (id, action, author, ts, seq), replayed in the order of (ts, seq) on marks. A delete takes
+    the mark and all that came before; confirm, exclude and restore change a mark that is there;
+    manual confirms it, or adds one at the place that its id names. Any split of a log into batches
+    that keeps its order gives the same marks."""
     at = F.struct("ts", "seq")
-    last = decisions.groupBy("id").agg(F.max_by("action", at).alias("last"))
-    gone = last.filter("last = 'delete'")
-    manual = decisions.filter("action = 'manual'").groupBy("id").agg(F.max_by("author", at).alias("_author"), F.max("ts").alias("_ts"))
-    told = decisions.withColumn("action", F.when(F.col("action") == "manual", "confirm").otherwise(F.col("action")))
-    out = taint.apply_status(taint.delete_marks(marks, gone), told)
-    return out.join(manual, "id", "left").withColumn("origin", F.when(F.col("_ts").isNotNull(), "manual").otherwise(F.col("origin"))).drop("_author", "_ts")
+    gone = decisions.filter("action = 'delete'").groupBy("id").agg(F.max(at).alias("_gone"))
+    after = decisions.withColumn("_at", at).join(gone, "id", "left").filter("_gone is null or _at > _gone").drop("_gone")
+    kept = taint.delete_marks(marks, gone)
+    added = after.filter("action = 'manual'").groupBy("id").agg(F.min("_at").alias("_from"))
+    there = kept.select("id", F.lit(True).alias("_there"))
+    told = after.join(there, "id", "left").join(added, "id", "left").filter("_there or _at >= _from").drop("_there", "_from", "_at")
+    by_hand = told.filter("action = 'manual'").groupBy("id").agg(F.max_by("author", at).alias("author"), F.max("ts").cast("string").alias("time"))
+    none = F.lit(None).cast("string")
+    place = r"^([^:]*):(.*):([0-9]+)$"
+    rows = by_hand.select(
+        F.regexp_extract("id", place, 1).alias("kind"), F.regexp_extract("id", place, 2).alias("file"), F.regexp_extract("id", place, 3).cast(kept.schema["line"].dataType).alias("line"),
+        none.alias("symbol"), none.alias("anchor"), "author", "time")
+    whole = kept.withColumns({c: none for c in ("symbol", "anchor", "category", "cwe", "rule_id", "note", "author", "time") if c not in kept.columns})
+    out = taint.apply_manual_marks(whole, rows)
+    return taint.apply_status(out, told.withColumn("action", F.when(F.col("action") == "manual", "confirm").otherwise(F.col("action"))))
 
 
 def stream_decisions(decisions: DataFrame, marks_path: str, checkpoint: str, **trigger):

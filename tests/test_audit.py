@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from sinkweave.functions.lineage import cut
 from sinkweave.functions.text import basename, normalize_path, slice_source, truncated
 from sinkweave.operators import chains, extract, indexing, lookup, rules, structure, taint, triage, verify
 from sinkweave.sources import tables
@@ -276,6 +277,42 @@ def test_streams_equal_batch(spark, tmp_path):
     assert [(r["id"], r["status"], r["author"]) for r in jobs.fold_decisions(marks, acts).collect()] == [("sink:a:1", "excluded", "u")]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_decisions_fold_alike_however_the_log_is_split(spark, seed):
+    rnd = random.Random(seed)
+    ids = [f"{k}:a/{f}.js:{n}" for k in ("sink", "source") for f in "xy" for n in (1, 2)]
+    marks = _marks(spark, [("sink", "candidate", "scan", "a/x.js", 1), ("sink", "excluded", "scan", "a/x.js", 2), ("source", "candidate", "scan", "a/y.js", 1)])
+    log = [(rnd.choice(ids), rnd.choice(["confirm", "exclude", "restore", "manual", "delete"]), f"u{k % 3}", k // 2, k) for k in range(36)]
+    state = {r["id"]: (r["status"], r["origin"]) for r in marks.collect()}
+    for i, action, *_ in log:  # one by one
+        if action == "delete":
+            state.pop(i, None)
+        elif action == "manual":
+            state[i] = ("confirmed", "manual")
+        elif i in state:
+            state[i] = ({"confirm": "confirmed", "exclude": "excluded", "restore": "candidate"}[action], state[i][1])
+    schema = "id string, action string, author string, ts long, seq long"
+    for cuts in ([36], [7, 20, 36]):
+        now, start = marks, 0
+        for end in cuts:
+            now = cut(jobs.fold_decisions(now, spark.createDataFrame(log[start:end], schema)), "folded")
+            start = end
+        assert {r["id"]: (r["status"], r["origin"]) for r in now.collect()} == state
+        assert all(r["id"] == f"{r['kind']}:{r['file']}:{r['line']}" for r in now.collect())
+
+
+def test_stream_of_decisions(spark, tmp_path):
+    schema = "id string, action string, author string, ts long, seq long"
+    src, path = str(tmp_path / "log"), str(tmp_path / "marks")
+    jobs.fold_decisions(_marks(spark, [("sink", "candidate", "scan", "a", 1)]), spark.createDataFrame([], schema)).write.parquet(f"{path}/v{-1:08d}")
+    run = lambda: jobs.stream_decisions(spark.readStream.schema(schema).parquet(src), path, str(tmp_path / "cp")).awaitTermination()
+    spark.createDataFrame([("sink:a:1", "delete", "u", 1, 1)], schema).write.parquet(src)
+    run()
+    spark.createDataFrame([("sink:a:1", "confirm", "u", 2, 2), ("source:b:4", "manual", "w", 2, 3)], schema).write.mode("append").parquet(src)
+    run()
+    assert [(r["id"], r["status"], r["origin"], r["author"]) for r in jobs.latest(spark, path).collect()] == [("source:b:4", "confirmed", "manual", "w")]
+
+
 def test_lookup_ranks_same_file_first(spark):
     s = spark.createDataFrame([("a/x.js#f@0", "f", "a/x.js", 0, 0), ("a/b/y.js#f@0", "f", "a/b/y.js", 1, 0), ("z.js#f@0", "f", "z.js", 2, 0)], "id string, name string, file string, file_seq long, sym_seq int")
     asked = spark.createDataFrame([(1, "f", "a/b/y.js"), (2, "f", None), (3, "f", "q.js")], "req int, name string, prefer_file string")
