@@ -2,29 +2,32 @@
 
 Rules name a host (with all its subdomains) and a path prefix; the longest fitting rule decides.
 Urls without one are judged by a multinomial naive Bayes model over words: names like
-``cheappills`` are split by unigram Viterbi, paths at their separators. Word counts of the unigram
-model come from the titles and url paths of all pages. The model is trained on all pages: those whose
-host has a seed word (or two weak ones) stand for the blocked class, the others for the allowed.
+``cheappills`` are split by unigram Viterbi, paths at their separators; the last and the first part of
+a host, each with the first of the path, are tokens too. Word counts of the unigram model come from
+the titles and url paths of all pages. The model learns the verdicts of the rules; of urls without a
+rule, those whose host has a seed word (or two weak ones) as blocked, and the others, about which
+nobody has said anything, as allowed.
 
-Both models are counted in Spark over all rows; of the counts, the UNIGRAMS and TOKENS most frequent
-words reach the driver and the workers, which bounds the models, not the rows that they judge.
+Nothing is cut: each distinct name meets the counts of its own pieces by a join, and each distinct
+url the odds of its tokens; the table of odds is broadcast while it has few rows. A token that the
+labels never showed has the odds of a word seen in neither class.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
-judged by the class shares alone; without pages of both classes nothing is blocked but by rules;
-repeated rows get the same verdict; other columns are ignored.
+judged by the class shares alone; without labels of both classes nothing is blocked but by rules;
+repeated rows get the same verdict; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import cut, most_frequent
+from sinkweave.llm.common import cut
 from sinkweave.llm.pages import host_of
 
 #: (host, path, verdict)
@@ -40,14 +43,12 @@ SEEDS = frozenset("spam adult casino casinos pills bets ads adserver poker porn
 WEAK_SEEDS = frozenset("bet bonus cheap click crack farm free loan loans promo sex track traffic win winner".split())
 #: Words that are known without having been counted.
 KNOWN = SEEDS | WEAK_SEEDS | frozenset("blog book city cloud code daily data food forum game games health home info life live mail mobile music news online photo shop sport sports store tech time today travel video web wiki world".split())
-UNIGRAMS = 30_000
-TOKENS = 30_000
-#: Longer names are split in pieces of this length, to bound the work on one name.
-LONGEST_NAME = 100
 LONGEST_WORD = 20
-CACHE = 50_000
-_PARTS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
-_PUBLIC = frozenset("www m com net org edu gov info co uk de fr es io".split())
+#: Up to so many tokens with odds are broadcast (under 100 bytes each); beyond, Spark shuffles.
+BROADCAST_ROWS = 100_000
+_PARTS = r"[a-z]+|[0-9]+|[^\x00-\x7f]+"
+#: Names that are words already.
+_WHOLE = ("www", "m", "com", "net", "org", "edu", "gov", "info", "co", "uk", "de", "fr", "es", "io")
 
 
 def path_of(url: Column) -> Column:
@@ -71,24 +72,15 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Unigram Viterbi over one name."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int):
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.base = math.log(total)
-        self.cache: dict[str, list[str]] = {}
 
     def _cost(self, word: str) -> float:
         # an unknown word costs more with every letter
-        return self.cost.get(word) or self.base + 2.3 * len(word)
+        return self.cost[word] if word in self.cost else self.base + 2.3 * len(word)
 
     def split(self, name: str) -> list[str]:
-        if name not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[name] = [w for at in range(0, len(name), LONGEST_NAME) for w in self._split(name[at : at + LONGEST_NAME])]
-        return self.cache[name]
-
-    def _split(self, name: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
             best.append(min((best[start][0] + self._cost(name[start:end]), start) for start in range(max(0, end - LONGEST_WORD), end)))
@@ -99,76 +91,99 @@ class Segmenter:
         return out[::-1]
 
 
-def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Marked words of host and path; numbers count by their length."""
-    out = []
-    for mark, text in (("h:", host), ("p:", path.lower())):
-        for part in _PARTS.findall(text):
-            if part[0].isdigit():
-                out.append(f"{mark}#{min(len(part), 9)}")
-            elif mark == "h:" and part not in _PUBLIC:
-                out += [mark + w for w in segmenter.split(part)]
-            else:
-                out.append(mark + part)
-    return out
-
-
-def is_seed(found: list[str]) -> bool:
-    host = {t[2:] for t in found if t.startswith("h:")}
-    return bool(host & SEEDS) or len(host & WEAK_SEEDS) > 1
-
-
-def unigrams(pages: DataFrame, n: int = UNIGRAMS) -> dict[str, int]:
-    """Counts of the most frequent words of all titles and paths, and of the known words. Hosts don't
-    count: their names are what is to be split."""
+def unigrams(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(w, n), the counts of all words of titles and paths and of the known words, and their sum. Hosts
+    don't count: their names are what is to be split."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1)
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, path_of(F.col("url")))), F.lit("[a-z]{2,20}"), F.lit(0))
     counted = cut(pages.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "url-words")
-    counts = {r["w"]: r["n"] for r in most_frequent(counted, n).collect()}
-    usual = max(1, sum(counts.values()) // 1000)
-    return counts | {w: max(usual, counts.get(w, 0)) for w in KNOWN}
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    usual = max(1, total // 1000)
+    known = pages.sparkSession.createDataFrame([(w, usual) for w in sorted(KNOWN)], "w string, n long")
+    return counted.unionByName(known).groupBy("w").agg(F.max("n").alias("n")), total + usual * len(KNOWN) + 1
 
 
-def _tokens_udf(segmenter: Segmenter):
+def segments(names: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """``names(name)``, distinct -> (name, split): each name meets the counts of its own pieces."""
+    at = F.sequence(F.lit(1), F.length("name"))
+    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - i + 1)), lambda n: F.substring(F.col("name"), i, n))))
+    met = names.select("name", F.explode(F.array_distinct(pieces)).alias("w")).join(words, "w").groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hosts, paths in batches:
-            yield pd.Series([tokens(h, p, segmenter) for h, p in zip(hosts, paths)], dtype="object")
-
-    return F.pandas_udf(run, "array<string>")
-
-
-def train(keyed: DataFrame, segmenter: Segmenter, n: int = TOKENS) -> tuple[dict[str, float], float] | None:
-    """Log odds per token, and of the classes; None without both classes."""
-    seeds = F.filter("t", lambda t: F.substring(t, 3, 100).isin(sorted(SEEDS)) & t.startswith("h:"))
-    weak = F.array_distinct(F.filter("t", lambda t: F.substring(t, 3, 100).isin(sorted(WEAK_SEEDS)) & t.startswith("h:")))
-    rows = keyed.select(_tokens_udf(segmenter)("host", "path").alias("t"))
-    rows = rows.select("t", ((F.size(seeds) > 0) | (F.size(weak) > 1)).cast("int").alias("blocked"))
-    # the number of pages is counted as the token ''
-    each = rows.select("blocked", F.explode(F.array_append("t", "")).alias("t"))
-    counted = cut(each.groupBy("t").agg(F.sum(F.col("blocked")).alias("bad"), F.sum(1 - F.col("blocked")).alias("good"), F.count(F.lit(1)).alias("n")), "url-tokens")
-    n_bad, n_good = next(((r["bad"], r["good"]) for r in counted.filter("t = ''").collect()), (0, 0))
-    found = {r["t"]: (r["bad"], r["good"]) for r in most_frequent(counted.filter("t <> ''"), n).collect()}
-    if not n_bad or not n_good:
+        for own, counts in batches:
+            yield pd.Series([Segmenter({} if c is None else {x["w"]: x["n"] for x in c}, total).split(n) for n, c in zip(own, counts)], dtype="object")
+
+    return names.join(met, "name", "left").select("name", F.pandas_udf(run, "array<string>")("name", "counts").alias("split"))
+
+
+def host_words(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """``hosts(host)``, distinct -> (host, word): all words of each host; numbers by their length."""
+    parts = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit(_PARTS), F.lit(0))).alias("name"))
+    named = parts.filter(F.col("name").rlike("^[a-z]") & ~F.col("name").isin(*_WHOLE))
+    split = segments(named.select("name").distinct(), words, total)
+    whole = parts.join(named.select("name").distinct(), "name", "left_anti").select("host", _number("name").alias("word"))
+    return named.join(split, "name").select("host", F.explode("split").alias("word")).unionByName(whole)
+
+
+def _number(part: str) -> Column:
+    return F.when(F.col(part).rlike("^[0-9]"), F.concat(F.lit("#"), F.least(F.length(part), F.lit(9)))).otherwise(F.col(part))
+
+
+def distinct_urls(keyed: DataFrame, rules=RULES) -> DataFrame:
+    """``keyed(host, path)`` -> host, path, n (pages), rule, said (the rule's verdict)."""
+    rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
+    return keyed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).select("host", "path", "n", rule.alias("rule"), verdict.alias("said"))
+
+
+def url_tokens(urls: DataFrame, words: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(host, path, n, said, token) of every url, and (host) of those with seed words."""
+    own = cut(host_words(urls.select("host").distinct(), words, total), "url-hosts")
+    seeds = own.groupBy("host").agg(
+        F.max(F.col("word").isin(*sorted(SEEDS))).alias("seed"), F.count_distinct(F.when(F.col("word").isin(*sorted(WEAK_SEEDS)), F.col("word"))).alias("weak"))
+    paths = urls.select("host", "path", "n", "said", F.explode(F.regexp_extract_all(F.lower("path"), F.lit(_PARTS), F.lit(0))).alias("part"))
+    paths = paths.select("host", "path", "n", "said", F.concat(F.lit("p:"), _number("part")).alias("token"))
+    ends = [F.regexp_extract("host", p, 0) for p in ("[^.]*$", "^[^.]*")]
+    first = F.regexp_extract(F.lower("path"), _PARTS, 0)
+    pairs = urls.filter("path <> '' and host <> ''").select("host", "path", "n", "said", F.explode(F.array(*[F.concat(F.lit(m), e, F.lit("/"), F.when(first.rlike("^[0-9]"), F.lit("#")).otherwise(first)) for m, e in zip(("l:", "f:"), ends)])).alias("token"))
+    paths = paths.unionByName(pairs)
+    hosts = urls.join(own, "host").select("host", "path", "n", "said", F.concat(F.lit("h:"), "word").alias("token"))
+    return hosts.unionByName(paths), seeds.filter("seed or weak > 1").select("host")
+
+
+def train(labelled: DataFrame, tokens: DataFrame) -> tuple[DataFrame, float, float] | None:
+    """``labelled(host, path, n, blocked)``, ``tokens`` of these -> (token, odds), the odds of an unseen
+    token, and of the classes; None without both classes."""
+    sides = labelled.agg(F.sum(F.col("n") * F.col("blocked")).alias("bad"), F.sum(F.col("n") * (1 - F.col("blocked"))).alias("good")).first()
+    if not sides["bad"] or not sides["good"]:
         return None
-    sum_bad, sum_good = (sum(x[k] for x in found.values()) + len(found) for k in (0, 1))
-    odds = {t: math.log((b + 1) / sum_bad) - math.log((g + 1) / sum_good) for t, (b, g) in found.items()}
-    return odds, math.log(n_bad / n_good)
+    counted = cut(tokens.groupBy("token").agg(F.sum(F.col("n") * F.col("blocked")).alias("bad"), F.sum(F.col("n") * (1 - F.col("blocked"))).alias("good")), "url-odds")
+    sums = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count(F.lit(1)).alias("words")).first()
+    unseen = math.log((sums["good"] + sums["words"] + 1) / (sums["bad"] + sums["words"] + 1))
+    return counted.select("token", (F.log((F.col("bad") + 1) / (F.col("good") + 1)) + F.lit(unseen)).alias("odds")), unseen, math.log(sides["bad"] / sides["good"])
+
+
+def scored(urls: DataFrame, words: DataFrame, total: int, fold: Column | None = None) -> DataFrame:
+    """host, path, rule, said, score of distinct urls; those that ``fold`` names teach nothing."""
+    urls = cut(urls, "url-distinct")
+    tokens, seeded = url_tokens(urls, words, total)
+    blocked = F.when(F.col("said").isNotNull(), (F.col("said") == "block").cast("int")).otherwise(F.coalesce(F.col("_seed"), F.lit(False)).cast("int"))
+    if fold is not None:
+        blocked = F.when(~fold, blocked)
+    seeded = seeded.withColumn("_seed", F.lit(True))
+    tokens = cut(tokens.join(seeded, "host", "left").withColumn("blocked", blocked).drop("_seed"), "url-tokens")
+    labelled = urls.join(seeded, "host", "left").withColumn("blocked", blocked).filter("blocked is not null")
+    model = train(labelled, tokens.filter("blocked is not null"))
+    if model is None:
+        return urls.select("host", "path", "rule", "said", F.lit(0.0).alias("score"))
+    odds, unseen, prior = model
+    small = odds.count() <= BROADCAST_ROWS
+    sums = tokens.join(F.broadcast(odds) if small else odds, "token", "left").groupBy("host", "path").agg(F.sum(F.coalesce("odds", F.lit(unseen))).alias("odds"))
+    return urls.join(sums, ["host", "path"], "left").select("host", "path", "rule", "said", (F.lit(prior) + F.coalesce("odds", F.lit(0.0))).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict; and score, the log odds of blocking."""
-    segmenter = Segmenter(unigrams(pages))
     keyed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    model = train(keyed, segmenter)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        odds, prior = model or ({}, -1.0)
-        for hosts, paths in batches:
-            yield pd.Series([prior + sum(odds.get(t, 0.0) for t in tokens(h, p, segmenter)) for h, p in zip(hosts, paths)], dtype="float64")
-
-    rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
-    scored = keyed.withColumn("score", F.pandas_udf(run, "double")("host", "path"))
-    return scored.select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score",
-    )
+    known = scored(distinct_urls(keyed, rules), *unigrams(pages))
+    return keyed.join(known, ["host", "path"]).select(
+        "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sinkweave.llm import bpe, components, decontaminate, licenses, pages, pii, quality, registry, resemblance, sharding, simhash, toxicity, urls
@@ -367,10 +368,47 @@ def test_urls(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df).collect()}
     for k, r in enumerate(rows):
         assert got[k][:3] == r[1:4] and r[4] in (None, got[k][3]), r
-    assert urls.Segmenter({"cheap": 5, "pills": 5, "new": 2, "york": 2}).split("cheappills") == ["cheap", "pills"]
+    assert urls.Segmenter({"cheap": 5, "pills": 5, "new": 2, "york": 2}, 15).split("cheappills") == ["cheap", "pills"]
     assert urls.judge(df.filter("page_id < 0")).count() == 0
 
 
+def test_urls_equal_brute_force_and_hold_on_other_urls(spark):
+    """Scores by plain loops; and the verdict of the rules on urls whose rule taught nothing."""
+    import math
+    from collections import Counter
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    words, total = urls.unigrams(df)
+    seg = urls.Segmenter({r["w"]: r["n"] for r in words.collect()}, total)
+
+    def tokens(host, path):
+        out = []
+        for mark, text in (("h:", host), ("p:", path.lower())):
+            for part in re.findall(urls._PARTS, text):
+                number = f"#{min(len(part), 9)}" if part[0].isdigit() else None
+                out += [mark + w for w in (seg.split(part) if mark == "h:" and part.isascii() and not number and part not in urls._WHOLE else [number or part])]
+        first = (re.findall(urls._PARTS, path.lower()) or [""])[0]
+        first = "#" if first[:1].isdigit() else first
+        return out + ([f"l:{host.split('.')[-1]}/{first}", f"f:{host.split('.')[0]}/{first}"] if host and path else [])
+
+    each = {k: tokens(r["host"], r["path"]) for k, r in got.items()}
+    seeded = {k: bool({t[2:] for t in ts if t[0] == "h"} & urls.SEEDS) or len({t[2:] for t in ts if t[0] == "h"} & urls.WEAK_SEEDS) > 1 for k, ts in each.items()}
+    label = {k: got[k]["verdict"] == "block" if got[k]["rule"] else seeded[k] for k in got}
+    counts = {c: Counter(t for k, y in label.items() if y == c for t in each[k]) for c in (True, False)}
+    v = len(counts[True] | counts[False])
+    sums = {c: sum(counts[c].values()) + v + 1 for c in counts}
+    for k, r in got.items():
+        want = math.log(sum(label.values()) / sum(not y for y in label.values())) + sum(math.log((counts[True][t] + 1) / sums[True]) - math.log((counts[False][t] + 1) / sums[False]) for t in each[k])
+        assert abs(r["score"] - want) < 1e-6
+    keyed = df.select(pages.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    held = urls.scored(urls.distinct_urls(keyed), words, total, F.pmod(F.xxhash64("host", "path"), F.lit(4)) == 0)
+    rows = [(r["said"] == "block", r["score"] > 0) for r in held.filter("said is not null and pmod(xxhash64(host, path), 4) = 0").collect()]
+    assert len(rows) > 20
+    hit = sum(a and b for a, b in rows)
+    assert hit >= 0.9 * sum(a for a, _ in rows) and hit >= 0.9 * sum(b for _, b in rows), (len(rows), hit, sum(a for a, _ in rows), sum(b for _, b in rows))
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
