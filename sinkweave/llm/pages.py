@@ -1,20 +1,23 @@
 """HTML main text by wrapper induction.
 
-Pages become DOM trees whose runs of like siblings are folded. Trees of one host are aligned by
-simple tree matching and merged, first inside each input partition, then per host, into a template:
-per node the number of pages, the length of its text, and a Misra-Gries summary of its texts.
-Nodes whose text is the same on most pages are template; slots that vary are content. The slot with
-most varying text, or the article that the markup names, is the host's content region. Each page is
-then aligned with its host's template and gives the text of its content region, less what markup or
-template mark as menus, headers, footers, sidebars, notices, adverts, forms and comments.
-
-A template holds some nodes per host, however many pages it stands for. Templates are broadcast
-while they are under BROADCAST_BYTES in all; beyond, pages are joined by host, and Spark splits
-skewed hosts.
+Pages become DOM trees in which siblings of one label (tag and class words) are one slot. Slots are
+aligned over all pages of a host, label by label from the root, and counted in Spark: on how many
+pages, with how much text, and how often the most frequent text. That gives a host's template: nodes
+with the same text on most pages are constant, slots that vary are content. Each page is then aligned
+with the template by simple tree matching. Its content is the slot with most of the host's varying
+text, with varying headings beside the way to it; constant nodes are taken out, and so is what markup
+says is no article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+
+Exact copies of one page tell nothing about a template and are counted out. A host with fewer than
+LEAST_PAGES other pages is read by its markup alone. Counts don't depend on the order or partition of
+pages. Slots on fewer than one of RARE pages are left out of a template, which so holds a bounded
+number of nodes; templates are broadcast while they are under BROADCAST_BYTES in all, and beyond,
+pages are joined by host, where Spark splits skewed hosts.
 
 Defined results: a null html is an empty page with an empty text; a url without a host belongs to the
-host ''; pages alone on their host are read by their markup; repeated rows get the same result;
-other columns are ignored.
+host ''; repeated rows get the same result; text at any depth is kept, elements beyond MAX_DEPTH count
+as part of the one at that depth; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,10 +38,8 @@ BROADCAST_BYTES = 16 << 20
 #: Pages of a host from which on a constant text counts as template, and the share of pages with it.
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.6
-#: Input partitions whose templates of a host are merged in one group.
-FOLDED = 256
-#: Texts that the summary of a node keeps.
-KEPT_TEXTS = 4
+#: A slot on fewer than one of so many pages is no part of the template.
+RARE = 50
 #: Deeper nodes are read as if they were at this depth.
 MAX_DEPTH = 60
 
@@ -219,90 +220,86 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-# ---- templates: [label, pages, length, {text hash: count}, [children]]
-
-
-def tree_of(node: Node) -> list:
-    """One page's tree as a template: blocks only, like siblings that follow each other folded."""
-    own, kids = [], []
-    stack = list(reversed(node.kids))
-    while stack:  # inline elements belong to the block around them
-        kid = stack.pop()
-        if isinstance(kid, str):
-            own.append(kid)
-        elif kid.tag in _INLINE:
-            stack.extend(reversed(kid.kids))
-        elif kid.tag not in ("script", "style", "head", "noscript", "template"):
-            t = tree_of(kid)
-            if kids and kids[-1][0] == t[0]:
-                kids[-1] = merge(kids[-1], t, same_page=True)
-            else:
-                kids.append(t)
-    text = " ".join("".join(own).split())
-    return [node.label, 1, len(text), {format(xxhash.xxh64_intdigest(text), "x"): 1} if text else {}, kids]
-
-
-def match(a: list, b: list) -> int:
-    """Simple tree matching: the most nodes that can be paired, keeping order and parents."""
-    if a[0] != b[0]:
-        return 0
-    return 1 + (_align(a[4], b[4])[-1][-1] if a[4] and b[4] else 0)
+# ---- slots and templates
 
 
-def _align(xs: list, ys: list) -> list[list[int]]:
-    table = [[0] * (len(ys) + 1)]
-    for x in xs:
-        above, row = table[-1], [0]
-        for k, y in enumerate(ys):
-            row.append(max(above[k + 1], row[k], above[k] + match(x, y) if x[0] == y[0] else 0))
-        table.append(row)
-    return table
+_SILENT = ("script", "style", "head", "noscript", "template")
+ROOT = "#root"
 
 
-def _pairs(xs: list, ys: list) -> list[tuple[int | None, int | None]]:
-    """Aligned places of two lists of children, in order; None where one has no partner."""
-    if [x[0] for x in xs] == [y[0] for y in ys] and len({x[0] for x in xs}) == len(xs):
-        return [(k, k) for k in range(len(xs))]
-    table, out = _align(xs, ys), []
-    i, j = len(xs), len(ys)
-    while i or j:
-        if i and j and xs[i - 1][0] == ys[j - 1][0] and table[i][j] == table[i - 1][j - 1] + match(xs[i - 1], ys[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and (not j or table[i - 1][j] >= table[i][j - 1]):
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
+class Slot:
+    """Siblings of one label, all of a page's or of a host's: text is that of the blocks themselves."""
 
+    __slots__ = ("label", "nodes", "text", "kids", "constant", "mass")
 
-def _merged_texts(a: dict, b: dict) -> dict:
-    """Misra-Gries: counts of the most frequent texts, lowered by what had to go."""
-    out = dict(a)
-    for k, n in b.items():
-        out[k] = out.get(k, 0) + n
-    if len(out) > KEPT_TEXTS:
-        less = sorted(out.values(), reverse=True)[KEPT_TEXTS]
-        out = {k: n - less for k, n in out.items() if n > less}
-    return out
+    def __init__(self, label: str):
+        self.label, self.nodes, self.text, self.kids = label, [], [], {}
+        self.constant: int | None = None  # the hash of the constant text
+        self.mass = 0  # length of varying text
 
 
-def merge(a: list, b: list, same_page: bool = False) -> list:
-    """Two templates of one label as one. Like siblings of one page count as one node of that page,
-    whose text is all of theirs."""
-    kids = []
-    for i, j in _pairs(a[4], b[4]):
-        kids.append(merge(a[4][i], b[4][j], same_page) if i is not None and j is not None else a[4][i] if j is None else b[4][j])
-    if same_page:
-        texts = {format(xxhash.xxh64_intdigest("+".join([*a[3], *b[3]])), "x"): 1} if a[3] or b[3] else {}
-        return [a[0], 1, a[2] + b[2], texts, kids]
-    return [a[0], a[1] + b[1], a[2] + b[2], _merged_texts(a[3], b[3]), kids]
+def slots_of(root: Node) -> Slot:
+    """A page's tree of slots; inline elements belong to the block around them."""
+    top = Slot(ROOT)
+    top.nodes.append(root)
+    stack = [(root, top)]
+    while stack:
+        node, slot = stack.pop()
+        own, inner = [], list(reversed(node.kids))
+        while inner:
+            kid = inner.pop()
+            if isinstance(kid, str):
+                own.append(kid)
+            elif kid.tag in _INLINE:
+                inner.extend(reversed(kid.kids))
+            elif kid.tag not in _SILENT:
+                under = slot.kids.setdefault(kid.label, Slot(kid.label))
+                under.nodes.append(kid)
+                stack.append((kid, under))
+        slot.text.append(" ".join("".join(own).split()))
+    return top
+
+
+def hash_of(slot: Slot) -> int:
+    """Of a slot's text, whatever the order in which its nodes were reached."""
+    return xxhash.xxh64_intdigest("\0".join(sorted(t for t in slot.text if t))) - (1 << 63)
+
+
+def slot_rows(html: str | None) -> list[dict]:
+    """(path, at, length, hash) of a page's slots; the root's hash is that of the whole page."""
+    out, stack = [], [(slots_of(parse(html)), "")]
+    while stack:
+        slot, above = stack.pop()
+        path = f"{above}/{slot.label}" if above else slot.label
+        is_root = slot.label == ROOT
+        out.append({"path": path, "at": len(out), "length": 0 if is_root else sum(map(len, slot.text)), "hash": xxhash.xxh64_intdigest(html or "") - (1 << 63) if is_root else hash_of(slot)})
+        stack.extend((kid, path) for kid in reversed(slot.kids.values()))
+    return out
 
 
-def is_constant(t: list) -> bool:
-    return t[1] >= LEAST_PAGES and max(t[3].values(), default=0) >= CONSTANT_SHARE * t[1]
+def template_of(rows: list[dict]) -> Slot | None:
+    """A host's slots (path, at, pages, length, top, hash) as a tree; None if it has too few pages."""
+    by_path = {r["path"]: r for r in rows}
+    root = by_path.get(ROOT)
+    if root is None:
+        return None
+    copies = root["top"] if root["top"] > 1 else 0
+    if root["pages"] - copies < LEAST_PAGES - (copies > 0):
+        return None
+    top = Slot(ROOT)
+    made = {ROOT: top}
+    for path in sorted((p for p in by_path if p != ROOT), key=lambda p: (p.count("/"), by_path[p]["at"], p)):
+        above, _, label = path.rpartition("/")
+        if above not in made:
+            continue
+        r, slot = by_path[path], Slot(label)
+        made[path] = made[above].kids[label] = slot
+        less = copies if r["top"] >= copies else 0
+        if r["length"] and r["top"] - less >= CONSTANT_SHARE * (r["pages"] - less) and r["pages"] > less:
+            slot.constant = r["hash"]
+        else:
+            slot.mass = r["length"]
+    return top
 
 
 def _drops(label: str) -> bool:
@@ -310,50 +307,90 @@ def _drops(label: str) -> bool:
     return tag in _DROPPED or _MARK in named
 
 
-def _names_article(label: str) -> bool:
-    tag, *named = label.split(".")
-    return (tag in ("article", "main") or "articlebody" in named or "main" in named) and not _drops(label)
-
+def mass_of(t: Slot) -> int:
+    """Varying text in and below a slot, but for what markup drops."""
+    return 0 if _drops(t.label) else t.mass + sum(map(mass_of, t.kids.values()))
 
-def content_region(template: list) -> list[str]:
-    """Labels from the root to the node that holds the host's content: a named article, else the
-    deepest node that holds most of the varying text."""
 
-    def varying(t: list) -> int:
-        if _drops(t[0]):
-            return 0
-        return (0 if is_constant(t) else t[2]) + sum(map(varying, t[4]))
-
-    def article(t: list, path: list[str]) -> list[str] | None:
-        if _drops(t[0]):
-            return None
-        if _names_article(t[0]):
-            return path
-        found = [x for k in t[4] if (x := article(k, [*path, k[0]]))]
-        return max(found, key=len) if found else None
-
-    named = article(template, [template[0]])
-    if named:
-        return named
-    path, at = [template[0]], template
-    while at[4]:
-        best = max(at[4], key=varying)
-        if _drops(best[0]) or varying(best) < 0.8 * varying(at) or best[0].split(".")[0] in ("p", "li", *_HEADINGS):
+def content_path(template: Slot) -> list[Slot]:
+    """Slots from the root to the deepest that holds most of the varying text, paragraphs aside."""
+    path = [template]
+    while path[-1].kids:
+        best = max(path[-1].kids.values(), key=mass_of)
+        if _drops(best.label) or mass_of(best) < MOST * mass_of(path[-1]) or best.label.split(".")[0] in ("p", "li", *_HEADINGS):
             break
-        at = best
-        path.append(at[0])
+        path.append(best)
     return path
 
 
-def extract(html: str | None, template: list | None) -> str:
+def match(a: Slot, b: Slot) -> int:
+    """Simple tree matching: the most slots that can be paired, keeping order and parents."""
+    if a.label != b.label:
+        return 0
+    return 1 + (_align(list(a.kids.values()), list(b.kids.values()))[-1][-1] if a.kids and b.kids else 0)
+
+
+def _align(xs: list[Slot], ys: list[Slot]) -> list[list[int]]:
+    table = [[0] * (len(ys) + 1)]
+    for x in xs:
+        above, row = table[-1], [0]
+        for k, y in enumerate(ys):
+            row.append(max(above[k + 1], row[k], above[k] + match(x, y) if x.label == y.label else 0))
+        table.append(row)
+    return table
+
+
+def pairs(a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
+    """The children of two slots that the matching pairs, in order."""
+    xs, ys = list(a.kids.values()), list(b.kids.values())
+    common = [y for y in ys if y.label in a.kids]
+    if [x.label for x in xs if x.label in b.kids] == [y.label for y in common]:
+        return [(a.kids[y.label], y) for y in common]  # labels are unique: in one order, all are paired
+    table, out = _align(xs, ys), []
+    i, j = len(xs), len(ys)
+    while i and j:
+        if xs[i - 1].label == ys[j - 1].label and table[i][j] == table[i - 1][j - 1] + match(xs[i - 1], ys[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def extract(html: str | None, template: Slot | None) -> str:
     root = parse(html)
-    region = content_region(template) if template else [root.label]
-    found = _articles(root)
-    if not found:
-        found = _follow(root, region[1:]) or [root]
-        if template and template[1] >= LEAST_PAGES:
-            _prune(root, template)
-    return "\n".join(blocks(found))
+    found = _by_template(root, template) if template else []
+    return "\n".join(blocks(found or _articles(root) or [root]))
+
+
+def _by_template(root: Node, template: Slot) -> list[Node]:
+    """The nodes of the content slot and varying headings beside the way to it, in page order; what is
+    constant loses its text."""
+    page = slots_of(root)
+    way = content_path(template)
+    found: set[int] = set()
+    stack = [(page, template)]
+    while stack:
+        own, t = stack.pop()
+        if t is way[-1]:
+            found.update(map(id, own.nodes))
+        if t.constant is not None and hash_of(own) == t.constant:
+            for node in own.nodes:
+                node.kids = [k for k in node.kids if isinstance(k, Node) and k.tag not in _INLINE]
+        for a, b in pairs(own, t):
+            stack.append((a, b))
+            if t in way[:-1] and b.label.split(".")[0] in _HEADINGS and b.constant is None:
+                found.update(map(id, a.nodes))
+    out, walk = [], [root]
+    while walk:
+        node = walk.pop()
+        if id(node) in found:
+            out.append(node)
+        else:
+            walk.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+    return out
 
 
 def _articles(root: Node) -> list[Node]:
@@ -370,28 +407,6 @@ def _articles(root: Node) -> list[Node]:
     return inner if mains and inner else out
 
 
-def _follow(node: Node, path: list[str]) -> list[Node]:
-    """Nodes reached by labels; inline elements don't count as levels."""
-    if not path:
-        return [node]
-    out = []
-    for kid in node.kids:
-        if isinstance(kid, Node):
-            out += _follow(kid, path[1:]) if kid.label == path[0] else _follow(kid, path) if kid.tag in _INLINE else []
-    return out
-
-
-def _prune(node: Node, t: list) -> None:
-    """Removes from a page the text of nodes that are constant in the template they align with."""
-    kids = [k for k in node.kids if isinstance(k, Node) and k.tag not in _INLINE]
-    own = [tree_of(k) for k in kids]
-    for i, j in _pairs(own, t[4]):
-        if i is not None and j is not None:
-            if is_constant(t[4][j]) and own[i][3].keys() <= t[4][j][3].keys():
-                kids[i].kids = [k for k in kids[i].kids if isinstance(k, Node) and k.tag not in _INLINE]
-            _prune(kids[i], t[4][j])
-
-
 # ---- Spark
 
 
@@ -402,56 +417,43 @@ def host_of(url: Column) -> Column:
     return lower_ascii(F.regexp_extract(rest, r"^[^/?#]*", 0))
 
 
-def _frame(found: dict[str, list]) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(found), "template": [json.dumps(t) for t in found.values()]}, dtype=object)
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, slots): the slots of each host's pages, counted. Texts are counted before they are told
+    apart from each other, so a host that stands in every partition is spread over its texts."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for htmls in batches:
+            yield pd.Series([slot_rows(h) for h in htmls], dtype="object")
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): folded inside each partition first, then per host and FOLDED input partitions,
-    then per host, so that a host that stands in every partition stays a small group."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, list] = {}
-        for batch in batches:
-            for host, html in zip(batch["host"], batch["html"]):
-                tree = tree_of(parse(html))
-                found[host] = merge(found[host], tree) if host in found else tree
-            if len(found) > 5000:  # bounds memory; the merge per host takes any number of parts
-                yield _frame(found)
-                found = {}
-        yield _frame(found)
-
-    def join(parts: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for text in sorted(parts["template"]):
-            whole = merge(whole, json.loads(text)) if whole else json.loads(text)
-        return _frame({parts["host"].iloc[0]: whole})
-
-    schema = "host string, template string"
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(fold, schema)
-    some = parts.withColumn("some", F.floor(F.spark_partition_id() / FOLDED)).groupBy("host", "some").applyInPandas(join, schema)
-    return some.groupBy("host").applyInPandas(join, schema)
+    rows = F.pandas_udf(run, "array<struct<path:string,at:int,length:long,hash:long>>")
+    each = pages.select(host_of(F.col("url")).alias("host"), F.explode(rows("html")).alias("x")).select("host", "x.*")
+    texts = each.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("at").alias("at"))
+    slots = cut(texts.groupBy("host", "path").agg(
+        F.sum("n").alias("pages"), F.sum("length").alias("length"), (F.sum("at") / F.sum("n")).alias("at"), F.max(F.struct("n", "hash")).alias("top")), "page-slots")
+    whole = slots.filter(F.col("path") == ROOT).select("host", F.col("pages").alias("all"))
+    usual = slots.join(whole, "host").filter((F.col("all") >= LEAST_PAGES) & (F.col("pages") * RARE >= F.col("all")))
+    return usual.groupBy("host").agg(F.to_json(F.collect_list(F.struct("path", "at", "pages", "length", F.col("top.n").alias("top"), F.col("top.hash").alias("hash")))).alias("slots"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     known = cut(templates(pages), "page-templates")
-    size = known.agg(F.sum(F.length("template")).alias("n")).first()["n"] or 0
+    size = known.agg(F.sum(F.length("slots")).alias("n")).first()["n"] or 0
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        read: dict[str, list] = {}
+        read: dict[str, Slot | None] = {}
         for htmls, made in batches:
             out = []
             for html, t in zip(htmls, made):
                 if t and t not in read:
                     if len(read) > 2000:
                         read.clear()
-                    read[t] = json.loads(t)
-                out.append(extract(html, read.get(t)))
+                    read[t] = template_of(json.loads(t))
+                out.append(extract(html, read[t] if t else None))
             yield pd.Series(out, dtype="object")
 
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    text = F.pandas_udf(run, "string")("html", "template")
+    text = F.pandas_udf(run, "string")("html", "slots")
     return (
         keyed.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
         .select("page_id", "url", text.alias("text"))

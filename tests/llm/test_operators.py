@@ -210,11 +210,73 @@ def test_page_texts_equal_articles(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def _slot(label, *kids):
+    out = pages.Slot(label)
+    out.kids = {k.label: k for k in kids}
+    return out
+
+
 def test_tree_matching():
-    leaf = lambda x, *kids: [x, 1, 0, {}, list(kids)]
-    a, b = leaf("r", leaf("a"), leaf("b", leaf("x")), leaf("c")), leaf("r", leaf("b", leaf("x"), leaf("y")), leaf("c"), leaf("d"))
-    assert pages.match(a, b) == 4
-    assert [k[0] for k in pages.merge(a, b)[4]] == ["a", "b", "c", "d"]
+    """The most pairs in order, by trying all ordered choices."""
+    rnd = random.Random(2)
+
+    def tree(depth):
+        labels = rnd.sample("abcde", rnd.randint(0, 4)) if depth else []
+        return _slot("x", *[_relabel(tree(depth - 1), c) for c in labels])
+
+    def _relabel(t, c):
+        t.label = c
+        return t
+
+    def most(a, b):
+        if a.label != b.label:
+            return 0
+        xs, ys = list(a.kids.values()), list(b.kids.values())
+
+        def best(i, j):
+            return 0 if i == len(xs) or j == len(ys) else max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + most(xs[i], ys[j]))
+
+        return 1 + best(0, 0)
+
+    for _ in range(60):
+        a, b = tree(2), tree(2)
+        assert pages.match(a, b) == most(a, b)
+        assert 1 + sum(pages.match(x, y) for x, y in pages.pairs(a, b)) == pages.match(a, b) or [x.label for x, _ in pages.pairs(a, b)] == [y.label for _, y in pages.pairs(a, b)]
+
+
+def test_templates_decide_without_telling_names(spark):
+    """No article, no names that say what a node is: constant text goes, the varying slot stays."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    rows, want = [], {}
+    for k in range(60):
+        host = f"h{k % 3}.test"
+        title, paras = f"Title {word()} {k}", [" ".join(word() for _ in range(rnd.randint(20, 60))) for _ in range(rnd.randint(2, 5))]
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        note = "<p class=q>Printed on every page of this place</p>"
+        html = f"<html><body><div class=a>Place {host}<ul><li>{word()}</li><li>{word()}</li></ul></div><div class=b><h2>{title}</h2><div class=c>{body}{note}</div></div><div class=d>All the same here</div></body></html>"
+        rows.append((k, f"http://{host}/{k}", html))
+        want[k] = "\n".join([title, *paras])
+    # one page of h0 stands there many times
+    rows += [(100 + k, f"http://h0.test/x{k}", rows[0][2]) for k in range(40)]
+    want |= {100 + k: want[0] for k in range(40)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 17):
+        got = {r["page_id"]: r["text"] for r in pages.extract_pages(df.repartition(parts)).collect()}
+        assert got == want
+
+
+def test_template_and_markup_agree_where_names_tell(spark):
+    """The given pages with their markup's names removed: the template alone finds the same articles."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = df.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(article|nav|aside|footer|header)>", "<$1div>"), "<div class=\"ad\">", "<div>"))
+    named = {r["page_id"]: r["text"] for r in pages.extract_pages(df).collect()}
+    counts = {r["host"]: r["n"] for r in df.groupBy(pages.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    hosts = {r["page_id"]: r["host"] for r in df.select("page_id", pages.host_of(F.col("url")).alias("host")).collect()}
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(bare).collect()}
+    asked = [k for k in got if counts[hosts[k]] >= 2 * pages.LEAST_PAGES]
+    holds = sum(set(named[k].split("\n")) <= set(got[k].split("\n")) for k in asked)
+    assert asked and holds >= 0.9 * len(asked), (holds, len(asked))
 
 
 def test_licenses():
