@@ -29,8 +29,29 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Opening notices of well-known licences, as their texts ask to write them.
-TEMPLATES = (
+#: Whole texts of short licences.
+TEXTS = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+)
+#: Opening notices of well-known licences, as their texts ask to write them.
+NOTICES = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
@@ -49,6 +70,7 @@ TEMPLATES = (
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
+TEMPLATES = (*NOTICES, *TEXTS)
 #: Shorter matches don't enter a chain.
 MIN_MATCH = 3
 #: Words that may lie between two matches of a chain.
@@ -138,8 +160,9 @@ class Scanner:
         self.automaton = SuffixAutomaton([[self.ids[w] for w in ws] for ws in split])
         self.phrases = [([self.ids[w] for w in words_of(p)], label) for p, label in phrases]
 
-    def cover(self, codes: np.ndarray) -> dict[int, float]:
-        """Per template, the largest share of it that one chain of matches covers."""
+    def cover(self, codes: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """Per template, the largest share of it that one chain of matches covers, and the first word of
+        the chain and the one after its last."""
         inside = np.r_[False, codes > 0, False]
         starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -148,16 +171,17 @@ class Scanner:
                 for at, length, state in self.automaton.maximal_matches(codes[lo:hi].tolist(), MIN_MATCH):
                     for which, end in self.automaton.places[state]:
                         found[which].append((int(lo) + at - length, end - length, length))
-        best: dict[int, float] = {}
+        best: dict[int, tuple[float, int, int]] = {}
         for which, matches in found.items():
-            # open chains: (end in text, end in template, covered); gaps and sizes bound how many stay open
-            most, chains = 0, []
+            # open chains: (end in text, end in template, covered, start); gaps and sizes bound how many stay open
+            most, chains = (0, 0, 0), []
             for text_at, place, length in sorted(matches):
                 chains = [c for c in chains if c[0] + MAX_GAP >= text_at]
-                before = max((c[2] for c in chains if c[1] <= place and c[0] <= text_at), default=0)
-                chains.append((text_at + length, place + length, before + length))
-                most = max(most, before + length)
-            best[which] = min(1.0, most / self.sizes[which])
+                before, start = max(((c[2], c[3]) for c in chains if c[1] <= place and c[0] <= text_at), key=lambda b: (b[0], -b[1]), default=(0, text_at))
+                chains.append((text_at + length, place + length, before + length, start))
+                if before + length > most[0]:
+                    most = before + length, start, text_at + length
+            best[which] = min(1.0, most[0] / self.sizes[which]), most[1], most[2]
         return best
 
     def scan(self, text: str | None) -> tuple:
@@ -174,21 +198,24 @@ class Scanner:
                         places.append(at)
                         base.add(label)
         cover = self.cover(codes) if codes.any() else {}
-        own = {self.labels[k] for k, c in cover.items() if c >= COVER}
+        spans = sorted({(a, b, self.labels[k], c) for k, (c, a, b) in cover.items() if c >= COVER})
+        own = {label for _, _, label, _ in spans}
         n_base = sum(map(len, places))
-        score = max(cover.values(), default=0.0)
+        score = max((c for c, _, _ in cover.values()), default=0.0)
         return (
             len(words), n_base,
             int(min(p[0] for p in places)) if n_base else None, int(max(p[-1] for p in places)) if n_base else None,
             ",".join(sorted(base)), ",".join(sorted(base | own)), max(score, 0.5) if n_base else score,
+            [{"label": label, "first": a, "last": b - 1, "share": c} for a, b, label, c in spans],
         )
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest covered share of a template, and at least 0.5 where a phrase stands."""
-    schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    ``score`` is the largest covered share of a template, and at least 0.5 where a phrase stands;
+    ``spans`` are the first and last words of the best chain of each template that is covered."""
+    schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,share:double>>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,23 +112,46 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version).drop("version")
 
 
+def newest_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The last version of the map at ``path`` and its shard of each slot (one entry per slot)."""
+    try:
+        known = spark.read.schema(MAP_SCHEMA).parquet(path)
+        version = known.agg(F.max("version").alias("v")).first()["v"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    if version is None:
+        return None
+    return version, [r["shard"] for r in read_map(spark, path, version).select("vslot", "shard").orderBy("vslot").collect()]
+
+
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Every record with its shard. Law ``bytes``: the shards' sizes are near equal.
 
-    ``slot`` is the record's gapless position inside its shard, ``vslot`` its virtual slot. The map
-    (n_slots rows) is all that reaches the driver and all that is broadcast."""
+    The map at ``map_path`` is read, edited for the present loads (and for a changed number of shards)
+    and written as its next version; without one, version 0 deals the slots in turn. ``slot`` is the
+    record's gapless position inside its shard, ``vslot`` its virtual slot. The map (n_slots rows) is
+    all that reaches the driver and all that is broadcast."""
     spark = docs.sparkSession
     recs = cut(records(docs, n_slots), "shard-records")
     loads = slot_loads(recs).collect()
     by_bytes, by_rows = {r["vslot"]: r["bytes"] for r in loads}, {r["vslot"]: r["rows"] for r in loads}
     path = map_path or f"{shared_dir(spark)}/sinkweave/slot-map-{uuid.uuid4().hex}"
-    first = initial_map(n_slots, n_shards)
-    write_map(spark, path, 0, first, by_rows)
-    write_map(spark, path, 1, rebalance(first, by_bytes, n_shards), by_rows)
+    known = newest_map(spark, path)
+    if known is None:
+        known = 0, initial_map(n_slots, n_shards)
+        write_map(spark, path, *known, by_rows)
+    version, shard_of = known
+    if len(shard_of) != n_slots:
+        raise ValueError(f"the map at {path} has {len(shard_of)} slots, not {n_slots}: slots never change")
+    # slots of a shard that is no more are dealt to those that are
+    edited = rebalance([s % n_shards for s in shard_of], by_bytes, n_shards)
+    write_map(spark, path, version + 1, edited, by_rows)
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
         recs.withColumn("at", F.row_number().over(within) - 1)
-        .join(F.broadcast(read_map(spark, path, 1)), "vslot")
+        .join(F.broadcast(read_map(spark, path, version + 1)), "vslot")
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("slot_start") + F.col("at")).cast("long").alias("slot"),

@@ -56,6 +56,21 @@ def test_shards_are_even_and_gapless(spark):
     assert all(crc[k] == zlib.crc32(t.encode()) for k, t in rows)
 
 
+def test_the_map_is_edited_from_version_to_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(k, "x" * (k * 53 % 700)) for k in range(1500)]
+    run = lambda r, n: sharding.shard_documents(docs(spark, r), n, 128, path).toPandas()
+    once, again = run(rows, 5), run(rows, 5)
+    assert len(once) == len(again) == 1500 and once.sort_values("doc_id").shard.tolist() == again.sort_values("doc_id").shard.tolist()
+    more = run(rows + [(k, "y" * 300) for k in range(1500, 1600)], 5).sort_values("doc_id")
+    assert len(more) == 1600 and (more.shard[more.doc_id < 1500].to_numpy() != again.sort_values("doc_id").shard.to_numpy()).mean() < 0.2
+    grown = run(rows, 6)
+    size = grown.groupby("shard")["size"].sum()
+    assert len(size) == 6 and size.max() - size.min() <= 0.05 * size.mean() and sharding.newest_map(spark, path)[0] == 4
+    assert set(run(rows, 3).shard) == {0, 1, 2}
+    assert spark.read.parquet(path).groupBy("version", "vslot").count().filter("count > 1").isEmpty()
+
+
 def test_rebalance_moves_few_slots():
     first = sharding.initial_map(64, 4)
     loads = {s: 10 for s in range(64)}
@@ -287,6 +302,16 @@ def test_licenses():
     assert s.scan("the software is under the terms of the library")[5] == ""
 
 
+def test_license_texts_give_their_spans():
+    s = licenses.Scanner()
+    for label, text in licenses.TEXTS:
+        words = licenses.words_of(text)
+        gone = " ".join(w.decode() for k, w in enumerate(words) if k % 25 != 13)  # one word in 25 is missing
+        found = s.scan(f"some code before it {gone} and after it")
+        assert label in found[5].split(",")
+        assert any(x["label"] == label and x["first"] == 4 and x["last"] == found[0] - 4 for x in found[7])
+
+
 def test_suffix_automaton_equals_brute_force():
     rnd = random.Random(3)
     for _ in range(100):
