@@ -27,6 +27,8 @@ PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
 #: Up to so many fingerprints of the benchmark are broadcast (24 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Up to so many bytes of items' words are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -59,12 +61,15 @@ def whole_grams(tokens: Column, length: int) -> Column:
     return F.when(F.size(tokens) >= length, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def _exploded(df: DataFrame, packed: Column, length: int, keep: list[str]) -> DataFrame:
-    """One row per fingerprint: n (0: winnowed, else the short items' length), fp, place."""
-    return (
-        df.select(*keep, F.explode(packed).alias("_p"))
-        .select(*keep, F.lit(length).alias("n"), F.shiftright("_p", PLACE_BITS).alias("fp"), F.col("_p").bitwiseAND(PLACE).cast("int").alias("place"))
-    )
+def _exploded(df: DataFrame, tokens: Column, short: list[int], keep: list[str]) -> DataFrame:
+    """One row per fingerprint: n (0: winnowed, else the length of short items), fp, place. All lengths
+    come from one reading of a text."""
+
+    def marked(n: int, packed: Column) -> Column:
+        return F.transform(packed, lambda p: F.struct(F.lit(n).alias("n"), p.alias("p")))
+
+    every = F.concat(marked(0, fingerprints(tokens)), *[marked(m, whole_grams(tokens, m)) for m in short])
+    return df.select(*keep, F.explode(every).alias("_x")).select(*keep, "_x.n", F.shiftright("_x.p", PLACE_BITS).alias("fp"), F.col("_x.p").bitwiseAND(PLACE).cast("int").alias("place"))
 
 
 def _item_table(benchmark: DataFrame) -> DataFrame:
@@ -86,20 +91,18 @@ def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = cut(_item_table(benchmark), "bench-items")
     short = sorted(r["m"] for r in items.select(F.size("iw").alias("m")).filter(F.col("m") < SPAN).distinct().collect())  # 12 lengths at most
-    marks = _exploded(items, fingerprints(F.col("iw")), 0, ["ik"])
-    for m in short:
-        marks = marks.unionByName(_exploded(items.filter(F.size("iw") == m), whole_grams(F.col("iw"), m), m, ["ik"]))
+    # an item of m words has whole sequences of m words only
+    marks = _exploded(items, F.col("iw"), short, ["ik", "iw"]).filter((F.col("n") == 0) | (F.col("n") == F.size("iw"))).drop("iw")
     marks = cut(marks.withColumnRenamed("place", "iplace"), "bench-fingerprints")
-    small = marks.count() <= BROADCAST_ROWS
+    size = items.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("iw", " "))).alias("bytes")).first()
+    small = marks.count() <= BROADCAST_ROWS and (size["bytes"] or 0) + 64 * size["rows"] <= BROADCAST_BYTES
 
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
     tokens = keyed.select("_id", "_th", words(F.col("text")).alias("w"))
-    found = _exploded(tokens, fingerprints(F.col("w")), 0, ["_id", "_th"])
-    for m in short:
-        found = found.unionByName(_exploded(tokens, whole_grams(F.col("w"), m), m, ["_id", "_th"]))
+    found = _exploded(tokens, F.col("w"), short, ["_id", "_th"])
     diagonals = (
         found.join(bounded(marks), ["n", "fp"])
         .select("_id", "_th", "ik", (F.col("place") - F.col("iplace")).alias("shift"))

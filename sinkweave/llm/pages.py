@@ -101,6 +101,9 @@ class _Builder(HTMLParser):
         self.open = [self.root]
         self.deep: list[Node] = []  # open elements beyond MAX_DEPTH
 
+    def updatepos(self, i, j):
+        return j  # line numbers, which nobody asks for
+
     def handle_starttag(self, tag, attrs):
         if tag not in _INLINE and tag not in _CLOSES:
             self._end(("p",))
@@ -230,12 +233,13 @@ ROOT = "#root"
 class Slot:
     """Siblings of one label, all of a page's or of a host's: text is that of the blocks themselves."""
 
-    __slots__ = ("label", "nodes", "text", "kids", "constant", "mass")
+    __slots__ = ("label", "nodes", "text", "kids", "constant", "mass", "way")
 
     def __init__(self, label: str):
         self.label, self.nodes, self.text, self.kids = label, [], [], {}
         self.constant: int | None = None  # the hash of the constant text
         self.mass = 0  # length of varying text
+        self.way: list[Slot] = []  # of a template's root: the path to its content
 
 
 def slots_of(root: Node) -> Slot:
@@ -299,6 +303,7 @@ def template_of(rows: list[dict]) -> Slot | None:
             slot.constant = r["hash"]
         else:
             slot.mass = r["length"]
+    top.way = content_path(top)
     return top
 
 
@@ -369,7 +374,7 @@ def _by_template(root: Node, template: Slot) -> list[Node]:
     """The nodes of the content slot and varying headings beside the way to it, in page order; what is
     constant loses its text."""
     page = slots_of(root)
-    way = content_path(template)
+    way = template.way
     found: set[int] = set()
     stack = [(page, template)]
     while stack:

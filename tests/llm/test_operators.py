@@ -521,6 +521,27 @@ def test_stages_decide_by_id_and_text(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(7, leak), (None, one), (None, two), (7, three), (8, four)]))
 
 
+@pytest.mark.parametrize("stage", ["civil", "distinct_enough", "uncontaminated", "without_personal_data"])
+def test_stages_keep_columns_of_any_name_and_type(spark, stage, tmp_path):
+    """Columns that the operators use inside, a map, nulls in every column; and an empty table."""
+    import corpus_pipeline
+
+    fields = "doc_id long, text string, n_chars long, keep string, keep_th string, bad string, bad_th string, _th string, pattern string, n string, kinds string, tags map<string,int>"
+    rows = [(k, t, None if k == 2 else len(t or ""), "a", "b", "c", None, "e", "f", "g", "h", {"x": k or 0} if k != 3 else None) for k, t in [(1, "one text of its own"), (2, None), (3, ""), (4, "the same words"), (4, "the same words"), (None, "no id here")]]
+    df = spark.createDataFrame(rows, fields)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a passage that nobody repeats")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    step = getattr(corpus_pipeline, stage)
+    out = step(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    if stage == "distinct_enough":  # null and empty texts are copies, and so are repeated rows
+        assert got == [("1", "one text of its own"), ("2", ""), ("4", "the same words"), ("None", "no id here")]
+    else:
+        assert got == sorted((str(k), t or "") for k, t, *_ in rows)
+    assert step(spark, df.filter("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_finds_copies_with_some_edits(spark):
     import corpus_pipeline
 
