@@ -97,10 +97,10 @@ def with_bindings(sql: str, **more: str) -> str:
     known = BINDINGS | more
     order: list[str] = []
 
-    def visit(text: str) -> None:
-        for n in sorted(set(re.findall(r"\w+", text)) & known.keys()):
+    def visit(text: str, inside: tuple[str, ...] = ()) -> None:
+        for n in sorted(set(re.findall(r"\w+", text)) & known.keys() - set(inside)):
             if n not in order:
-                visit(known[n])
+                visit(known[n], (*inside, n))
                 if n not in order:
                     order.append(n)
 

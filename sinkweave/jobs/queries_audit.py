@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sinkweave.functions.lineage import cut
 from sinkweave.jobs import queries_index, queries_structure
 from sinkweave.jobs.bindings import bind, with_bindings
 from sinkweave.operators import rules, triage, verify
@@ -26,9 +27,25 @@ def _symbols(spark, sf_dir):
     return bind(spark, sf_dir, "b_symbols").withColumns({"container": F.lit(None).cast("string"), "signature": F.lit("()")})
 
 
-@register("split_chunks")
+CHUNK = 2000
+CUM = "SELECT file, CAST(line AS INTEGER) AS line, sum(length(text) + 1) OVER (PARTITION BY file ORDER BY line) AS upto, count(*) OVER (PARTITION BY file) AS n FROM b_lines"
+#: Per line, the first line that no longer fits if a chunk starts there; per line, the last symbol start up to it.
+OVER = f"SELECT s.file, s.line, CAST(coalesce(min(t.line), max(s.n)) AS INTEGER) AS beyond, max(s.n) AS n FROM cum s LEFT JOIN cum p ON p.file = s.file AND p.line = s.line - 1 LEFT JOIN cum t ON t.file = s.file AND t.line >= s.line AND t.upto - coalesce(p.upto, 0) > {CHUNK} GROUP BY s.file, s.line"
+LAST = "SELECT c.file, c.line, CAST(max(s.start_line) AS INTEGER) AS start_line FROM cum c JOIN b_symbols s ON s.file = c.file AND s.start_line <= c.line GROUP BY c.file, c.line"
+CUTS = """
+SELECT DISTINCT file, 0 AS first, 0 AS beyond FROM cum
+UNION ALL SELECT x.file, CASE WHEN l.start_line > x.first THEN l.start_line ELSE x.b END, x.b
+FROM (SELECT c.file, c.first, CAST(greatest(c.beyond + 1, o.beyond) AS INTEGER) AS b, o.n FROM cuts c JOIN over_lines o ON o.file = c.file AND o.line = c.first) x LEFT JOIN last_start l ON l.file = x.file AND l.line = x.b WHERE x.b < x.n"""
+
+
+@register("split_chunks", """
+SELECT c.file, CAST(row_number() OVER (PARTITION BY c.file ORDER BY c.first) - 1 AS INTEGER) AS chunk, c.first + 1 AS start, CAST(coalesce(lead(c.first) OVER (PARTITION BY c.file ORDER BY c.first), n.n) AS INTEGER) AS "end"
+FROM cuts c JOIN (SELECT file, count(*) AS n FROM b_lines GROUP BY file) n ON n.file = c.file""", cum=CUM, over_lines=OVER, last_start=LAST, cuts=CUTS)
 def split_chunks(spark, sf_dir):
-    return triage.split_chunks(bind(spark, sf_dir, "b_docs"), bind(spark, sf_dir, "b_symbols"), 2000)
+    return triage.split_chunks(queries_index.content(spark, sf_dir), bind(spark, sf_dir, "b_symbols"), CHUNK)
+
+
+ORACLE["split_chunks"] = ORACLE["split_chunks"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # every line is about 20 characters, so a limit above the file's size makes one chunk of each file
@@ -124,7 +141,8 @@ def hop_sources(spark, sf_dir):
 
 @register("verify_prompts")
 def verify_prompts(spark, sf_dir):
-    found = _chains(spark, sf_dir)
+    """Of the whole chains, with all their hops."""
+    found = cut(queries_structure._chains(spark, sf_dir), "verified-chains")
     return verify.verify_prompts(found, verify.hop_sources(found, bind(spark, sf_dir, "b_symbols"), queries_index.content(spark, sf_dir)))
 
 

@@ -20,13 +20,13 @@ ORACLE: dict[str, str] = {}
 LANG = "CASE regexp_extract(file, '([.][^./]+)$', 1) WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'tsx' WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.go' THEN 'go' WHEN '.php' THEN 'php' WHEN '.c' THEN 'c' WHEN '.cpp' THEN 'cpp' WHEN '.cs' THEN 'csharp' END"
 #: Rules over the bindings' invented names.
 CALL_RULES = (
-    ("t.hot0", "sink", "Hot", "CWE-1", None, "hot_0 hot_14", ()),
-    ("t.py", "source", "Fn", None, ("python", "java"), "hot_7 fn_2 fn_4 fn_10", ()),
-    ("t.late", "sink", "Late", "CWE-2", None, "hot_7 hot_14 fn_4 fn_6", ()),
+    ("t.hot0", "sink", "Hot", "CWE-1", None, ("hot_0", "hot_14"), ()),
+    ("t.py", "source", "Fn", None, ("python", "java"), ("hot_7", "fn_2", "fn_4", "fn_10"), ()),
+    ("t.late", "sink", "Late", "CWE-2", None, ("hot_7", "hot_14", "fn_4", "fn_6"), ()),
 )
 DOC_RULES = (
-    ("d.token", "sink", "Secret", "CWE-798", ("python",), "", (r"\btoken = \"", "[broken")),
-    ("d.ip", "source", "Address", None, None, "", (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",)),
+    ("d.token", "sink", "Secret", "CWE-798", ("python",), (), (r"\btoken = \"", "[broken")),
+    ("d.ip", "source", "Address", None, None, (), (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",)),
 )
 
 
@@ -179,7 +179,7 @@ def _values(rows, kind: str) -> str:
         langs = "NULL" if not r[4] else "[" + ", ".join(f"'{x}'" for x in r[4]) + "]"
         head = f"{seq}, '{r[0]}', '{r[1]}', '{r[2]}', {cwe}, {langs}"
         if kind == "calls":
-            out += [f"({head}, '{c}')" for c in r[5].split()]
+            out += [f"({head}, '{c}')" for c in r[5]]
         else:
             out += [f"({head}, '{p}', {seq * 100 + k})" for k, p in enumerate(r[6]) if rules.compiles(p)]
     names = "rule_seq, rule_id, kind, category, cwe, languages, " + ("callee" if kind == "calls" else "pattern, pattern_seq")

@@ -211,9 +211,9 @@ def expand_chains(spark, sf_dir):
 
 # depth 0: every sink ends where it stands, which SQL can say without iteration
 @register("terminal_chains", """
-SELECT x.id AS sink, CASE WHEN x.s.id IS NULL THEN 'top-level code' WHEN x.s.name IN ('main', 'doGet', 'doPost', 'doPut', 'doDelete', 'doHead', 'ServeHTTP') THEN 'entry function ' || x.s.name
+SELECT x.id AS sink, CASE WHEN x.s.id IS NULL THEN 'top-level code' WHEN x.s.name IN (ENTRY_NAMES) THEN 'entry function ' || x.s.name
   WHEN x.s.name IN (SELECT callee FROM b_calls) THEN 'reached depth limit' ELSE 'no callers (possible framework entry)' END AS reason, CASE WHEN x.s.id IS NULL THEN 0 ELSE 59 END AS score
-FROM (SELECT k.id, arg_min(s, (s.end_line - s.start_line, s.sym_seq)) AS s FROM sinks k LEFT JOIN b_symbols s ON s.file = k.file AND k.line - 1 BETWEEN s.start_line AND s.end_line GROUP BY k.id) x""", sinks=SINKS)
+FROM (SELECT k.id, arg_min(s, (s.end_line - s.start_line, s.sym_seq)) AS s FROM sinks k LEFT JOIN b_symbols s ON s.file = k.file AND k.line - 1 BETWEEN s.start_line AND s.end_line GROUP BY k.id) x""".replace("ENTRY_NAMES", ", ".join(f"'{n}'" for n in chains.ENTRY_NAMES)), sinks=SINKS)
 def terminal_chains(spark, sf_dir):
     return _chains(spark, sf_dir, max_depth=0).select("sink", "reason", "score")
 

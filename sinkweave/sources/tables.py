@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from sinkweave.operators.rules import LANGUAGES, detect_language
 
 MAX_BYTES = 1 << 20
+#: The snapshot's version and the fields of its entries and of marks.
 SNAPSHOT_VERSION = 3
-#: Path patterns that are left out.
-EXCLUDED = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/out/**", "**/target/**", "**/vendor/**", "**/.audit/**", "**/*.min.js")
 ENTRY = (
     "file string, contentHash string, languageId string, lines int, symbols array<struct<id:string,name:string,kind:string,container:string,file:string,startLine:int,endLine:int,signature:string>>, "
     "calls array<struct<callee:string,line:int,file:string,fromSymbol:string,text:string>>, imports array<string>"
 )
 MARK = "id string, kind string, status string, origin string, file string, symbol string, line int, anchor string, category string, cwe string, rule_id string, note string, author string, time string"
+#: Path patterns that are left out.
+EXCLUDED = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/out/**", "**/target/**", "**/vendor/**", "**/.audit/**", "**/*.min.js")
 
 
 def glob_pattern(glob: str) -> str:
@@ -39,7 +40,7 @@ def glob_pattern(glob: str) -> str:
 def read_corpus(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """SRC-1. (file_seq, file, language_id, content): files of known kinds up to 1 MiB. Path and length
     are tested before contents are read."""
-    globs = "{" + ",".join(f"*{e}" for exts in LANGUAGES.values() for e in exts.split()) + "}"
+    globs = "{" + ",".join(f"*{e}" for exts in LANGUAGES.values() for e in exts) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root).filter(F.col("length") <= MAX_BYTES)
     base = root.rstrip("/") + "/"
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")

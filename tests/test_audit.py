@@ -313,6 +313,19 @@ def test_stream_of_decisions(spark, tmp_path):
     assert [(r["id"], r["status"], r["origin"], r["author"]) for r in jobs.latest(spark, path).collect()] == [("source:b:4", "confirmed", "manual", "w")]
 
 
+def test_verify_prompts_show_all_hops_in_order(spark):
+    hop = "array<struct<symbol_id:string,name:string,file:string,line:int>>"
+    ways = [("k1", 1, [("a.js#top@0", "top", "a.js", 2), ("a.js#low@3", "low", "a.js", 5)], "source:a.js:1", None), ("k1", 2, [(None, "b.js", "b.js", 9)], None, "top-level code"), ("k2", 1, [("gone", "x", "c.js", 1)], None, "reached depth limit")]
+    found = spark.createDataFrame(ways, f"sink string, chain_seq int, hops {hop}, source_mark string, reason string")
+    symbols = spark.createDataFrame([("a.js#top@0", 0, 1), ("a.js#low@3", 3, 4)], "id string, start_line int, end_line int")
+    files = spark.createDataFrame([("a.js", "l0\nl1\nl2\nl3\nl4\nl5"), ("b.js", "\n".join(f"m{k}" for k in range(20)))], "file string, content string")
+    got = {(r["sink"], r["chain_seq"]): r["prompt"].split("\n") for r in verify.verify_prompts(found, verify.hop_sources(found, symbols, files)).collect()}
+    number = lambda first, texts: [f"{first + k:5d}| {t}" for k, t in enumerate(texts)]
+    assert got["k1", 1] == ["Sink: k1", "Source: source:a.js:1", "Chain:", "1. top (a.js:2)", "2. low (a.js:5)", "Sources:", "### top a.js", *number(1, ["l0", "l1"]), "", "### low a.js", *number(4, ["l3", "l4"]), "Is the chain reachable? Answer with JSON."]
+    assert got["k1", 2] == ["Sink: k1", "Entry: top-level code", "Chain:", "1. b.js (b.js:9)", "Sources:", "### b.js b.js", *number(6, [f"m{k}" for k in range(5, 14)]), "Is the chain reachable? Answer with JSON."]
+    assert got["k2", 1][5:7] == ["### x c.js", verify.UNAVAILABLE]
+
+
 def test_lookup_ranks_same_file_first(spark):
     s = spark.createDataFrame([("a/x.js#f@0", "f", "a/x.js", 0, 0), ("a/b/y.js#f@0", "f", "a/b/y.js", 1, 0), ("z.js#f@0", "f", "z.js", 2, 0)], "id string, name string, file string, file_seq long, sym_seq int")
     asked = spark.createDataFrame([(1, "f", "a/b/y.js"), (2, "f", None), (3, "f", "q.js")], "req int, name string, prefer_file string")
