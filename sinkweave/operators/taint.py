@@ -74,19 +74,25 @@ def dedup_marks(hits: DataFrame) -> DataFrame:
 def scan_taint(lines: DataFrame, calls: DataFrame, symbols: DataFrame, rule_rows: DataFrame, rules=RULES, now: str = "") -> DataFrame:
     """TNT-5. Calls and lines scanned, deduplicated, and anchored to their enclosing symbols."""
     marks = dedup_marks(scan_calls(calls, rule_rows).unionByName(scan_lines(lines, rules)))
-    points = marks.withColumn("line", F.col("line") - 1)
-    named = enclosing_symbol(points, symbols, ["file", "kind", "line"], ("name",)).withColumn("line", F.col("line") + 1)
-    return marks.join(named.withColumnRenamed("sym_name", "symbol"), ["file", "kind", "line"], "left").select(
+    # a mark is its own key, so that its columns pass through and nothing is scanned twice
+    named = enclosing_symbol(marks.withColumn("line", F.col("line") - 1), symbols, marks.columns, ("name",)).withColumn("line", F.col("line") + 1)
+    return named.withColumnRenamed("sym_name", "symbol").select(
         mark_id(F.col("kind"), F.col("file"), F.col("line")).alias("id"), "kind", F.lit("candidate").alias("status"), F.lit("scan").alias("origin"),
         "file", "symbol", "line", "anchor", "category", "cwe", "rule_id", F.lit("").alias("author"), F.lit(now).alias("time"))
 
 
 def merge_candidates(existing: DataFrame, scanned: DataFrame) -> DataFrame:
     """TNT-6. Decided or manual marks stay, candidates stay if matched again (as they were), new ones
-    come in. One shuffle by id for both sides."""
-    seen = scanned.select(F.col("id"), F.lit(True).alias("_seen")).distinct()
-    kept = existing.join(seen, "id", "left").filter("origin = 'manual' or status <> 'candidate' or _seen").drop("_seen")
-    return kept.unionByName(scanned.join(kept.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    come in. Ids are unique on either side, which meet in one full join, so each is read once."""
+    names = [*existing.columns, *[c for c in scanned.columns if c not in existing.columns]]
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        return df.select("id", F.struct(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names if c != "id"]).alias(name))
+
+    old, new = packed(existing, "_old"), packed(scanned, "_new")
+    stays = F.col("_old").isNull() | (F.col("_old.origin") == "manual") | (F.col("_old.status") != "candidate") | F.col("_new").isNotNull()
+    both = old.join(new, "id", "full").filter(stays)
+    return both.select(*[F.col("id") if c == "id" else F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_new.{c}")).alias(c) for c in names])
 
 
 def apply_manual_marks(existing: DataFrame, manual: DataFrame) -> DataFrame:
