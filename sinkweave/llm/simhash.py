@@ -181,9 +181,12 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     other. Repeated rows of it are one document and fold into one row, the first by all its columns
     as JSON. An empty table gives no rows; further columns may have any names and types."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("best")
-    keep, text = fresh(docs, "keep"), fresh(docs, "keep_th")
-    chosen = cut(grouped.groupBy("group").agg(best).select(F.col("best.doc_id").alias(keep), F.col("best._th").alias(text)), "chosen")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.xxhash64("text") == F.col(text)), "left_semi")
+    drop, text = fresh(docs, "drop"), fresh(docs, "drop_th")
+    chosen = grouped.groupBy("group").agg(best).select(F.col("best.doc_id").alias("id"), F.col("best._th").alias("th"))
+    others = grouped.select("doc_id", "_th").distinct().join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_anti")
+    # written, so that Spark knows its size: while it is small, whole documents are not shuffled
+    gone = cut(others.select(F.col("doc_id").alias(drop), F.col("_th").alias(text)), "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(drop)) & (F.xxhash64("text") == F.col(text)), "left_anti")
     if grouped.groupBy("doc_id", "_th").count().filter("count > 1").isEmpty():
         return kept
     row = F.struct(*docs.columns)
