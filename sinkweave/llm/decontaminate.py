@@ -168,4 +168,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged on their own; repeated rows stay or go together; an empty table gives no rows."""
     bad_id, bad_text = fresh(docs, "bad"), fresh(docs, "bad_th")
     bad = _judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("_th").alias(bad_text)).distinct()
+    bad = cut(bad, "contaminated")  # its size is known now: while it is small, whole documents are not shuffled
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text)), "left_anti")
