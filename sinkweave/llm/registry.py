@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sinkweave.llm import bpe, decontaminate, licenses, pages, pii, quality, sharding, simhash, toxicity, urls
+from sinkweave.llm import bpe, decontaminate, divergence, licenses, pages, pii, quality, sharding, simhash, topk, toxicity, urls
 from sinkweave.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
+
+
 OP2_SQL = r"""
 WITH iw AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
@@ -78,13 +86,49 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH tok AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+occ AS (SELECT d, lang, source, unnest(w) AS term FROM tok),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM tok),
+here AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n FROM grp g JOIN kept k ON k.lang = g.lang LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+gp AS (SELECT d.lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER (PARTITION BY d.lang, source) + 2 * v.v) AS p FROM dense d JOIN v ON v.lang = d.lang),
+lp AS (SELECT s.lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER (PARTITION BY s.lang) + 2 * v.v) AS q FROM (SELECT lang, term, sum(n) AS n FROM here GROUP BY lang, term) s JOIN v ON v.lang = s.lang),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(pr.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+terms AS (SELECT gp.lang, gp.source, gp.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM gp JOIN lp ON lp.lang = gp.lang AND lp.term = gp.term WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP12_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c AS (SELECT r, vec_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM e),
+met AS (SELECT q.r AS qr, c.r AS cr, sum(q.w * c.w) AS score FROM c q JOIN c ON q.i = c.i AND q.r <> c.r WHERE q.vec_id % 100 = 0 GROUP BY q.r, c.r),
+ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(met.score, 0) AS score,
+         row_number() OVER (PARTITION BY q.r ORDER BY coalesce(met.score, 0) DESC, c.vec_id NULLS LAST) AS rank
+  FROM e q JOIN e c ON q.r <> c.r LEFT JOIN met ON met.qr = q.r AND met.cr = c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op5_html,
-        op6_licenses, op7_quality, op8_bpe, op9_pii, op10_urls,
+        op6_licenses, op7_quality, op8_bpe, op9_pii, op10_urls, op11_divergence, op12_topk,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op11_divergence": OP11_SQL, "op12_topk": OP12_SQL}
