@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sinkweave.llm import bpe, decontaminate, divergence, licenses, pages, pii, quality, sharding, simhash, topk, toxicity, urls
+from sinkweave.llm import bpe, decontaminate, divergence, licenses, pages, pii, quality, sharding, simhash, topk, toxicity, trie, urls
 from sinkweave.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuild(table(spark, sf_dir, "conversations")))
+
+
 OP2_SQL = r"""
 WITH iw AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
@@ -122,13 +126,41 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS
 """
 
 
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT conv_id, CAST(4294967295 AS BIGINT) AS r, CAST(conv_id AS VARCHAR) AS rest FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT conv_id, list_reduce([xor(r, CAST(unicode(rest) AS BIGINT))] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END)), rest[2:]
+  FROM crc WHERE rest <> ''),
+convs AS (SELECT conv_id AS c, xor(r, 4294967295) % 9 AS h, conv_id - conv_id % 5 AS kin FROM crc WHERE rest = ''),
+said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS t
+  FROM said GROUP BY conv_id),
+rebuilt AS (SELECT c, coalesce(k.t, [])[1 : h] || o.t[h + 1 :] AS t FROM convs JOIN own o ON o.conv_id = c LEFT JOIN own k ON k.conv_id = kin),
+member AS (SELECT c, len(t) AS n, d, t[1 : d] AS path FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256,
+         CASE WHEN d > 0 THEN (count(*) - 1) * strlen(path[d].text) ELSE 0 END AS own
+  FROM member GROUP BY d, path),
+kids AS (SELECT path[1 : d - 1] AS path, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+under AS (
+  SELECT a.d, a.path, CAST(sum(x.own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves
+  FROM (SELECT path[1 : j] AS path, j AS d, x.path AS full_path, x.d AS full_d, x.own FROM (SELECT path, d, own, unnest(range(0, d + 1)) AS j FROM node) x) x
+  JOIN node a ON a.d = x.d AND a.path = x.path LEFT JOIN kids k ON k.d = x.full_d AND k.path = x.full_path GROUP BY a.d, a.path)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+FROM node n JOIN under u ON u.d = n.d AND u.path = n.path LEFT JOIN kids k ON k.d = n.d AND k.path = n.path
+LEFT JOIN node p ON p.d = n.d - 1 AND p.path = n.path[1 : n.d - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_sharding, op2_decontamination, op3_simhash, op4_toxicity, op5_html,
-        op6_licenses, op7_quality, op8_bpe, op9_pii, op10_urls, op11_divergence, op12_topk,
+        op6_licenses, op7_quality, op8_bpe, op9_pii, op10_urls, op11_divergence, op12_topk, op13_prefix_trie,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op11_divergence": OP11_SQL, "op12_topk": OP12_SQL}
+    return {"op2_decontamination": OP2_SQL, "op11_divergence": OP11_SQL, "op12_topk": OP12_SQL, "op13_prefix_trie": OP13_SQL}
