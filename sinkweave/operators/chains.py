@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sinkweave.functions.lineage import cut
 from sinkweave.functions.text import basename
-from sinkweave.operators.indexing import enclosing_symbol
+from sinkweave.operators.indexing import enclosing_symbol, first_inside
 
 MAX_DEPTH, MAX_CALLERS, MAX_CHAINS = 8, 8, 20
 #: Names that mark an entry function.
@@ -31,9 +31,8 @@ def anchor_sinks(sinks: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def symbols_with_source(symbols: DataFrame, marks: DataFrame) -> DataFrame:
     """CHN-3. (symbol id, source mark): the first source that is not excluded inside each symbol."""
-    sources = marks.filter("kind = 'source' and status <> 'excluded'").select(F.col("file").alias("_file"), (F.col("line") - 1).alias("_line"), F.col("id").alias("mark_id"), "mark_seq")
-    held = symbols.join(sources, (F.col("file") == F.col("_file")) & F.col("_line").between(F.col("start_line"), F.col("end_line")))
-    return held.groupBy("id").agg(F.min_by("mark_id", F.struct("mark_seq", "mark_id")).alias("source_mark"))
+    sources = marks.filter("kind = 'source' and status <> 'excluded'").select("file", (F.col("line") - 1).cast("long").alias("line"), F.col("id").alias("source_mark"), "mark_seq")
+    return first_inside(symbols, sources, "id", "source_mark", ["mark_seq"])
 
 
 def terminal_reason(name: Column, had_callers: Column) -> Column:

@@ -433,7 +433,8 @@ def _chains(s: _Shapes) -> list[int]:
             operand = prior >= 0 and not control and ((t.kind[prior] == "name" and t.word[prior] not in s.keywords) or t.word[prior] in (")", "]") or (t.kind[prior] == "string" and w == ")"))
             start = out[prior] if operand else o
         elif w == "}" and 0 <= t.match[i] < i:
-            start = t.match[i]
+            o = t.match[i]
+            start = out[o - 1] if o in s.members and t.at(o - 1) == ")" else o  # new Name(...) { members }
         elif t.kind[i] in ("name", "string"):
             if before in _DOTS and i >= 2:
                 k = i - 3 if t.at(i - 2) == "!" else i - 2
