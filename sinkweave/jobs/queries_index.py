@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinkweave.functions import text as tx
-from sinkweave.functions.lineage import shared_dir
+from sinkweave.functions.lineage import cut, shared_dir
 from sinkweave.jobs.bindings import bind, with_bindings
 from sinkweave.operators import extract, indexing, lookup, rules, taint
 from sinkweave.sources import tables
@@ -163,6 +163,21 @@ def search_text(spark, sf_dir):
     return lookup.search_text(asked, bind(spark, sf_dir, "b_docs"))
 
 
+ASKED = "SELECT DISTINCT query FROM (SELECT substr(text, 21, 14) AS query FROM benchmark UNION ALL SELECT substr(text, 3, 2) FROM benchmark) q0 WHERE query <> ''"
+
+
+@register("search_passages", r"""
+SELECT query, place, hit FROM (
+  SELECT q.query, row_number() OVER (PARTITION BY q.query ORDER BY d.file_seq, d.i) AS place, d.file || ':' || (d.i + 1) || ': ' || substr(regexp_replace(d.line, '^\s+|\s+$', '', 'g'), 1, 120) AS hit
+  FROM (SELECT file_seq, file, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT file_seq, file, string_split(content, chr(10)) AS l FROM b_docs)) d
+  JOIN asked q ON contains(d.line, q.query)) WHERE place <= 50""", asked=ASKED)
+def search_passages(spark, sf_dir):
+    """A piece and a pair of characters of every benchmark text, looked for in all documents."""
+    asked = bind(spark, sf_dir, "benchmark").select(F.explode(F.array(F.substring("text", 21, 14), F.substring("text", 3, 2))).alias("query"))
+    files = bind(spark, sf_dir, "b_docs")
+    return lookup.search_text(asked, files, 50, cut(lookup.text_postings(files), "postings"))
+
+
 @register("number_lines", "SELECT file, string_agg(t, chr(10) ORDER BY line) AS text FROM numbered GROUP BY file", numbered=NUMBERED)
 def number_lines(spark, sf_dir):
     return content(spark, sf_dir).select("file", tx.numbered(tx.source_lines(F.col("content")), F.lit(1)).alias("text"))
