@@ -218,6 +218,62 @@ def terminal_chains(spark, sf_dir):
     return _chains(spark, sf_dir, max_depth=0).select("sink", "reason", "score")
 
 
+# depth 3: every walk of three callers, a level at a time, by a recursive query
+CALLERS = """
+SELECT e.callee, e.caller, e.line, s.id AS c_id, s.name AS c_name, s.file AS c_file, w.source_mark AS src, e.at
+FROM (SELECT callee, coalesce(from_symbol, '__top__:' || file) AS caller, max(from_symbol) AS from_symbol, arg_min(line + 1, (file_seq, call_seq)) AS line, min((file_seq, call_seq)) AS at FROM enclosed GROUP BY 1, 2) e
+LEFT JOIN b_symbols s ON s.id = e.from_symbol
+LEFT JOIN (SELECT s.id, arg_min(m.id, m.event_id) AS source_mark FROM b_symbols s JOIN b_marks m ON m.file = s.file AND m.line - 1 BETWEEN s.start_line AND s.end_line WHERE m.kind = 'source' AND m.status <> 'excluded' GROUP BY s.id) w ON w.id = s.id"""
+STARTS = """
+SELECT k.id, k.file, CAST(k.line AS INTEGER) AS line, arg_min(s, (s.end_line - s.start_line, s.sym_seq)) AS s
+FROM sinks k LEFT JOIN b_symbols s ON s.file = k.file AND k.line - 1 BETWEEN s.start_line AND s.end_line GROUP BY k.id, k.file, k.line"""
+WALK = """
+SELECT id AS sink, CAST([] AS INTEGER[]) AS key, s.id IS NOT NULL AS open, 0 AS depth, s.name AS name, s.file AS node_file,
+  [{'symbol_id': s.id, 'name': coalesce(s.name, regexp_extract(file, '[^/]*$')), 'file': file, 'line': line}] AS hops, [s.id] AS path, CAST(NULL AS VARCHAR) AS source_mark, CASE WHEN s.id IS NULL THEN 'top-level code' END AS reason
+FROM starts
+UNION ALL
+SELECT sink, CASE WHEN ends THEN key ELSE key || [CAST(place AS INTEGER)] END, NOT ends AND c_id IS NOT NULL AND src IS NULL, depth + 1, CASE WHEN c_id IS NULL THEN NULL ELSE c_name END, c_file,
+  CASE WHEN ends THEN hops ELSE [{'symbol_id': c_id, 'name': coalesce(c_name, node_file || ' (top level)'), 'file': coalesce(c_file, node_file), 'line': CAST(c_line AS INTEGER)}] || hops END,
+  CASE WHEN ends THEN path ELSE [c_id] || path END, CASE WHEN NOT ends THEN src END,
+  CASE WHEN NOT ends THEN CASE WHEN c_id IS NULL THEN 'module top-level call' END WHEN has AND depth < 3 THEN 'chain cycles here'
+    WHEN name IN (ENTRY_NAMES) THEN 'entry function ' || name WHEN has THEN 'reached depth limit' ELSE 'no callers (possible framework entry)' END
+FROM (
+  SELECT *, NOT has OR depth >= 3 OR n_free = 0 AS ends FROM (
+    SELECT w.*, c.c_id, c.c_name, c.c_file, c.src, c.line AS c_line, cyclic, bool_or(c.caller IS NOT NULL) OVER (PARTITION BY w.sink, w.key) AS has, count(*) FILTER (WHERE NOT cyclic) OVER (PARTITION BY w.sink, w.key) AS n_free,
+      row_number() OVER (PARTITION BY w.sink, w.key, cyclic ORDER BY CASE WHEN c.c_file = w.node_file THEN 0 ELSE 1 END, c.at, c.caller) AS place
+    FROM (SELECT w.*, c, c.caller IS NULL OR (c.c_id IS NOT NULL AND list_contains(w.path, c.c_id)) AS cyclic FROM walk w LEFT JOIN callers c ON c.callee = w.name WHERE w.open) w))
+WHERE (ends AND place = 1 AND (cyclic OR n_free > 0) AND (n_free = 0 OR NOT cyclic)) OR (NOT ends AND NOT cyclic AND place <= 8)""".replace("ENTRY_NAMES", ", ".join(f"'{n}'" for n in chains.ENTRY_NAMES))
+SCORED = """
+SELECT *, row_number() OVER (PARTITION BY sink ORDER BY score DESC, key) AS chain_seq FROM (
+  SELECT *, CASE WHEN reason = 'top-level code' THEN 0 ELSE CASE WHEN source_mark IS NOT NULL THEN 100 ELSE 0 END + CASE WHEN reason IS NOT NULL THEN 40 ELSE 0 END + greatest(0, 20 - len(hops)) END AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY key) AS nth FROM walk WHERE NOT open) WHERE nth <= 20)"""
+DEEP = dict(sinks=SINKS, enclosed=ENCLOSED, callers=CALLERS, starts=STARTS, walk=WALK, scored=SCORED)
+LABELS = "SELECT sink, CAST(chain_seq AS INTEGER) AS chain_seq, score, hops[1].name || ' → … → ' || hops[-1].name AS label, CAST(len(hops) AS INTEGER) AS n_hops, coalesce(reason, 'reaches Source') AS detail, array_to_string([h.name FOR h IN hops], ' → ') AS path FROM scored"
+
+
+def deep_chains(spark, sf_dir):
+    return _chains(spark, sf_dir, max_depth=3)
+
+
+def recursive(name: str, *names: str) -> None:
+    """Marks oracles that walk as recursive, with what each level reads computed once."""
+    for n in (name, *names):
+        ORACLE[n] = ORACLE[n].replace("WITH ", "WITH RECURSIVE ", 1).replace("\ncallers AS (", "\ncallers AS MATERIALIZED (")
+
+
+@register("expand_chains_3", LABELS, **DEEP)
+def expand_chains_3(spark, sf_dir):
+    return chains.chain_labels(deep_chains(spark, sf_dir))
+
+
+@register("best_chain_3", f"{LABELS} WHERE chain_seq = 1", **DEEP)
+def best_chain_3(spark, sf_dir):
+    return chains.chain_labels(chains.best_chain(deep_chains(spark, sf_dir)))
+
+
+recursive("expand_chains_3", "best_chain_3")
+
+
 @register("best_chain")
 def best_chain(spark, sf_dir):
     return chains.chain_labels(chains.best_chain(_chains(spark, sf_dir)))

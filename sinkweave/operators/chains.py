@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,59 +42,77 @@ def terminal_reason(name: Column, had_callers: Column) -> Column:
     return F.when(name.isin(*ENTRY_NAMES), F.concat(F.lit("entry function "), name)).when(had_callers, "reached depth limit").otherwise("no callers (possible framework entry)")
 
 
+_HOP = "struct<symbol_id:string,name:string,file:string,line:int>"
+
+
+def adjacency(edges: DataFrame, symbols: DataFrame, sources: DataFrame, enough: int) -> DataFrame:
+    """The first ``enough`` callers of each name, as one row: of all files (``scope`` '') and of each file
+    that has some ('=' and the file). Hot names are cut on the map side, before they are gathered."""
+    known = symbols.select(F.col("id").alias("from_symbol"), F.col("name").alias("c_name"), F.col("file").alias("c_file")).join(sources.select(F.col("id").alias("from_symbol"), F.col("source_mark").alias("src")), "from_symbol", "left")
+    # top levels have no symbol to look for, and may be many
+    inside = edges.filter("from_symbol is not null").join(known, "from_symbol", "left")
+    edges = inside.unionByName(edges.filter("from_symbol is null"), allowMissingColumns=True).withColumn("c_id", F.when(F.col("c_name").isNotNull(), F.col("from_symbol")))
+    scopes = F.when(F.col("c_file").isNotNull(), F.array(F.lit(""), F.concat(F.lit("="), "c_file"))).otherwise(F.array(F.lit("")))
+    caller = F.struct("at", "caller", "c_id", "c_name", "c_file", "src", F.col("line").cast("int").alias("c_line"))
+    order = Window.partitionBy("callee", "scope").orderBy("c.at", "c.caller")
+    first = edges.select("callee", F.explode(scopes).alias("scope"), caller.alias("c")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= enough)
+    return cut(first.groupBy("callee", "scope").agg(F.sort_array(F.collect_list("c")).alias("callers")), "chain-callers")
+
+
 def expand_chains(anchored: DataFrame, edges: DataFrame, symbols: DataFrame, sources: DataFrame, max_depth: int = MAX_DEPTH, max_callers: int = MAX_CALLERS, max_chains: int = MAX_CHAINS) -> DataFrame:
     """CHN-4. All sinks at once, one level a round. A chain's ``key`` holds the callers' places from the
     sink on; chains are found in the order of their keys, and every open one ends in a chain at least,
     so keeping the first max_chains of a sink by key after each round loses none of the first.
 
-    No node needs more than its first max_callers + max_depth + 1 callers (a path blocks no more), from
-    its own file and overall; only those are joined, so hot names stay small. A caller of its own file
-    that is among the first overall is left to those."""
-    hop = "struct<symbol_id:string,name:string,file:string,line:int>"
+    Only open chains enter a round: each knows how many finished ones of its sink come before it
+    (``before``; what follows from it shares that number), so finished ones are written once and left.
+    A name's callers are one row, met by name; no node needs more than its first max_callers +
+    max_depth + 1 (a path blocks no more), from its own file and overall. A round is one look-up
+    of the names that it reaches, for the own file and for all, and one window over its rows."""
     none = F.lit(None).cast("string")
-    known = symbols.select(F.col("id").alias("from_symbol"), F.col("name").alias("c_name"), F.col("file").alias("c_file")).join(sources.select(F.col("id").alias("from_symbol"), "source_mark"), "from_symbol", "left")
-    edges = edges.join(known, "from_symbol", "left").withColumn("c_id", F.when(F.col("c_name").isNotNull(), F.col("from_symbol")))
-    enough = max_callers + max_depth + 1
-    edges = edges.select("callee", "caller", "c_id", "c_name", "c_file", "source_mark", F.col("line").alias("c_line"), "at")
-    # each limit by itself, so that Spark cuts a hot name's callers before they meet
-    first = lambda *keys: edges.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "caller"))).filter(F.col("_r") <= enough).drop("_r")
-    overall = cut(first("callee"), "chain-edges")
-    beside = cut(first("callee", "c_file").filter("c_file is not null").join(overall.select("callee", "caller"), ["callee", "caller"], "left_anti"), "chain-edges")
-    overall, beside = overall.withColumnRenamed("source_mark", "src"), beside.withColumnRenamed("source_mark", "src")
+    callers = adjacency(edges, symbols, sources, max_callers + max_depth + 1)
     top = F.struct(none.alias("symbol_id"), basename(F.col("file")).alias("name"), F.col("file").alias("file"), F.col("line").cast("int").alias("line"))
     first = F.struct(F.col("sym_id").alias("symbol_id"), F.col("sym_name").alias("name"), F.col("sym_file").alias("file"), F.col("line").cast("int").alias("line"))
     inside = F.col("sym_id").isNotNull()
-    state = anchored.select(
-        F.col("id").alias("sink"), F.array().cast("array<int>").alias("key"), inside.alias("open"), F.array(F.when(inside, first).otherwise(top)).cast(f"array<{hop}>").alias("hops"),
-        F.array("sym_id").alias("path"), none.alias("source_mark"), F.when(~inside, "top-level code").alias("reason"))
-    node = F.col("hops")[0]
+    state = cut(anchored.select(
+        F.col("id").alias("sink"), F.array().cast("array<int>").alias("key"), inside.alias("open"), F.array(F.when(inside, first).otherwise(top)).cast(f"array<{_HOP}>").alias("hops"),
+        F.array("sym_id").alias("path"), none.alias("source_mark"), F.when(~inside, "top-level code").alias("reason"), F.lit(0).cast("long").alias("before")), "chain-state")
+    rounds = [state]
     for depth in range(max_depth + 1):
-        done = state.filter("not open")
-        live = state.filter("open").withColumn("name", node["name"]).withColumn("node_file", node["file"])
-        met = live.join(overall, F.col("name") == F.col("callee"), "left").unionByName(live.join(beside, (F.col("name") == F.col("callee")) & (F.col("node_file") == F.col("c_file"))))
-        free = F.col("caller").isNotNull() & (F.col("c_id").isNull() | ~F.array_contains("path", F.col("c_id")))
-        far = F.when(F.col("c_file") == F.col("node_file"), 0).otherwise(1)
-        order = Window.partitionBy("sink", "key", "cyclic").orderBy(far, "at", "caller")
-        met = met.withColumn("cyclic", ~free).withColumn("place", F.row_number().over(order))
-        whole = Window.partitionBy("sink", "key")
-        met = met.withColumn("has", F.max(F.col("caller").isNotNull()).over(whole)).withColumn("n_free", F.count_if(~F.col("cyclic")).over(whole))
-        limit = depth >= max_depth
-        ends = ~F.col("has") | F.lit(limit) | (F.col("n_free") == 0)
-        why = F.when(~F.col("has") | F.lit(limit), terminal_reason(F.col("name"), F.col("has"))).otherwise("chain cycles here")
-        stopped = met.filter(ends).select("sink", "key", F.lit(False).alias("open"), "hops", "path", "source_mark", why.alias("reason")).dropDuplicates(["sink", "key"])
-        on_top = F.col("c_id").isNull()
+        live = state.filter("open").select("sink", "key", "hops", "path", "before", F.col("hops")[0]["name"].alias("name"), F.col("hops")[0]["file"].alias("node_file"))
+        here = F.concat(F.lit("="), "node_file")
+        asked = live.select("name", F.explode(F.array(F.lit(""), here)).alias("scope")).distinct()
+        found = callers.join(asked.withColumnRenamed("name", "callee"), ["callee", "scope"], "left_semi").groupBy("callee").agg(F.map_from_entries(F.collect_list(F.struct("scope", "callers"))).alias("m"))
+        met = live.join(found.withColumnRenamed("callee", "name"), "name", "left")
+        own, all_ = F.col("m")[here], F.col("m")[""]
+        no = F.expr("filter(all_, x -> false)")
+        met = met.withColumn("all_", all_).withColumn("own", F.coalesce(own, no))
+        known = F.concat("own", F.filter("all_", lambda c: c["c_file"].isNull() | (c["c_file"] != F.col("node_file"))))
+        met = met.withColumn("known", known).withColumn("free", F.filter("known", lambda c: c["c_id"].isNull() | ~F.array_contains("path", c["c_id"])))
+        has = F.coalesce(F.size("known") > 0, F.lit(False))
+        limit = F.lit(depth >= max_depth)
+        ends = ~has | limit | (F.size("free") == 0)
+        why = F.when(~has | limit, terminal_reason(F.col("name"), has)).otherwise("chain cycles here")
+        met = met.select("sink", "key", "hops", "path", "before", "node_file", ends.alias("ends"), why.alias("why"), F.posexplode_outer(F.when(~ends, F.slice("free", 1, max_callers))).alias("i", "c"))
+        on_top = F.col("c.c_id").isNull()
         label = F.struct(
-            F.col("c_id").alias("symbol_id"), F.when(on_top, F.concat("node_file", F.lit(" (top level)"))).otherwise(F.col("c_name")).alias("name"),
-            F.when(on_top, F.col("node_file")).otherwise(F.col("c_file")).alias("file"), F.col("c_line").cast("int").alias("line"))
-        grown = met.filter(~ends & ~F.col("cyclic") & (F.col("place") <= max_callers)).select(
-            "sink", F.concat("key", F.array("place")).alias("key"), (~on_top & F.col("src").isNull()).alias("open"), F.concat(F.array(label).cast(f"array<{hop}>"), F.col("hops")).alias("hops"),
-            F.concat(F.array("c_id"), F.col("path")).alias("path"), F.when(~on_top, F.col("src")).alias("source_mark"), F.when(on_top, "module top-level call").alias("reason"))
-        found = done.unionByName(stopped).unionByName(grown)
-        cutoff = F.row_number().over(Window.partitionBy("sink").orderBy("key"))
-        state = cut(found.withColumn("_nth", cutoff).filter(F.col("_nth") <= max_chains).drop("_nth"), "chain-state")
+            F.col("c.c_id").alias("symbol_id"), F.when(on_top, F.concat("node_file", F.lit(" (top level)"))).otherwise(F.col("c.c_name")).alias("name"),
+            F.when(on_top, F.col("node_file")).otherwise(F.col("c.c_file")).alias("file"), F.col("c.c_line").alias("line"))
+        grown = met.select(
+            "sink", F.when(F.col("ends"), F.col("key")).otherwise(F.concat("key", F.array(F.col("i") + 1))).alias("key"), (~F.col("ends") & ~on_top & F.col("c.src").isNull()).alias("open"),
+            F.when(F.col("ends"), F.col("hops")).otherwise(F.concat(F.array(label).cast(f"array<{_HOP}>"), F.col("hops"))).alias("hops"), F.when(F.col("ends"), F.col("path")).otherwise(F.concat(F.array("c.c_id"), F.col("path"))).alias("path"),
+            F.when(~F.col("ends") & ~on_top, F.col("c.src")).alias("source_mark"), F.when(F.col("ends"), F.col("why")).when(on_top, "module top-level call").alias("reason"), "before")
+        in_order = Window.partitionBy("sink").orderBy("key")
+        done_before = F.count_if(~F.col("open")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+        kept = grown.withColumn("_nth", F.row_number().over(in_order) + F.col("before")).withColumn("before", F.col("before") + done_before).filter(F.col("_nth") <= max_chains).drop("_nth")
+        state = cut(kept, "chain-state")
+        rounds.append(state)
         if state.filter("open").isEmpty():
             break
-    return score_chains(state.select("sink", "key", "hops", "source_mark", "reason"))
+    done = [r.filter("not open").select("sink", "key", "hops", "source_mark", "reason") for r in rounds]
+    # later chains with smaller keys may have pushed finished ones beyond the limit
+    nth = F.row_number().over(Window.partitionBy("sink").orderBy("key"))
+    return score_chains(reduce(DataFrame.unionByName, done).withColumn("_nth", nth).filter(F.col("_nth") <= max_chains).drop("_nth"), max_chains)
 
 
 def score_chains(chains: DataFrame, max_chains: int = MAX_CHAINS) -> DataFrame:
