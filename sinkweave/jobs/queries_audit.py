@@ -100,11 +100,11 @@ def normalize_analysis(spark, sf_dir):
 
 
 @register("merge_chunks", """
-SELECT file, CAST(sum(n) AS INTEGER) AS n_issues, CASE WHEN count(*) = 1 THEN max(s) ELSE string_agg('Chunk ' || (chunk + 1) || ': ' || s, chr(10) ORDER BY chunk) END AS summary
-FROM (SELECT doc_id // 5 AS file, doc_id % 5 AS chunk, CASE WHEN doc_id % 4 < 3 THEN 1 ELSE 0 END AS n, CASE WHEN doc_id % 4 < 3 THEN 's' || doc_id ELSE '' END AS s FROM prs) GROUP BY file""", prs=PARSED)
+SELECT file, CAST(sum(n) AS INTEGER) AS n_issues, count(*) > 1 OR max(s) IS NULL AS to_combine, CASE WHEN count(*) = 1 AND max(s) IS NOT NULL THEN max(s) ELSE string_agg('Chunk ' || (chunk + 1) || ': ' || coalesce(s, '(none)'), chr(10) ORDER BY chunk) END AS summary
+FROM (SELECT doc_id // 5 AS file, doc_id % 5 AS chunk, CASE WHEN doc_id % 4 < 3 THEN 1 ELSE 0 END AS n, CASE WHEN doc_id % 4 < 3 THEN 's' || doc_id END AS s FROM prs) GROUP BY file""", prs=PARSED)
 def merge_chunks(spark, sf_dir):
     rows = _analysed(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / 5)).withColumn("chunk", F.col("doc_id") % 5)
-    return triage.merge_chunks(rows).select("file", F.size("issues").alias("n_issues"), "summary")
+    return triage.merge_chunks(rows).select("file", F.size("issues").alias("n_issues"), "to_combine", "summary")
 
 
 @register("staleness", "SELECT d.file, CASE WHEN a.path IS NULL THEN 'none' WHEN a.content_hash = sha1(d.content) THEN 'fresh' ELSE 'stale' END AS state FROM b_docs d LEFT JOIN b_analyses a ON a.path = d.file")
@@ -146,6 +146,39 @@ def verify_prompts(spark, sf_dir):
     return verify.verify_prompts(found, verify.hop_sources(found, bind(spark, sf_dir, "b_symbols"), queries_index.content(spark, sf_dir)))
 
 
+LISTED_HOPS = """
+SELECT sink, chain_seq, source_mark, reason, CAST(i - 1 AS INTEGER) AS place, hops[i].name AS name, hops[i].file AS file, hops[i].line AS line, hops[i].symbol_id AS symbol_id
+FROM (SELECT sink, chain_seq, source_mark, reason, hops, unnest(range(1, len(hops) + 1)) AS i FROM scored)"""
+HOP_TEXTS = """
+SELECT p.file, p.symbol_id, p.line, coalesce(string_agg(n.t, chr(10) ORDER BY n.line), '') AS source
+FROM (SELECT DISTINCT h.file, h.symbol_id, h.line, coalesce(s.start_line, greatest(0, h.line - 4)) AS a, coalesce(s.end_line, h.line + 4) AS b FROM listed_hops h LEFT JOIN b_symbols s ON s.id = h.symbol_id) p
+LEFT JOIN numbered n ON n.file = p.file AND n.line BETWEEN p.a AND p.b GROUP BY p.file, p.symbol_id, p.line"""
+DEEP_HOPS = "SELECT h.*, t.source FROM listed_hops h JOIN hop_texts t ON t.file = h.file AND t.symbol_id IS NOT DISTINCT FROM h.symbol_id AND t.line = h.line"
+DEEP = queries_structure.DEEP | dict(listed_hops=LISTED_HOPS, numbered=queries_index.NUMBERED, hop_texts=HOP_TEXTS, deep_hops=DEEP_HOPS)
+
+
+def _deep(spark, sf_dir):
+    found = cut(queries_structure.deep_chains(spark, sf_dir), "verified-chains")
+    return found, verify.hop_sources(found, bind(spark, sf_dir, "b_symbols"), queries_index.content(spark, sf_dir))
+
+
+@register("hop_sources_3", "SELECT sink, CAST(chain_seq AS INTEGER) AS chain_seq, place, name, file, line, source FROM deep_hops", **DEEP)
+def hop_sources_3(spark, sf_dir):
+    return _deep(spark, sf_dir)[1]
+
+
+@register("verify_prompts_3", """
+SELECT sink, CAST(chain_seq AS INTEGER) AS chain_seq, 'Sink: ' || sink || chr(10) || coalesce('Source: ' || max(source_mark), 'Entry: ' || max(reason)) || chr(10) || 'Chain:' || chr(10) || string_agg((place + 1) || '. ' || name || ' (' || file || ':' || line || ')', chr(10) ORDER BY place)
+  || chr(10) || 'Sources:' || chr(10) || string_agg('### ' || name || ' ' || file || chr(10) || source, chr(10) || chr(10) ORDER BY place) || chr(10) || 'Is the chain reachable? Answer with JSON.' AS prompt
+FROM deep_hops GROUP BY sink, chain_seq""", **DEEP)
+def verify_prompts_3(spark, sf_dir):
+    """Prompts of chains with up to three callers."""
+    return verify.verify_prompts(*_deep(spark, sf_dir))
+
+
+queries_structure.recursive("hop_sources_3", "verify_prompts_3", oracle=ORACLE)
+
+
 SAID = "CASE WHEN line % 3 = 0 THEN 'reachable' WHEN line % 3 = 1 THEN 'unreachable' ELSE 'maybe' END"
 
 

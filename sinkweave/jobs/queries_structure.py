@@ -255,10 +255,10 @@ def deep_chains(spark, sf_dir):
     return _chains(spark, sf_dir, max_depth=3)
 
 
-def recursive(name: str, *names: str) -> None:
+def recursive(*names: str, oracle: dict[str, str] = ORACLE) -> None:
     """Marks oracles that walk as recursive, with what each level reads computed once."""
-    for n in (name, *names):
-        ORACLE[n] = ORACLE[n].replace("WITH ", "WITH RECURSIVE ", 1).replace("\ncallers AS (", "\ncallers AS MATERIALIZED (")
+    for n in names:
+        oracle[n] = oracle[n].replace("WITH ", "WITH RECURSIVE ", 1).replace("\ncallers AS (", "\ncallers AS MATERIALIZED (")
 
 
 @register("expand_chains_3", LABELS, **DEEP)

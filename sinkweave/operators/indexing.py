@@ -65,9 +65,10 @@ def first_inside(spans: DataFrame, points: DataFrame, key: str, value: str, orde
 
 
 def attach_from_symbol(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """IDX-9. Calls with ``from_symbol``, the id of the enclosing symbol, null at top level."""
-    found = enclosing_symbol(calls, symbols, ["file", "call_seq"], ("id",))
-    return calls.drop("from_symbol").join(found.withColumnRenamed("sym_id", "from_symbol"), ["file", "call_seq"], "left")
+    """IDX-9. Calls with ``from_symbol``, the id of the enclosing symbol, null at top level. A call is its
+    own key, so its columns pass through the one shuffle; (file, call_seq) names a call once."""
+    calls = calls.drop("from_symbol")
+    return enclosing_symbol(calls, symbols, calls.columns, ("id",)).withColumnRenamed("sym_id", "from_symbol")
 
 
 def index_incremental(files: DataFrame, snapshot: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
