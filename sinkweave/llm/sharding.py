@@ -4,6 +4,10 @@ Records hash into thousands of virtual slots that never change; only the slot-to
 Bytes are summed per slot (map-side first), the map is a small versioned table, and rebalancing
 edits a few of its rows, so a record moves only if its slot was moved.
 
+Equal rows are counted on the map side and dealt by their ordinals, so copies of one row, or rows
+without id and text, spread over slots like any others. A version of the map has a folder of its own
+and is written once.
+
 Defined results: a null text counts no bytes, a null id hashes like any value, repeated rows stay
 repeated, an empty input gives no rows (the map is still complete), columns beyond ``doc_id`` and
 ``text`` are ignored, whatever their names.
@@ -25,6 +29,8 @@ N_SHARDS = 40
 N_SLOTS = 4096
 #: Bytes that a record costs beside its text.
 OVERHEAD = 16
+#: Equal rows that one task makes of their count.
+COPIES = 4096
 MAP_SCHEMA = T.StructType([
     T.StructField("version", T.IntegerType()),
     T.StructField("vslot", T.IntegerType()),
@@ -41,8 +47,14 @@ def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
         (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    # id and content: copies of one text spread, and so do rows without an id
-    return slim.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+    equal = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    few = equal.filter(F.col("n") <= COPIES).withColumn("low", F.lit(0).cast("long"))
+    # many copies are split before they become rows again
+    many = equal.filter(F.col("n") > COPIES).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("doc_id", "text_crc32", "low")
+    ordinal = F.explode(F.sequence("low", F.least(F.col("low") + COPIES, "n") - 1)).alias("nth")
+    rows = few.unionByName(many).select("doc_id", "size", "text_crc32", ordinal)
+    place = F.when(F.col("nth") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "nth"))
+    return rows.withColumn("vslot", F.pmod(place, F.lit(n_slots)).cast("int")).drop("nth")
 
 
 def slot_loads(recs: DataFrame) -> DataFrame:
@@ -98,14 +110,14 @@ def rebalance(shard_of: list[int], loads: dict[int, int], n_shards: int) -> list
 
 
 def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], rows: dict[int, int]) -> None:
-    """Adds one version of the map to the table at ``path``. ``slot_start`` is the number of records
+    """Adds one version of the map to the table at ``path``; it is an error if it is there. ``slot_start`` is the number of records
     in the shard's earlier slots, so that positions inside a shard need no global ordering."""
     start: dict[int, int] = {}
     out = []
     for vslot, shard in enumerate(shard_of):
-        out.append((version, vslot, shard, start.get(shard, 0)))
+        out.append((vslot, shard, start.get(shard, 0)))
         start[shard] = start.get(shard, 0) + rows.get(vslot, 0)
-    spark.createDataFrame(out, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(out, T.StructType(MAP_SCHEMA.fields[1:])).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:

@@ -46,6 +46,24 @@ def test_odd_and_empty_inputs(spark, name):
     assert OPERATORS[name](spark, docs(spark, [])).count() == 0
 
 
+def test_equal_rows_spread_over_shards(spark):
+    """Half of all rows are one row, a tenth has neither id nor text."""
+    rows = [(7, "same")] * 5000 + [(None, None)] * 1000 + [(100 + k, "x" * (k % 50)) for k in range(4000)]
+    got = sharding.shard_documents(docs(spark, rows), 10, 1024).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(got) == 10_000 and (got.doc_id == 7).sum() == 5000 and got.doc_id.isna().sum() == 1000
+    assert len(size) == 10 and size.max() - size.min() <= 0.01 * size.mean()
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+
+
+def test_a_version_of_the_map_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.write_map(spark, path, 0, [0, 1, 0], {})
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.write_map(spark, path, 0, [1, 1, 1], {})
+    assert sharding.newest_map(spark, path) == (0, [0, 1, 0])
+
+
 def test_shards_are_even_and_gapless(spark):
     rows = [(k, "x" * (k * 37 % 900)) for k in range(3000)] + [(k, "same text") for k in range(3000, 4500)]
     got = sharding.shard_documents(docs(spark, rows), 7, 256).toPandas()
