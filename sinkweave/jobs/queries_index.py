@@ -313,6 +313,22 @@ def stream_index(spark, sf_dir):
     return jobs.latest(spark, f"{folder}/index")
 
 
+VERSIONS = ("text || CASE WHEN doc_id % 3 = 0 THEN ' draft' ELSE '' END", "text", "text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END")
+
+
+@register("stream_versions", "SELECT source || '/' || lang || '/d' || doc_id || '.py' AS file, sha1(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS content_hash, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS ts FROM documents")
+def stream_versions(spark, sf_dir):
+    """All documents three times over, as three batches: drafts, texts, and some changed again."""
+    folder = f"{shared_dir(spark)}/sinkweave/stream-{uuid.uuid4().hex}"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for ts, text in enumerate(VERSIONS, 1):
+        version = documents.selectExpr("source || '/' || lang || '/d' || doc_id || '.py' AS file", f"{text} AS content", f"{ts} AS ts")
+        version.write.mode("append").parquet(f"{folder}/in")
+        read = spark.readStream.schema(version.schema).parquet(f"{folder}/in")
+        jobs.stream_index(read, lambda new, ts=ts: new.select("file", "content_hash", F.lit(ts).alias("ts")), f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return jobs.latest(spark, f"{folder}/index")
+
+
 @register("extract_calls", """
 SELECT file, CAST(line AS INTEGER) AS line, CASE WHEN text LIKE '%exec.Command%' THEN 'Command' ELSE regexp_extract(text, 'fn_[0-9]+') END AS callee FROM b_lines WHERE text LIKE '%exec.Command%' OR text LIKE '%fn_%'""")
 def extract_calls(spark, sf_dir):

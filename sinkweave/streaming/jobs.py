@@ -1,37 +1,28 @@
 """Streaming upkeep of the index and of the marks (STR-1, STR-2).
 
-Tables are versioned folders: a batch reads the newest version below its own number and writes its
-own, so a batch that is run again after a failure gives the same version again."""
+Both keep a keyed table of a base and deltas (``state.py``): what a batch reads and writes follows
+the batch, and a batch that is run again after a failure gives the same delta again."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinkweave.functions.text import content_hash
 from sinkweave.operators import taint
-from sinkweave.operators.indexing import index_incremental
+from sinkweave.streaming import state
 
 
-def _version(spark, path: str, below: int) -> DataFrame | None:
-    for k in range(below - 1, -2, -1):
-        try:
-            return spark.read.parquet(f"{path}/v{k:08d}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-    return None
+def latest(spark, path: str, key: str = "file") -> DataFrame | None:
+    """The table as the batches so far have left it."""
+    return state.state(spark, path, key)
 
 
-def latest(spark, path: str, upto: int = 10_000) -> DataFrame | None:
-    """The newest version of a table."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v"))
-    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+def _buckets(batch: DataFrame, key: str) -> list[int]:
+    """The buckets of a batch's keys, BUCKETS at most."""
+    return sorted(r["b"] for r in batch.select(state.bucket_of(key).alias("b")).distinct().collect())
 
 
 def stream_index(versions: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger):
@@ -39,14 +30,13 @@ def stream_index(versions: DataFrame, extract: Callable[[DataFrame], DataFrame],
     known are skipped, the others are extracted and replace what the index had."""
 
     def upsert(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         newest = batch.groupBy("file").agg(F.max_by("content", F.struct("ts", F.xxhash64("content"))).alias("content")).withColumn("content_hash", content_hash(F.col("content")))
-        before = _version(batch.sparkSession, path, number)
-        if before is None:
-            out = extract(newest)
-        else:
-            changed = index_incremental(newest, before, extract)
-            out = before.join(newest.select("file"), "file", "left_anti").unionByName(changed)
-        out.write.mode("overwrite").parquet(f"{path}/v{number:08d}")
+        before = state.state(spark, path, "file", number, _buckets(batch, "file"), markers=True)
+        if before is not None:
+            newest = newest.join(before.select("file", "content_hash").distinct(), ["file", "content_hash"], "left_anti")
+        state.write_delta(extract(newest), newest.select("file", "content_hash"), path, "file", number)
+        state.fold(spark, path, "file", number)
 
     return versions.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -78,9 +68,13 @@ def stream_decisions(decisions: DataFrame, marks_path: str, checkpoint: str, **t
     """STR-2. A stream of decisions kept folded into the marks; version -1 is the table to start from."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        before = _version(batch.sparkSession, marks_path, number)
+        spark = batch.sparkSession
+        before = state.state(spark, marks_path, "id", number, _buckets(batch, "id"))
         if before is None:
             raise ValueError(f"no marks to start from in {marks_path}/v{-1:08d}")
-        fold_decisions(before, batch).write.mode("overwrite").parquet(f"{marks_path}/v{number:08d}")
+        ids = batch.select("id").filter("id is not null").distinct()
+        # a mark depends on its own decisions only
+        state.write_delta(fold_decisions(before.join(ids, "id", "left_semi"), batch), ids, marks_path, "id", number)
+        state.fold(spark, marks_path, "id", number)
 
     return decisions.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

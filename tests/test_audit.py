@@ -310,7 +310,7 @@ def test_stream_of_decisions(spark, tmp_path):
     run()
     spark.createDataFrame([("sink:a:1", "confirm", "u", 2, 2), ("source:b:4", "manual", "w", 2, 3)], schema).write.mode("append").parquet(src)
     run()
-    assert [(r["id"], r["status"], r["origin"], r["author"]) for r in jobs.latest(spark, path).collect()] == [("source:b:4", "confirmed", "manual", "w")]
+    assert [(r["id"], r["status"], r["origin"], r["author"]) for r in jobs.latest(spark, path, "id").collect()] == [("source:b:4", "confirmed", "manual", "w")]
 
 
 def test_verify_prompts_show_all_hops_in_order(spark):
