@@ -43,14 +43,16 @@ def scan_lines(lines: DataFrame, rules=RULES) -> DataFrame:
     certain text. Hits carry a pattern's number; the table of patterns, one row each, is broadcast."""
     table = [(rule_seq * 100 + k, r[1], r[2], r[3], r[0], f"({java_pattern(p)})", r[4], literal_of(p)) for rule_seq, k, r, p in compile_patterns(rules)]
     spark, text, lang = lines.sparkSession, F.col("text"), F.col("language_id")
-    known = spark.createDataFrame([t[:6] for t in table], "_n int, kind string, category string, cwe string, rule_id string, _pattern string")
+    known = spark.createDataFrame([t[:5] for t in table], "_n int, kind string, category string, cwe string, rule_id string")
+    none = F.lit(None).cast("struct<n:int,hit:string>")
 
     def holds(literal: str) -> Column:
         return F.contains(text, F.lit(literal)) if literal else F.lit(True)
 
     def numbers(own: list[tuple]) -> Column:
-        """The numbers of the patterns that a line has, among nulls."""
-        return F.array(F.lit(None).cast("int"), *[F.when(holds(t[7]) & text.rlike(t[5]), F.lit(t[0])) for t in own])
+        """The numbers of the patterns that a line has, with what they match, among nulls. Each pattern is a
+        literal where it matches, so none is compiled again for a row."""
+        return F.array(none, *[F.when(holds(t[7]) & text.rlike(t[5]), F.struct(F.lit(t[0]).alias("n"), F.regexp_extract(text, t[5], 1).alias("hit"))) for t in own])
 
     # a filter goes below the column of the language, so it must not depend on it
     gate = reduce(lambda x, y: x | y, [holds(x) for x in sorted({t[7] for t in table})], F.lit(False))
@@ -58,10 +60,9 @@ def scan_lines(lines: DataFrame, rules=RULES) -> DataFrame:
     hits = numbers([t for t in table if not t[6]])
     for name in sorted({x for t in table for x in (t[6] or ())}):
         hits = F.when(lang == name, numbers([t for t in table if not t[6] or name in t[6]])).otherwise(hits)
-    found = lines.filter(gate).select("file_seq", "file", "line", "text", F.explode(hits).alias("_n")).filter("_n is not null").join(F.broadcast(known), "_n")
-    return found.select(
-        "file_seq", "file", (F.col("line") + 1).alias("line"), "kind", "category", "cwe", "rule_id",
-        F.substring(_trim(F.expr("regexp_extract(text, _pattern, 1)")), 1, ANCHOR_CHARS).alias("anchor"),
+    found = lines.filter(gate).select("file_seq", "file", "line", F.explode(hits).alias("_h")).filter("_h is not null").select("file_seq", "file", "line", F.col("_h.n").alias("_n"), F.col("_h.hit").alias("_hit"))
+    return found.join(F.broadcast(known), "_n").select(
+        "file_seq", "file", (F.col("line") + 1).alias("line"), "kind", "category", "cwe", "rule_id", F.substring(_trim(F.col("_hit")), 1, ANCHOR_CHARS).alias("anchor"),
         F.struct(F.lit(1).alias("phase"), F.col("line").cast("long").alias("a"), F.col("_n").alias("b")).alias("order"))
 
 
