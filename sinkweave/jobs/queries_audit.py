@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from sinkweave.functions.lineage import cut
+from sinkweave.functions.lineage import cut, shared_dir
 from sinkweave.jobs import queries_index, queries_structure
 from sinkweave.jobs.bindings import bind, with_bindings
 from sinkweave.operators import rules, triage, verify
+from sinkweave.sources import tables
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,6 +76,26 @@ def build_triage_prompts(spark, sf_dir):
     return triage.build_triage_prompts(chunks, rules.detect_language(files)).select("file", "prompt")
 
 
+def stub_model(prompts):
+    """A model for the query: by the prompt's length it answers, answers at the second ask, or fails."""
+    def answer(prompt: str) -> str:
+        if "\nYour reply was:" in prompt:
+            return '{"again":1}'
+        if len(prompt) % 3 == 2:
+            raise ValueError("no answer")
+        return f'{{"n":{len(prompt)}}}' if len(prompt) % 3 == 0 else "not yet"
+
+    return prompts.map(answer)
+
+
+@register("complete", """
+SELECT conv_id, turn, CASE length(content) % 3 WHEN 0 THEN '{"n":' || length(content) || '}' WHEN 1 THEN '{"again":1}' END AS reply, CASE WHEN length(content) % 3 = 2 THEN 'no answer' END AS error FROM b_messages""")
+def complete(spark, sf_dir):
+    """Every message as a prompt, answered through a log that starts empty."""
+    prompts = bind(spark, sf_dir, "b_messages").select("conv_id", "turn", F.col("content").alias("prompt"))
+    return triage.complete_logged(prompts, stub_model, f"{shared_dir(spark)}/sinkweave/answers-{uuid.uuid4().hex}").drop("prompt")
+
+
 PARSED = "SELECT d.doc_id, d.n_chars, d.n_chars % 100 + 1 AS line_count, l.toxic, l.quality FROM documents d JOIN labels l USING (doc_id)"
 
 
@@ -216,6 +240,55 @@ def delete_findings(spark, sf_dir):
     return verify.delete_findings(found, found.filter("verdict = 'unreachable'")).select("id", "title")
 
 
+def _stored(spark, df, kind):
+    """A table through JSON and back, beside a broken line; and what was rejected."""
+    path = f"{shared_dir(spark)}/sinkweave/stored-{uuid.uuid4().hex}"
+    tables.write_stored(df, path, kind)
+    spark.createDataFrame([('{"id":',)], "value string").write.mode("append").text(path)
+    return tables.read_stored(spark, path, kind, lines=True), tables.rejected_records(spark, path, kind, lines=True)
+
+
+def _analyses(spark, sf_dir):
+    return _analysed(spark, sf_dir).filter("json is not null").withColumns({"path": F.col("doc_id").cast("string"), "author": F.lit("me")})
+
+
+def _architecture(spark, sf_dir):
+    whole = lambda df, name, *columns: df.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    modules = queries_structure.modules(spark, sf_dir).select(F.col("module").alias("name"), "file_count", "loc", F.lit(None).cast("string").alias("description"), "sample_files")
+    edges = queries_structure.module_edges(spark, sf_dir).select("from", "to", F.col("weight").cast("long").alias("weight"))
+    return whole(modules, "modules", *modules.columns).crossJoin(whole(edges, "edges", *edges.columns))  # 25 modules at most: one row each
+
+
+@register("stored_marks", "SELECT id, kind, status, origin, file, CAST(line AS INTEGER) AS line, category FROM b_marks")
+def stored_marks(spark, sf_dir):
+    return _stored(spark, bind(spark, sf_dir, "b_marks"), "marks")[0].select("id", "kind", "status", "origin", "file", "line", "category")
+
+
+@register("stored_findings", "SELECT * FROM fnd", fnd=FOUND)
+def stored_findings(spark, sf_dir):
+    return _stored(spark, _findings(spark, sf_dir), "findings")[0].select("id", "title", "sink_mark_id", "verdict", "analysis")
+
+
+@register("stored_analyses", "SELECT CAST(doc_id AS VARCHAR) AS path, 's' || doc_id AS summary, 'f@' || f_line AS functions, 't@' || i_start || '-' || i_end || ' ' || severity AS issues FROM analysed WHERE severity IS NOT NULL", prs=PARSED, analysed=ANALYSED)
+def stored_analyses(spark, sf_dir):
+    read = _stored(spark, _analyses(spark, sf_dir), "analyses")[0]
+    function, issue = F.col("functions")[0], F.col("issues")[0]
+    return read.select("path", "summary", F.concat(function["name"], F.lit("@"), function["line"]).alias("functions"), F.concat(issue["title"], F.lit("@"), issue["start_line"], F.lit("-"), issue["end_line"], F.lit(" "), issue["severity"]).alias("issues"))
+
+
+@register("stored_architecture", 'SELECT "from", "to", CAST(weight AS BIGINT) AS weight FROM module_edges', **queries_structure.BASE)
+def stored_architecture(spark, sf_dir):
+    return _stored(spark, _architecture(spark, sf_dir), "architecture")[0].select(F.inline("edges"))
+
+
+@register("rejected_records", "SELECT kind, '{\"id\":' AS record, 1 AS n FROM (SELECT unnest(['marks', 'findings', 'analyses', 'architecture']) AS kind) WHERE EXISTS (SELECT 1 FROM documents)")
+def rejected_records(spark, sf_dir):
+    """Every kind of table beside a broken line: the line is kept and counted."""
+    made = {"marks": bind(spark, sf_dir, "b_marks"), "findings": _findings(spark, sf_dir), "analyses": _analyses(spark, sf_dir), "architecture": _architecture(spark, sf_dir)}
+    out = [_stored(spark, df, kind)[1].groupBy(F.lit(kind).alias("kind"), "record").agg(F.count(F.lit(1)).cast("int").alias("n")) for kind, df in made.items()]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @register("flatten_conversations", """
 SELECT conv_id, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system,
   coalesce(string_agg(CASE role WHEN 'assistant' THEN '[assistant previous reply]' || chr(10) WHEN 'tool' THEN '[tool result]' || chr(10) ELSE '' END || content, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS prompt

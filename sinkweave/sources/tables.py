@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from sinkweave.functions.lineage import cut
 from sinkweave.operators.rules import LANGUAGES, detect_language
 
 MAX_BYTES = 1 << 20
@@ -81,6 +85,70 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _read(spark, path, schema)
 
 
+#: Fields of stored records, as they are named in JSON.
+STORED = {
+    "marks": "id string, kind string, status string, origin string, file string, symbol string, line int, anchor string, category string, cwe string, ruleId string, note string, author string, time string",
+    "findings": "id string, title string, sourceMarkId string, sinkMarkId string, chain array<struct<file:string,symbol:string,line:bigint,evidence:string>>, verdict string, analysis string, author string, time string",
+    "analyses": (
+        "path string, contentHash string, analyzedAt string, author string, model string, summary string, functions array<struct<name:string,line:bigint,description:string>>, "
+        "issues array<struct<title:string,cwe:string,severity:string,confidence:string,startLine:bigint,endLine:bigint,reason:string,advice:string>>, attention array<struct<startLine:bigint,endLine:bigint,note:string>>"
+    ),
+    "architecture": (
+        "generatedAt string, model string, overview string, modules array<struct<name:string,fileCount:bigint,loc:bigint,description:string,sampleFiles:array<string>>>, "
+        "edges array<struct<from:string,to:string,weight:bigint>>, tree string"
+    ),
+}
+_REJECTED = "rejected_record"
+
+
+def stored_schema(kind: str) -> StructType:
+    return StructType.fromDDL(STORED[kind])
+
+
+def table_schema(kind: str) -> StructType:
+    """The same fields as tables name them: file_count for fileCount."""
+    return StructType.fromDDL(re.sub(r"([a-z])([A-Z])", lambda m: f"{m[1]}_{m[2].lower()}", STORED[kind]))
+
+
+def _stored(spark: SparkSession, path: str, kind: str, lines: bool) -> DataFrame | None:
+    schema = StructType([*stored_schema(kind).fields, StructField(_REJECTED, StringType())])
+    try:
+        read = spark.read.schema(schema).options(multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord=_REJECTED).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    # all fields are parsed once and written: of fewer columns Spark would parse less and reject less
+    return cut(read.select("*", F.col("_metadata.file_path").alias("stored_in")), "stored")
+
+
+def read_stored(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """SRC-4. Marks, findings, analyses or architecture from JSON: a record or an array a file, or with
+    ``lines`` a record a line. A path that isn't there is an empty table; records that are broken or
+    don't fit the fields are left out here and kept by ``rejected_records``."""
+    read = _stored(spark, path, kind, lines)
+    schema = table_schema(kind)
+    if read is None:
+        return spark.createDataFrame([], schema)
+    return read.filter(F.col(_REJECTED).isNull()).select(*[F.col(old.name).cast(new.dataType).alias(new.name) for old, new in zip(stored_schema(kind), schema, strict=True)])
+
+
+def rejected_records(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """What ``read_stored`` leaves out: the file, the record as it stands there, and its first field if that
+    could be read."""
+    read = _stored(spark, path, kind, lines)
+    if read is None:
+        return spark.createDataFrame([], "stored_in string, record string, first_field string")
+    return read.filter(F.col(_REJECTED).isNotNull()).select("stored_in", F.col(_REJECTED).alias("record"), F.col(stored_schema(kind)[0].name).cast("string").alias("first_field"))
+
+
+def write_stored(df: DataFrame, path: str, kind: str) -> None:
+    """SNK-2 as JSON, a record a line, in the fields that ``read_stored`` reads; fields that the table lacks
+    are left out, further columns too."""
+    had = [(old, new) for old, new in zip(stored_schema(kind), table_schema(kind), strict=True) if new.name in df.columns]
+    df.select(*[F.col(new.name).cast(old.dataType).alias(old.name) for old, new in had]).write.json(path)
+
+
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
     """SNK-1. files, symbols, calls and imports as Parquet in a new folder, by language where known."""
     for name, df in tables.items():
