@@ -52,6 +52,41 @@ def split_chunks(spark, sf_dir):
 ORACLE["split_chunks"] = ORACLE["split_chunks"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+# the same chunks, with what each lists and asks
+CHUNKED = """
+SELECT c.file, CAST(row_number() OVER (PARTITION BY c.file ORDER BY c.first) - 1 AS INTEGER) AS chunk, count(*) OVER (PARTITION BY c.file) AS n, c.first + 1 AS start, CAST(coalesce(lead(c.first) OVER (PARTITION BY c.file ORDER BY c.first), m.n) AS INTEGER) AS "end"
+FROM cuts c JOIN (SELECT file, count(*) AS n FROM b_lines GROUP BY file) m ON m.file = c.file"""
+CHUNK_LISTS = """
+SELECT c.*, coalesce((SELECT string_agg('- ' || s.kind || ' ' || s.name || '()  lines ' || (s.start_line + 1) || '-' || (s.end_line + 1), chr(10) ORDER BY s.sym_seq) FROM b_symbols s WHERE s.file = c.file AND s.start_line + 1 BETWEEN c.start AND c."end"), '(no static symbol information)') AS symbols
+FROM chunked c"""
+CHUNKS = dict(cum=CUM, over_lines=OVER, last_start=LAST, cuts=CUTS, chunked=CHUNKED, chunk_lists=CHUNK_LISTS, numbered=queries_index.NUMBERED)
+
+
+def _small_chunks(spark, sf_dir):
+    files = queries_index.content(spark, sf_dir)
+    return triage.symbol_list_text(triage.split_chunks(files, _symbols(spark, sf_dir), CHUNK), _symbols(spark, sf_dir)), files
+
+
+@register("symbol_list_chunks", 'SELECT file, chunk, start, "end", symbols FROM chunk_lists', **CHUNKS)
+def symbol_list_chunks(spark, sf_dir):
+    """Symbols of every chunk of files in many chunks."""
+    return _small_chunks(spark, sf_dir)[0].select("file", "chunk", "start", "end", "symbols")
+
+
+@register("triage_prompts_chunks", f"""
+SELECT c.file, c.chunk, c.start, c."end", 'File: ' || c.file || chr(10) || 'Language: ' || {queries_index.LANG.replace('file,', 'c.file,')} || chr(10) || CASE WHEN c.n > 1 THEN 'Chunk ' || (c.chunk + 1) || ' of ' || c.n || ', lines ' || c.start || '-' || c."end" || chr(10) ELSE '' END
+  || 'Symbols:' || chr(10) || c.symbols || chr(10) || 'Code:' || chr(10) || (SELECT string_agg(t, chr(10) ORDER BY line) FROM numbered n WHERE n.file = c.file AND n.line + 1 BETWEEN c.start AND c."end") AS prompt
+FROM chunk_lists c""", **CHUNKS)
+def triage_prompts_chunks(spark, sf_dir):
+    """Prompts of every chunk, with the note that says which one it is."""
+    chunks, files = _small_chunks(spark, sf_dir)
+    return triage.build_triage_prompts(chunks, rules.detect_language(files))
+
+
+for _name in ("symbol_list_chunks", "triage_prompts_chunks"):
+    ORACLE[_name] = ORACLE[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # every line is about 20 characters, so a limit above the file's size makes one chunk of each file
 WHOLE = "SELECT file, 0 AS chunk, 1 AS first, CAST(count(*) AS INTEGER) AS last FROM b_lines GROUP BY file"
 LISTED = """
