@@ -238,6 +238,28 @@ def verify_prompts_3(spark, sf_dir):
 queries_structure.recursive("hop_sources_3", "verify_prompts_3", oracle=ORACLE)
 
 
+SAID_3 = "CASE chain_seq % 3 WHEN 0 THEN 'reachable' WHEN 1 THEN 'unreachable' ELSE 'maybe' END"
+
+
+@register("list_findings_3", f"""
+SELECT sha1(c.sink || '|' || array_to_string(c.key, ',')) AS id, m.category || ' @ ' || regexp_extract(m.file, '[^/]*$') || ':' || m.line || ' · ' || CASE {SAID_3} WHEN 'maybe' THEN 'undetermined' ELSE {SAID_3} END AS title, c.source_mark AS source_mark_id, c.sink AS sink_mark_id,
+  CASE {SAID_3} WHEN 'maybe' THEN 'undetermined' ELSE {SAID_3} END AS verdict, 'reply ' || c.chain_seq AS analysis, CASE WHEN c.chain_seq % 4 = 0 THEN 2 ELSE CAST(len(c.hops) AS INTEGER) END AS n_hops,
+  CASE WHEN c.chain_seq % 4 = 0 THEN 'm.js:7 s e; :0  ' ELSE array_to_string([h.file || ':' || h.line || ' ' || h.name || ' ' FOR h IN c.hops], '; ') END AS chain
+FROM scored c JOIN b_marks m ON m.id = c.sink""", **DEEP)
+def list_findings_3(spark, sf_dir):
+    """Findings of chains of up to three callers, every fourth with hops of the model's own."""
+    sinks = bind(spark, sf_dir, "b_marks").filter("kind = 'sink' and status <> 'excluded'")
+    found = cut(queries_structure.deep_chains(spark, sf_dir), "judged-chains")
+    own = "array(named_struct('file', 'm.js', 'symbol', 's', 'line', 7, 'evidence', 'e'), named_struct('file', cast(null as string), 'symbol', cast(null as string), 'line', cast(null as int), 'evidence', cast(null as string)))"
+    replies = found.select("sink", "chain_seq", F.concat(F.lit("reply "), "chain_seq").alias("reply"), F.expr(SAID_3).alias("verdict"), F.lit("").alias("analysis"), F.expr(f"CASE WHEN chain_seq % 4 = 0 THEN {own} END").alias("hops"))
+    listed = verify.list_findings(verify.build_findings(found, replies, sinks, "me", "t0"))
+    shown = F.array_join(F.transform("chain", lambda h: F.concat(h["file"], F.lit(":"), h["line"], F.lit(" "), h["symbol"], F.lit(" "), h["evidence"])), "; ")
+    return listed.select("id", "title", "source_mark_id", "sink_mark_id", "verdict", "analysis", "n_hops", shown.alias("chain"))
+
+
+queries_structure.recursive("list_findings_3", oracle=ORACLE)
+
+
 SAID = "CASE WHEN line % 3 = 0 THEN 'reachable' WHEN line % 3 = 1 THEN 'unreachable' ELSE 'maybe' END"
 
 
