@@ -72,7 +72,8 @@ def call_edges(calls: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame
     """ARC-6. (src, dst, weight): calls of names with 1 to 3 definitions in other files, classes aside.
     Hot names are gone before definitions are joined."""
     defs = symbols.filter("kind <> 'class'").groupBy("name", "file").agg(F.count(F.lit(1)).alias("own"))
-    total = defs.groupBy("name").agg(F.sum("own").alias("total"))
+    # a name that has more definitions outside each of its files can qualify nowhere, and goes before calls are joined
+    total = defs.groupBy("name").agg(F.sum("own").alias("total"), F.max("own").alias("most_own")).filter(F.col("total") - F.col("most_own") <= most).drop("most_own")
     made = calls.groupBy(F.col("callee").alias("name"), F.col("file").alias("src")).agg(F.count(F.lit(1)).alias("n"))
     own = defs.select("name", F.col("file").alias("src"), "own")
     few = made.join(total, "name").join(own, ["name", "src"], "left").filter((F.col("total") - F.coalesce("own", F.lit(0))).between(1, most))
