@@ -1,18 +1,22 @@
 """Licence scans with a generalised suffix automaton.
 
 The automaton holds every word sequence of the licence templates. A text is streamed through it
-once: at each word it gives the longest suffix read so far that stands in any template (matching
-statistics). Matches of MIN_MATCH words and more, each with its places in templates, are chained
-per template in increasing order of both; a chain that covers enough of a template labels the text.
+once: at each word it gives, for each template, the longest suffix read so far that stands in it
+(matching statistics; the state's suffix links lead to templates that hold less of it). Matches of
+MIN_MATCH words and more, each with its places, are chained per template in increasing order of both;
+each chain that covers enough of a template is a span, so a text that stands twice has two. Where
+spans of different labels overlap, the one that covers more words stays: BY-NC-ND is not BY-NC.
 Fixed phrases are counted at every place where their words stand in a row.
 
-Defined results: null and wordless texts have no words and no labels; ties between templates go to
-the first; repeated rows get the same result; other columns are ignored.
+Defined results: null and wordless texts have no words and no labels; ties between overlapping spans
+go to the larger share, then to the label that sorts first; repeated rows get the same result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -65,12 +69,24 @@ NOTICES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("bsd", "Licensed under the BSD 2-Clause License."),
+    ("bsd", "Licensed under the BSD 3-Clause License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
-TEMPLATES = (*NOTICES, *TEXTS)
+#: The conditions of Creative Commons licences, short and long.
+CONDITIONS = (
+    ("by", "Attribution"),
+    ("by-sa", "Attribution-ShareAlike"),
+    ("by-nc", "Attribution-NonCommercial"),
+    ("by-nd", "Attribution-NoDerivatives"),
+    ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+    ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+)
+COMMONS = (
+    *((f"cc-{short}", f"Licensed under CC {short} 4.0.") for short, _ in CONDITIONS if short != "by"),
+    *((f"cc-{short}", f"This work is licensed under a Creative Commons {long} 4.0 International License.") for short, long in CONDITIONS),
+)
+TEMPLATES = (*NOTICES, *COMMONS, *TEXTS)
 #: Shorter matches don't enter a chain.
 MIN_MATCH = 3
 #: Words that may lie between two matches of a chain.
@@ -101,6 +117,14 @@ class SuffixAutomaton:
         for s in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
             if self.link[s] > 0:
                 self.places[self.link[s]] += self.places[s]
+        self._nearest: dict[int, dict[int, int]] = {}
+
+    def nearest(self, state: int) -> dict[int, int]:
+        """Per sequence, the first state along the links whose strings stand in it; kept once asked for."""
+        if state not in self._nearest:
+            above = self.nearest(self.link[state]) if self.link[state] > 0 else {}
+            self._nearest[state] = above | {which: state for which, _ in self.places[state]}
+        return self._nearest[state]
 
     def _add(self, length: int, arcs: dict[int, int], link: int) -> int:
         self.next.append(arcs)
@@ -131,16 +155,11 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, symbol, q)
         return new
 
-    def maximal_matches(self, symbols: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-        """(place after the match, length, state) of matches that the next symbol doesn't extend."""
-        state, length = 0, 0
+    def maximal_matches(self, symbols: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(place after the match, length, sequence, state): of each sequence, its longest match that ends
+        at a place, if the next symbol doesn't extend it there."""
+        state, length, before = 0, 0, {}
         for at, symbol in enumerate([*symbols, -1]):
-            arcs = self.next[state]
-            if symbol in arcs:
-                state, length = arcs[symbol], length + 1
-                continue
-            if length >= least:
-                yield at, length, state
             while state > 0 and symbol not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
@@ -148,6 +167,36 @@ class SuffixAutomaton:
                 state, length = self.next[state][symbol], length + 1
             else:
                 state, length = 0, 0
+            now = {}
+            if length >= least:
+                for which, at_state in self.nearest(state).items():
+                    n = length if at_state == state else self.length[at_state]
+                    if n >= least:
+                        now[which] = n, at_state
+            for which, (n, at_state) in before.items():
+                if which not in now or now[which][0] != n + 1:
+                    yield at, n, which, at_state
+            before = now
+
+
+def _apart(chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The largest chains (covered, start, end), but for those that meet a larger one."""
+    kept: list[tuple[int, int, int]] = []  # (start, end, covered), in order: disjoint, so neighbours tell
+    for covered, start, end in sorted(chains, key=lambda c: (-c[0], c[1], c[2])):
+        k = bisect(kept, (start, end, covered))
+        if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or end <= kept[k][0]):
+            kept.insert(k, (start, end, covered))
+    return [(covered, start, end) for start, end, covered in kept]
+
+
+def _largest(spans: list[tuple]) -> list[tuple]:
+    """Of spans (covered, share, label, start, end), those that no larger one of another label overlaps."""
+    kept: list[tuple] = []
+    for c in sorted(spans, key=lambda c: (-c[0], -c[1], c[2:])):
+        meets = (k for k in kept if 2 * (min(c[4], k[4]) - max(c[3], k[3])) > min(c[4] - c[3], k[4] - k[3]))
+        if all(k[2] == c[2] for k in meets):
+            kept.append(c)
+    return kept
 
 
 class Scanner:
@@ -160,29 +209,43 @@ class Scanner:
         self.automaton = SuffixAutomaton([[self.ids[w] for w in ws] for ws in split])
         self.phrases = [([self.ids[w] for w in words_of(p)], label) for p, label in phrases]
 
-    def cover(self, codes: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """Per template, the largest share of it that one chain of matches covers, and the first word of
-        the chain and the one after its last."""
+    def chains(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Per template, (covered words, first word, the one after the last) of its chains of matches: the
+        largest first, and none that meets a larger one."""
         inside = np.r_[False, codes > 0, False]
         starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for lo, hi in zip(starts, ends):
             if hi - lo >= MIN_MATCH:
-                for at, length, state in self.automaton.maximal_matches(codes[lo:hi].tolist(), MIN_MATCH):
-                    for which, end in self.automaton.places[state]:
-                        found[which].append((int(lo) + at - length, end - length, length))
-        best: dict[int, tuple[float, int, int]] = {}
+                for at, length, which, state in self.automaton.maximal_matches(codes[lo:hi].tolist(), MIN_MATCH):
+                    found[which] += [(int(lo) + at - length, end - length, length) for owner, end in self.automaton.places[state] if owner == which]
+        out: dict[int, list[tuple[int, int, int]]] = {}
         for which, matches in found.items():
             # open chains: (end in text, end in template, covered, start); gaps and sizes bound how many stay open
-            most, chains = (0, 0, 0), []
+            out[which], chains, closed = [], [], []
             for text_at, place, length in sorted(matches):
                 chains = [c for c in chains if c[0] + MAX_GAP >= text_at]
-                before, start = max(((c[2], c[3]) for c in chains if c[1] <= place and c[0] <= text_at), key=lambda b: (b[0], -b[1]), default=(0, text_at))
-                chains.append((text_at + length, place + length, before + length, start))
-                if before + length > most[0]:
-                    most = before + length, start, text_at + length
-            best[which] = min(1.0, most[0] / self.sizes[which]), most[1], most[2]
-        return best
+                if not chains:
+                    out[which] += _apart(closed)
+                    closed = []
+                covered, start = max(((c[2], c[3]) for c in chains if c[1] <= place and c[0] <= text_at), key=lambda b: (b[0], -b[1]), default=(0, text_at))
+                chains.append((text_at + length, place + length, covered + length, start))
+                closed.append((covered + length, start, text_at + length))
+            out[which] += _apart(closed)
+        return out
+
+    def spans(self, chains: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, str, float]]:
+        """(first word, the one after the last, label, share) of chains that cover enough; of those that
+        overlap by half of the shorter, the one that covers more, unless they say the same."""
+        all_ = [(covered, min(1.0, covered / self.sizes[k]), self.labels[k], a, b) for k, cs in chains.items() for covered, a, b in cs if covered >= COVER * self.sizes[k]]
+        out, cluster, reach = [], [], 0
+        for c in sorted(all_, key=lambda c: c[3:]):
+            if c[3] >= reach:
+                out += _largest(cluster)
+                cluster = []
+            cluster.append(c)
+            reach = max(reach, c[4])
+        return sorted({(a, b, label, share) for _, share, label, a, b in out + _largest(cluster)})
 
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
@@ -197,11 +260,11 @@ class Scanner:
                     if len(at):
                         places.append(at)
                         base.add(label)
-        cover = self.cover(codes) if codes.any() else {}
-        spans = sorted({(a, b, self.labels[k], c) for k, (c, a, b) in cover.items() if c >= COVER})
+        chains = self.chains(codes) if codes.any() else {}
+        spans = self.spans(chains)
         own = {label for _, _, label, _ in spans}
         n_base = sum(map(len, places))
-        score = max((c for c, _, _ in cover.values()), default=0.0)
+        score = max((min(1.0, covered / self.sizes[k]) for k, cs in chains.items() for covered, _, _ in cs), default=0.0)
         return (
             len(words), n_base,
             int(min(p[0] for p in places)) if n_base else None, int(max(p[-1] for p in places)) if n_base else None,
@@ -214,7 +277,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is the largest covered share of a template, and at least 0.5 where a phrase stands;
-    ``spans`` are the first and last words of the best chain of each template that is covered."""
+    ``spans`` are the first and last words of all chains that cover enough of a template."""
     schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,share:double>>"
     names = [x.split()[0] for x in schema.split(", ")]
 
