@@ -4,16 +4,23 @@ Rules name a host (with all its subdomains) and a path prefix; the longest fitti
 Urls without one are judged by a multinomial naive Bayes model over words: names like
 ``cheappills`` are split by unigram Viterbi, paths at their separators; the last and the first part of
 a host, each with the first of the path, are tokens too. Word counts of the unigram model come from
-the titles and url paths of all pages. The model learns the verdicts of the rules; of urls without a
-rule, those whose host has a seed word (or two weak ones) as blocked, and the others, about which
-nobody has said anything, as allowed.
+the titles and url paths of all pages.
+
+The verdicts of the rules are the only labels; urls without a rule teach nothing. What the rules
+themselves name (their hosts and paths) is no token: a model that saw it would give back the rules and
+condemn all that shares a suffix or a language with them. So it learns the words of the sites that the
+rules block or allow. Seed words are a prior: each adds ``SEED_COUNT`` occurrences (weak ones
+``WEAK_COUNT``) to the blocked side of its own token, so labels that say otherwise outvote it. Classes
+are equally likely at first, as the rules' shares say nothing about other urls; a url is blocked if its
+odds are ``LEAST_ODDS`` or more.
 
 Nothing is cut: each distinct name meets the counts of its own pieces by a join, and each distinct
-url the odds of its tokens; the table of odds is broadcast while it has few rows. A token that the
-labels never showed has the odds of a word seen in neither class.
+url the odds of its tokens; the table of odds is broadcast while it is small. A token that the labels
+never showed says nothing. Pieces are looked up to 63 letters, the longest that a host's label may be;
+letters that no known word covers stay one word, however many they are.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
-judged by the class shares alone; without labels of both classes nothing is blocked but by rules;
+allowed; without labels of both classes the seed words alone block;
 repeated rows get the same verdict; an empty table gives no rows; other columns are ignored,
 whatever their names.
 """
@@ -43,9 +50,15 @@ SEEDS = frozenset("spam adult casino casinos pills bets ads adserver poker porn
 WEAK_SEEDS = frozenset("bet bonus cheap click crack farm free loan loans promo sex track traffic win winner".split())
 #: Words that are known without having been counted.
 KNOWN = SEEDS | WEAK_SEEDS | frozenset("blog book city cloud code daily data food forum game games health home info life live mail mobile music news online photo shop sport sports store tech time today travel video web wiki world".split())
-LONGEST_WORD = 20
-#: Up to so many tokens with odds are broadcast (under 100 bytes each); beyond, Spark shuffles.
-BROADCAST_ROWS = 100_000
+LONGEST_WORD = 63
+#: Occurrences on the blocked side that a seed word stands for, and a weak one.
+SEED_COUNT, WEAK_COUNT = 1000, 30
+#: Occurrences that every token has beside those counted.
+SMOOTH = 4
+#: Odds of blocking from which a url without a rule is blocked.
+LEAST_ODDS = 9
+#: Up to so many bytes of tokens with odds are broadcast; beyond, Spark shuffles.
+BROADCAST_BYTES = 16 << 20
 _PARTS = r"[a-z]+|[0-9]+|[^\x00-\x7f]+"
 #: Names that are words already.
 _WHOLE = ("www", "m", "com", "net", "org", "edu", "gov", "info", "co", "uk", "de", "fr", "es", "io")
@@ -76,14 +89,14 @@ class Segmenter:
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.base = math.log(total)
 
-    def _cost(self, word: str) -> float:
-        # an unknown word costs more with every letter
-        return self.cost[word] if word in self.cost else self.base + 2.3 * len(word)
-
     def split(self, name: str) -> list[str]:
+        """The cheapest split; a run of unknown letters costs more with each, and is one word."""
         best: list[tuple[float, int]] = [(0.0, 0)]
+        unknown = (math.inf, 0)  # cheapest begin of an unknown run, less its letters' cost
         for end in range(1, len(name) + 1):
-            best.append(min((best[start][0] + self._cost(name[start:end]), start) for start in range(max(0, end - LONGEST_WORD), end)))
+            unknown = min(unknown, (best[end - 1][0] - 2.3 * (end - 1), end - 1))
+            known = [(best[start][0] + self.cost[name[start:end]], start) for start in range(max(0, end - LONGEST_WORD), end) if name[start:end] in self.cost]
+            best.append(min(known + [(unknown[0] + self.base + 2.3 * end, unknown[1])]))
         out, end = [], len(name)
         while end:
             out.append(name[best[end][1] : end])
@@ -95,7 +108,7 @@ def unigrams(pages: DataFrame) -> tuple[DataFrame, int]:
     """(w, n), the counts of all words of titles and paths and of the known words, and their sum. Hosts
     don't count: their names are what is to be split."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1)
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, path_of(F.col("url")))), F.lit("[a-z]{2,20}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, path_of(F.col("url")))), F.lit("[a-z]{2,}"), F.lit(0))
     counted = cut(pages.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "url-words")
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     usual = max(1, total // 1000)
@@ -121,7 +134,7 @@ def host_words(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
     parts = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit(_PARTS), F.lit(0))).alias("name"))
     named = parts.filter(F.col("name").rlike("^[a-z]") & ~F.col("name").isin(*_WHOLE))
     split = segments(named.select("name").distinct(), words, total)
-    whole = parts.join(named.select("name").distinct(), "name", "left_anti").select("host", _number("name").alias("word"))
+    whole = parts.filter(~(F.col("name").rlike("^[a-z]") | F.col("name").isin(*_WHOLE))).select("host", _number("name").alias("word"))
     return named.join(split, "name").select("host", F.explode("split").alias("word")).unionByName(whole)
 
 
@@ -135,55 +148,57 @@ def distinct_urls(keyed: DataFrame, rules=RULES) -> DataFrame:
     return keyed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).select("host", "path", "n", rule.alias("rule"), verdict.alias("said"))
 
 
-def url_tokens(urls: DataFrame, words: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(host, path, n, said, token) of every url, and (host) of those with seed words."""
-    own = cut(host_words(urls.select("host").distinct(), words, total), "url-hosts")
-    seeds = own.groupBy("host").agg(
-        F.max(F.col("word").isin(*sorted(SEEDS))).alias("seed"), F.count_distinct(F.when(F.col("word").isin(*sorted(WEAK_SEEDS)), F.col("word"))).alias("weak"))
-    paths = urls.select("host", "path", "n", "said", F.explode(F.regexp_extract_all(F.lower("path"), F.lit(_PARTS), F.lit(0))).alias("part"))
-    paths = paths.select("host", "path", "n", "said", F.concat(F.lit("p:"), _number("part")).alias("token"))
-    ends = [F.regexp_extract("host", p, 0) for p in ("[^.]*$", "^[^.]*")]
-    first = F.regexp_extract(F.lower("path"), _PARTS, 0)
-    pairs = urls.filter("path <> '' and host <> ''").select("host", "path", "n", "said", F.explode(F.array(*[F.concat(F.lit(m), e, F.lit("/"), F.when(first.rlike("^[0-9]"), F.lit("#")).otherwise(first)) for m, e in zip(("l:", "f:"), ends)])).alias("token"))
-    paths = paths.unionByName(pairs)
+def _named(rules) -> tuple[list[str], list[str]]:
+    """What the rules name: words of hosts, parts of paths."""
+    return sorted({w for host, _, _ in rules for w in host.split(".")}), sorted({part for _, path, _ in rules for part in path.strip("/").split("/") if part})
+
+
+def url_tokens(urls: DataFrame, words: DataFrame, total: int, rules=RULES) -> DataFrame:
+    """(host, path, n, said, token) of every url, but for what rules name."""
+    hosts_named, parts_named = _named(rules)
+    own = cut(host_words(urls.select("host").distinct(), words, total), "url-hosts").filter(~F.col("word").isin(*hosts_named))
+    every = F.regexp_extract_all(F.lower("path"), F.lit(_PARTS), F.lit(0))
+    parts = urls.select("host", "path", "n", "said", F.filter(every, lambda p: ~p.isin(*parts_named)).alias("parts")) if parts_named else urls.select("host", "path", "n", "said", every.alias("parts"))
+    paths = parts.select("host", "path", "n", "said", F.explode("parts").alias("part")).select("host", "path", "n", "said", F.concat(F.lit("p:"), _number("part")).alias("token"))
+    first = parts.select("*", F.get("parts", F.lit(0)).alias("first")).filter("first is not null and host <> ''")
+    front = F.regexp_extract("host", "^[^.]*", 0)
+    pairs = first.select("host", "path", "n", "said", F.concat(F.lit("f:"), front, F.lit("/"), F.when(F.col("first").rlike("^[0-9]"), F.lit("#")).otherwise(F.col("first"))).alias("token"))
     hosts = urls.join(own, "host").select("host", "path", "n", "said", F.concat(F.lit("h:"), "word").alias("token"))
-    return hosts.unionByName(paths), seeds.filter("seed or weak > 1").select("host")
+    return hosts.unionByName(paths).unionByName(pairs)
+
 
+def train(tokens: DataFrame, seeds=SEEDS, weak=WEAK_SEEDS) -> DataFrame:
+    """``tokens(host, token, blocked)`` -> (token, odds) of those that labels or the prior have seen.
 
-def train(labelled: DataFrame, tokens: DataFrame) -> tuple[DataFrame, float, float] | None:
-    """``labelled(host, path, n, blocked)``, ``tokens`` of these -> (token, odds), the odds of an unseen
-    token, and of the classes; None without both classes."""
-    sides = labelled.agg(F.sum(F.col("n") * F.col("blocked")).alias("bad"), F.sum(F.col("n") * (1 - F.col("blocked"))).alias("good")).first()
-    if not sides["bad"] or not sides["good"]:
-        return None
-    counted = cut(tokens.groupBy("token").agg(F.sum(F.col("n") * F.col("blocked")).alias("bad"), F.sum(F.col("n") * (1 - F.col("blocked"))).alias("good")), "url-odds")
-    sums = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count(F.lit(1)).alias("words")).first()
-    unseen = math.log((sums["good"] + sums["words"] + 1) / (sums["bad"] + sums["words"] + 1))
-    return counted.select("token", (F.log((F.col("bad") + 1) / (F.col("good") + 1)) + F.lit(unseen)).alias("odds")), unseen, math.log(sides["bad"] / sides["good"])
+    A host counts once for a token and side: its pages don't witness for each other. Each token has
+    ``SMOOTH`` occurrences more, parted as the sides part all tokens, so what is seen rarely says little
+    and the sides' sizes say nothing."""
+    once = tokens.groupBy("token", "host", "blocked").agg(F.count(F.lit(1)).alias("n"))
+    both = cut(once.groupBy("token").agg(F.sum("blocked").cast("long").alias("bad"), F.sum(1 - F.col("blocked")).cast("long").alias("good")), "url-counts")
+    sums = both.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    share = (sums["bad"] + 1) / (sums["bad"] + sums["good"] + 2)
+    prior = [(f"h:{w}", SEED_COUNT, 0) for w in sorted(seeds)] + [(f"h:{w}", WEAK_COUNT, 0) for w in sorted(weak)]
+    if prior:
+        both = both.unionByName(tokens.sparkSession.createDataFrame(prior, "token string, bad long, good long"))
+    odds = F.log((F.col("bad") + F.lit(SMOOTH * share)) / (F.col("good") + F.lit(SMOOTH * (1 - share))) * F.lit((1 - share) / share))
+    return cut(both.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).select("token", odds.alias("odds")), "url-odds")
 
 
-def scored(urls: DataFrame, words: DataFrame, total: int, fold: Column | None = None) -> DataFrame:
+def scored(urls: DataFrame, words: DataFrame, total: int, fold: Column | None = None, seeds=SEEDS, weak=WEAK_SEEDS, rules=RULES) -> DataFrame:
     """host, path, rule, said, score of distinct urls; those that ``fold`` names teach nothing."""
     urls = cut(urls, "url-distinct")
-    tokens, seeded = url_tokens(urls, words, total)
-    blocked = F.when(F.col("said").isNotNull(), (F.col("said") == "block").cast("int")).otherwise(F.coalesce(F.col("_seed"), F.lit(False)).cast("int"))
-    if fold is not None:
-        blocked = F.when(~fold, blocked)
-    seeded = seeded.withColumn("_seed", F.lit(True))
-    tokens = cut(tokens.join(seeded, "host", "left").withColumn("blocked", blocked).drop("_seed"), "url-tokens")
-    labelled = urls.join(seeded, "host", "left").withColumn("blocked", blocked).filter("blocked is not null")
-    model = train(labelled, tokens.filter("blocked is not null"))
-    if model is None:
-        return urls.select("host", "path", "rule", "said", F.lit(0.0).alias("score"))
-    odds, unseen, prior = model
-    small = odds.count() <= BROADCAST_ROWS
-    sums = tokens.join(F.broadcast(odds) if small else odds, "token", "left").groupBy("host", "path").agg(F.sum(F.coalesce("odds", F.lit(unseen))).alias("odds"))
-    return urls.join(sums, ["host", "path"], "left").select("host", "path", "rule", "said", (F.lit(prior) + F.coalesce("odds", F.lit(0.0))).alias("score"))
+    blocked = (F.col("said") == "block").cast("int")
+    blocked = blocked if fold is None else F.when(~fold, blocked)
+    tokens = cut(url_tokens(urls, words, total, rules).withColumn("blocked", blocked), "url-tokens")
+    odds = train(tokens.filter("blocked is not null"), seeds, weak)
+    size = odds.agg(F.sum(F.octet_length("token") + 64).alias("n")).first()["n"] or 0
+    sums = tokens.join(F.broadcast(odds) if size <= BROADCAST_BYTES else odds, "token").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    return urls.join(sums, ["host", "path"], "left").select("host", "path", "rule", "said", F.coalesce("odds", F.lit(0.0)).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict; and score, the log odds of blocking."""
     keyed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = scored(distinct_urls(keyed, rules), *unigrams(pages))
+    known = scored(distinct_urls(keyed, rules), *unigrams(pages), rules=rules)
     return keyed.join(known, ["host", "path"]).select(
-        "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
+        "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= math.log(LEAST_ODDS), "block").otherwise("allow")).alias("verdict"), "score")
