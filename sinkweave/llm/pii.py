@@ -4,14 +4,18 @@ Detection and replacement are Spark expressions. Emails, phone numbers, card num
 IBANs, social security numbers and secrets are rewritten by a keyed permutation of their letters,
 digits or address halves (each moves by a keyed hash of the others, both ways): it is one-to-one on
 all strings of one shape, so an entity has the same surrogate wherever it stands and different ones
-stay different. Country codes, top-level domains, key prefixes and the check digit of card numbers
+stay different. What is longer than HEAD characters moves as head and tail, each by a hash of the other
+in turn, so the work grows with the length. Country codes, top-level domains, key prefixes and the check digit of card numbers
 stay valid; a mail domain is rewritten by itself, so addresses of one domain keep one. Digit runs
 are card numbers only if their first digit is an issuer's and their check digit is right.
 
-Names are found after a title. Given and family names are entities of their own, so ``Mr Smith`` and
-``Mr John Smith`` keep one family name; a given name gets one of the title's gender, both in the
-name's script. Where a document has a titled name, its given and family names are also replaced
-where they stand without a title. Distinct entities of the whole corpus are checked: those whose
+Names are found after a title, as two or more capitalised words after a greeting, and as a known given
+name with capitalised words after it; they run as long as capitalised words, initials and particles
+(``van der``) follow each other. The last word is the family name, the others are given names; each is
+an entity of its own, so ``Mr Smith`` and ``Mr John Paul Smith`` keep one family name. A given name gets
+one of the gender that the title or the first given name tells, both in the name's script; initials
+move in their alphabet, titles and particles stay. Where a document has such a name, its given and
+family names are also replaced where they stand alone. Distinct entities of the whole corpus are checked: those whose
 surrogate is their own text, and all but one of those that share a surrogate, are drawn again.
 
 Defined results: null texts stay null and texts without entities stay as they are; a key must not be
@@ -22,6 +26,7 @@ which are the operator's own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +37,9 @@ from sinkweave.llm.common import cut, fresh
 KEY_CONF = "spark.sinkweave.pii.key"
 #: Up to so many distinct entities are broadcast (their rows are under 1 KB); beyond, Spark shuffles.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 16 << 20
+#: Longer entities move as a head of so many characters and a tail.
+HEAD = 32
 #: Distinct entities whose surrogates one task draws.
 PER_TASK = 5_000
 
@@ -39,20 +47,34 @@ _MALE = r"Mr|Herr|Señor|Sr|Monsieur|господин|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Srta|Madame|Mme|Mlle|госпожа|г-жа"
 _NEUTRAL = r"Dr|Prof"
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞЀ-Я][\p{L}'’-]*+"
+#: Small words inside names, words before a name, and words after these that are none.
+_PARTICLE = "van|von|vom|zu|zur|der|den|de|del|della|di|da|do|dos|du|la|le|al|bin|ibn|ter"
+_GREETING = "Dear|Hello|Hi|Liebe|Lieber|Hallo|Estimado|Estimada|Querido|Querida|Cher|Chère|Bonjour|Уважаемый|Уважаемая|Дорогой|Дорогая"
+_NOBODY = "Sir|Sirs|Madam|All|Everyone|Everybody|Team|Friend|Friends|Colleague|Colleagues|Customer|Customers|Client|Hiring|Editor|Editors|Members|Reader|Readers|World|Kitty|God|Lord|Santa|Mom|Mum|Dad|Kollegen|Kolleginnen|Kunde|Damen|Herren"
+#: Common given names, by which names without a title are known.
+COMMON = {
+    "male": "John James Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Peter Hans Klaus Jürgen Stefan Wolfgang Johann Pierre Jacques Michel Philippe José Juan Miguel Pedro Luis Javier Дмитрий Алексей Михаил Владимир".split(),
+    "female": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Anna Anne Emma Claudia Sabine Monika Petra Ursula Marie Camille Isabelle Sophie Nathalie Carmen Isabel Lucía Pilar Анна Мария Наталья Екатерина Татьяна".split(),
+}
+_GIVEN_WORDS = "|".join(COMMON["male"] + COMMON["female"])
+_WORD = rf"(?:[A-ZА-Я]\.(?= )|{_CAPITAL})"
+_NEXT = rf"(?:(?: (?:{_PARTICLE}))*+ {_WORD})"
 #: kind -> pattern, in the order in which they are tried at one place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*(?<=\.[A-Za-z]{2,24})",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<![\p{{L}}0-9])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_CAPITAL}(?: {_CAPITAL})?",
+    "name": rf"(?<![\p{{L}}0-9])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_WORD}{_NEXT}*+",
+    "greeted": rf"(?<=(?<![\p{{L}}0-9])(?:{_GREETING}) )(?!(?:{_NOBODY})(?![\p{{L}}])){_WORD}{_NEXT}++",
+    "known": rf"(?<![\p{{L}}0-9'’-])(?:{_GIVEN_WORDS}){_NEXT}++",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has: a quick test before the patterns are tried at each place.
-GATE = rf"[@0-9]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|{_MALE}|{_FEMALE}|{_NEUTRAL}"
+GATE = rf"[@0-9]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|{_MALE}|{_FEMALE}|{_NEUTRAL}|{_GREETING}|{_GIVEN_WORDS}"
 
 GIVEN = {
     ("male", "latin"): "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nils Oskar Paul Robert Simon Tomas Victor".split(),
@@ -82,6 +104,8 @@ def entities(text: Column, pattern: Column | None = None) -> Column:
 def kind_of(entity: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
+        if kind in ("greeted", "known"):
+            continue  # names too, which no other pattern fits
         whole = entity.rlike(rf"^(?:{pattern})$")
         out = F.when(whole, F.lit(kind)) if out is None else out.when(whole, F.lit(kind))
     return out.otherwise(F.lit("name"))
@@ -120,6 +144,38 @@ def _pass(text: Column, key: str, kind: Column, sets, forward: bool) -> Column:
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), moved), "")).otherwise(F.lit(""))
 
 
+def _stream(text: Column, key: str, kind: Column, said: Column, sets) -> Column:
+    """Moves each character within its set by its place and ``said``."""
+
+    def moved(c: Column, i: Column) -> Column:
+        by = _draw(key, kind, F.lit("tail"), said, i.cast("string"))
+        out = None
+        for letters in sets:
+            at = F.instr(F.lit(letters), c)
+            new = F.substring(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))).cast("int") + 1, F.lit(1))
+            out = F.when(at > 0, new) if out is None else out.when(at > 0, new)
+        return out.otherwise(c)
+
+    return F.when(F.length(text) > 0, F.array_join(F.transform(F.split(text, ""), moved), "")).otherwise(F.lit(""))
+
+
+def _by_sets(move) -> Column:
+    """``move(sets)`` by the column ``_sets``, which says what characters may change."""
+    return F.when(F.col("_sets") == "hex", move(_HEX)).when(F.col("_sets") == "HEX", move(_UPPER_HEX)).otherwise(move(_SETS))
+
+
+def _permuted(rows: DataFrame, name: str, key: str, said: Column) -> DataFrame:
+    """The column ``name`` moved: its tail by its head, its head both ways by the tail, its tail again."""
+    head, tail = f"{name}_head", f"{name}_tail"
+    rows = rows.withColumn(head, F.substring(name, 1, HEAD)).withColumn(tail, F.substring(F.col(name), F.lit(HEAD + 1), F.length(name)))
+    rows = rows.withColumn(tail, _by_sets(lambda sets: _stream(F.col(tail), key, said, F.concat(F.lit("1"), head), sets)))
+    rows = rows.withColumn("_seen", F.when(F.length(tail) > 0, F.concat(said, F.sha2(tail, 256))).otherwise(said))
+    for forward in (True, False):
+        rows = rows.withColumn(head, _by_sets(lambda sets, forward=forward: _pass(F.col(head), key, F.col("_seen"), sets, forward)))
+    rows = rows.withColumn(tail, _by_sets(lambda sets: _stream(F.col(tail), key, said, F.concat(F.lit("2"), head), sets)))
+    return rows.withColumn(name, F.concat(head, tail)).drop(head, tail, "_seen")
+
+
 def _luhn(text: Column, shift: int) -> Column:
     """Sum of the Luhn values of a text's digits; shift 1: its last digit is the one before the check digit."""
     digits = F.reverse(F.regexp_replace(text, "[^0-9]", ""))
@@ -151,7 +207,8 @@ def _title_gender(title: Column, given: Column, key: str) -> Column:
     """Of a title; one that has none follows its given name."""
     bare = F.regexp_replace(title, r"\.$", "")
     drawn = F.when(F.pmod(_draw(key, F.lit("gender"), F.coalesce(given, F.lit(""))), F.lit(2)) == 0, "male").otherwise("female")
-    return F.when(bare.rlike(f"^(?:{_FEMALE})$"), "female").when(bare.rlike(f"^(?:{_MALE})$"), "male").otherwise(drawn)
+    told = F.when(given.isin(*COMMON["female"]), "female").when(given.isin(*COMMON["male"]), "male").otherwise(drawn)
+    return F.when(bare.rlike(f"^(?:{_FEMALE})$"), "female").when(bare.rlike(f"^(?:{_MALE})$"), "male").otherwise(told)
 
 
 def _name(text: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -173,6 +230,13 @@ def _name(text: Column, kind: Column, attempt: Column, key: str) -> Column:
     return F.when(kind == "family", family).otherwise(given)
 
 
+def _initial(text: Column, key: str) -> Column:
+    """Another letter of its alphabet, the same number of places on for all."""
+    alphabets = [_SETS[2], "".join(map(chr, range(ord("А"), ord("Я") + 1)))]
+    step = 1 + int(hashlib.sha256(f"{key}|initial".encode()).hexdigest(), 16) % 25
+    return F.translate(text, "".join(alphabets), "".join(a[step:] + a[:step] for a in alphabets))
+
+
 def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
     """Adds ``s``, the replacement, to rows of ``kind``, ``entity`` and ``attempt`` (how often it was
     drawn again). Every step is a column of its own, so no expression is nested deeply."""
@@ -193,22 +257,18 @@ def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
     )
     rows = rows.withColumn("_one", one).withColumn("_two", F.when(kind == "email", F.regexp_extract(e, email, 2)).otherwise(none))
     for name, said in (("_one", tag), ("_two", F.lit("domain"))):
-        for forward in (True, False):
-            passed = None
-            for which, sets in (("hex", _HEX), ("HEX", _UPPER_HEX), ("all", _SETS)):
-                moved = _pass(F.col(name + ("" if forward else "1")), key, said, sets, forward)
-                passed = F.when(F.col("_sets") == which, moved) if passed is None else passed.when(F.col("_sets") == which, moved)
-            rows = rows.withColumn(name + ("1" if forward else "2"), passed)
-    check = F.pmod(-_luhn(F.concat("_front", "_one2"), 1), F.lit(10)).cast("string")
+        rows = _permuted(rows, name, key, said)
+    check = F.pmod(-_luhn(F.concat("_front", "_one"), 1), F.lit(10)).cast("string")
     rows = rows.withColumn(
         "s",
-        F.when(kind == "email", F.concat("_one2", F.lit("@"), "_two2", F.regexp_extract(e, email, 3)))
+        F.when(kind == "email", F.concat("_one", F.lit("@"), "_two", F.regexp_extract(e, email, 3)))
         .when(kind == "ip", _ip(e, tag, key))
-        .when(kind == "card", F.concat("_front", "_one2", check))
+        .when(kind == "card", F.concat("_front", "_one", check))
         .when(kind.isin("family", "given male", "given female"), _name(e, kind, attempt, key))
-        .otherwise(F.concat("_front", "_one2")),
+        .when(kind == "initial", _initial(e, key))
+        .otherwise(F.concat("_front", "_one")),
     )
-    return rows.drop("_sets", "_front", "_one", "_one1", "_one2", "_two", "_two1", "_two2")
+    return rows.drop("_sets", "_front", "_one", "_two")
 
 
 def surrogates(found: DataFrame, key: str, most: int = 200) -> DataFrame:
@@ -229,7 +289,9 @@ def surrogates(found: DataFrame, key: str, most: int = 200) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast while rows and bytes are few."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("entity") + F.octet_length("s")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else df
 
 
 def _card(entity: Column) -> Column:
@@ -238,15 +300,22 @@ def _card(entity: Column) -> Column:
 
 def _parts(found: DataFrame, key: str) -> DataFrame:
     """Rows of ``entity``, ``kind`` as rows of parts: ``part``, ``kind``, ``entity``, ``as`` (the kind that
-    is reported). A name has a title, which stays (no kind), and names; what is no card stays too."""
+    is reported). Of a name, the title and particles stay (no kind); what is no card stays too."""
     words = F.split(F.col("entity"), " ")
-    title = F.regexp_extract("entity", r"^(\S+?\.?) ", 1)
-    given = F.when(F.size(words) > 2, F.get(words, 1))
+    is_titled = F.get(words, F.lit(0)).rlike(rf"^(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?$")
+    title = F.when(is_titled, F.get(words, F.lit(0))).otherwise("")
+    at = F.when(is_titled, 1).otherwise(0)
+    given = F.when(F.size(words) - at > 1, F.get(words, at))
+    gender = F.concat(F.lit("given "), _title_gender(title, given, key))
     none = F.lit(None).cast("string")
+
+    def row_at(i: Column, word: Column) -> Column:
+        kind = F.when((i < at) | word.rlike(rf"^(?:{_PARTICLE})$"), none).when(i == F.size(words) - 1, "family").when(word.rlike(r"^.\.$"), "initial").otherwise(gender)
+        return F.struct(i.alias("part"), kind.alias("kind"), word.alias("entity"), F.lit("name").alias("as"))
+
     row = lambda n, kind, entity, told: F.struct(F.lit(n).alias("part"), kind.alias("kind"), entity.alias("entity"), told.alias("as"))
-    told = F.when(F.col("kind").isin("family", "given male", "given female"), "name").otherwise(F.col("kind"))
-    name = F.filter(F.array(
-        row(0, none, title, F.lit("name")), row(1, F.concat(F.lit("given "), _title_gender(title, given, key)), given, F.lit("name")), row(2, F.lit("family"), F.element_at(words, -1), F.lit("name"))), lambda x: x["entity"].isNotNull())
+    told = F.when(F.col("kind").isin("family", "given male", "given female", "initial"), "name").otherwise(F.col("kind"))
+    name = F.transform(words, lambda w, i: row_at(i, w))
     plain = F.when((F.col("kind") == "card") & ~_card(F.col("entity")), F.array(row(0, none, F.col("entity"), none))).otherwise(F.array(row(0, F.col("kind"), F.col("entity"), told)))
     return found.withColumn("_x", F.explode(F.when(F.col("kind") == "name", name).otherwise(plain))).drop("entity", "kind").select("*", "_x.*").drop("_x")
 

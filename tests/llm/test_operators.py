@@ -463,7 +463,7 @@ def test_card_numbers_keep_their_check_digit(spark):
 def test_names_keep_their_persons(spark):
     """One family name for a person however it stands, of the same script; distinct ones for distinct persons."""
     families = [f"{a}{b}" for a in ("Smi", "Jon", "Bro", "Tay", "Wil", "Dav") for b in ("th", "es", "wn", "lor", "son", "ies")]
-    rows = [(k, f"Mr John {f} met Mrs. Anna {f}. Later Mr {f} wrote, and John left; {f}s Johnny stay") for k, f in enumerate(families)] + [(900, "госпожа Анна Петрова и господин Петров"), (901, "John Smith alone")]
+    rows = [(k, f"Mr John {f} met Mrs. Anna {f}. Later Mr {f} wrote, and John left; {f}s Johnny stay") for k, f in enumerate(families)] + [(900, "госпожа Анна Петрова и господин Петров"), (901, "Adam Smithers alone")]
     out = {r["doc_id"]: r for r in pii.replace(docs(spark, rows), "k").collect()}
     seen = set()
     for k, f in enumerate(families):
@@ -473,7 +473,34 @@ def test_names_keep_their_persons(spark):
         seen.add(m[2])
     assert len(seen) == len(families)
     assert re.fullmatch(r"госпожа [А-Я][а-я]+ [А-Я][а-я]+ и господин [А-Я][а-я]+", out[900]["text"]) and "Петров" not in out[900]["text"]
-    assert out[901]["text"] == "John Smith alone"
+    assert out[901]["text"] == "Adam Smithers alone"
+
+
+def test_long_and_untitled_names_are_replaced(spark):
+    """Every word of a name goes, titles, particles and what greets nobody stay."""
+    rows = ["Mr John Paul Smith came", "Dear Hanna Marie Quandt, hello", "so Anna Müller said", "Prof. Ludwig van der Rohe taught", "Ms J. K. Rowlands wrote", "Mr " + "Aa " * 3000 + "Zz end", "Dear Hiring Manager, Dear Sir", "господин Иван Иванович Петров пишет", "Annamaria Smith"]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, list(enumerate(rows))), "k").collect()}
+    for k, shape in enumerate([r"Mr (\w+) (\w+) (\w+) came", r"Dear (\w+) (\w+) (\w+), hello", r"so (\w+) (\w+) said", r"Prof\. (\w+) van der (\w+) taught", r"Ms (\w\.) (\w\.) (\w+) wrote", r"Mr (\w+)(?: \w+){2999} (\w+) end"]):
+        m = re.fullmatch(shape, out[k])
+        assert m and not set(m.groups()) & set(rows[k].split()), out[k]
+    assert out[6] == rows[6] and out[8] == rows[8]
+    assert not {"Иван", "Иванович", "Петров"} & set(out[7].split()) and out[7].startswith("господин ")
+    john = re.fullmatch(r"Mr (\w+) (\w+) (\w+) came", out[0])
+    assert john[1].startswith(tuple(pii.GIVEN["male", "latin"])) and re.match(r"so (\w+)", out[2])[1].startswith(tuple(pii.GIVEN["female", "latin"]))
+
+
+def test_long_secrets_and_mails(spark):
+    """No length is too long, long texts of one head differ all over, and the work grows with the length."""
+    hexes = "0123456789abcdef" * 1000
+    rows = [hexes, hexes[:-1] + "0", "sk-" + "aB3_-" * 40, "f" * 129, "x" * 200_000 + "@example.com", "a" * 32 + "@b.example.com", "a" * 33 + "@b.example.com"]
+    out = {r["doc_id"]: r for r in pii.replace(docs(spark, list(enumerate(rows))), "k").collect()}
+    for k, t in enumerate(rows):
+        new = out[k]["text"]
+        assert len(new) == len(t) and out[k]["pii_entities"] == 1
+        moved = sum(a != b for a, b in zip(t, new)) / len(t)
+        assert moved > 0.5, (t[:20], moved)
+    assert out[2]["text"].startswith("sk-") and re.fullmatch("[0-9a-f]+", out[0]["text"]) and out[4]["text"].endswith(".com")
+    assert sum(a != b for a, b in zip(out[0]["text"], out[1]["text"])) > 0.8 * len(hexes)
 
 
 def test_short_entities_change_and_own_columns_are_replaced(spark):
