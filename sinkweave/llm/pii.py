@@ -58,6 +58,9 @@ COMMON = {
 }
 _GIVEN_WORDS = "|".join(COMMON["male"] + COMMON["female"])
 _WORD = rf"(?:[A-ZА-Я]\.(?= )|{_CAPITAL})"
+#: What a name, or a title, begins with: looked at first, as most places are inside words.
+_BEGINS = "(?=[A-ZÀ-ÖØ-ÞЀ-Я])"
+_TITLED = "(?=[A-Zг])"
 _NEXT = rf"(?:(?: (?:{_PARTICLE}))*+ {_WORD})"
 #: kind -> pattern, in the order in which they are tried at one place
 PATTERNS = {
@@ -68,13 +71,13 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<![\p{{L}}0-9])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_WORD}{_NEXT}*+",
-    "greeted": rf"(?<=(?<![\p{{L}}0-9])(?:{_GREETING}) )(?!(?:{_NOBODY})(?![\p{{L}}])){_WORD}{_NEXT}++",
-    "known": rf"(?<![\p{{L}}0-9'’-])(?:{_GIVEN_WORDS}){_NEXT}++",
+    "name": rf"{_TITLED}(?<![\p{{L}}0-9])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_WORD}{_NEXT}*+",
+    "greeted": rf"{_BEGINS}(?<= )(?<=(?<![\p{{L}}0-9])(?:{_GREETING}) )(?!(?:{_NOBODY})(?![\p{{L}}])){_WORD}{_NEXT}++",
+    "known": rf"{_BEGINS}(?<![\p{{L}}0-9'’-])(?:{_GIVEN_WORDS}){_NEXT}++",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has: a quick test before the patterns are tried at each place.
-GATE = rf"[@0-9]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|{_MALE}|{_FEMALE}|{_NEUTRAL}|{_GREETING}|{_GIVEN_WORDS}"
+GATE = rf"[@0-9]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|{_TITLED}(?:{_MALE}|{_FEMALE}|{_NEUTRAL})|{_BEGINS}(?:{_GREETING}|{_GIVEN_WORDS})"
 
 GIVEN = {
     ("male", "latin"): "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nils Oskar Paul Robert Simon Tomas Victor".split(),
