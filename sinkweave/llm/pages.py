@@ -1,15 +1,19 @@
 """HTML main text by wrapper induction.
 
-Pages become DOM trees in which siblings of one label (tag and class words) are one slot. Slots are
+Pages become DOM trees in which siblings of one label (tag and class words) are one slot; containers
+without names are told apart by what stands in them, so a menu, an advert and an article that are all
+plain ``div`` are three slots. Slots are
 aligned over all pages of a host, label by label from the root, and counted in Spark: on how many
 pages, with how much text, and how often the most frequent text. That gives a host's template: nodes
 with the same text on most pages are constant, slots that vary are content. Each page is then aligned
-with the template by simple tree matching. Its content is the slot with most of the host's varying
+with the template by simple tree matching, in which containers meet others of their tag by what their
+children match. Its content is the slot with most of the host's varying
 text, with varying headings beside the way to it; constant nodes are taken out, and so is what markup
 says is no article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 
 Exact copies of one page tell nothing about a template and are counted out. A host with fewer than
-LEAST_PAGES other pages is read by its markup alone. Counts don't depend on the order or partition of
+LEAST_PAGES other pages is read by its markup, or, where that names no article, by the template of all
+hosts of its site (the last two names of the host). Counts don't depend on the order or partition of
 pages. Slots on fewer than one of RARE pages are left out of a template, which so holds a bounded
 number of nodes; templates are broadcast while they are under BROADCAST_BYTES in all, and beyond,
 pages are joined by host, where Spark splits skewed hosts.
@@ -257,13 +261,37 @@ def slots_of(root: Node) -> Slot:
             elif kid.tag in _INLINE:
                 inner.extend(reversed(kid.kids))
             elif kid.tag not in _SILENT:
-                under = slot.kids.setdefault(kid.label, Slot(kid.label))
+                label = _shaped(kid)
+                under = slot.kids.setdefault(label, Slot(label))
                 under.nodes.append(kid)
                 stack.append((kid, under))
         slot.text.append(" ".join("".join(own).split()))
     return top
 
 
+#: Tags of containers that say nothing of what they hold.
+_PLAIN = frozenset("div section td".split())
+
+
+def base(label: str) -> str:
+    return label.partition("[")[0]
+
+
+def _shaped(node: Node) -> str:
+    """The label; of a plain container without names also the tags of the blocks in it, lists once."""
+    if node.label not in _PLAIN:
+        return node.label
+    tags, inner = set(), list(node.kids)
+    while inner:
+        kid = inner.pop()
+        if isinstance(kid, Node):
+            if kid.tag in _INLINE:
+                inner.extend(kid.kids)
+            elif kid.tag not in _SILENT and kid.tag not in _VOID:
+                tags.add(kid.tag)
+    return f"{node.label}[{'+'.join(sorted(tags))}]"
+
+
 def hash_of(slot: Slot) -> int:
     """Of a slot's text, whatever the order in which its nodes were reached."""
     return xxhash.xxh64_intdigest("\0".join(sorted(t for t in slot.text if t))) - (1 << 63)
@@ -308,7 +336,7 @@ def template_of(rows: list[dict]) -> Slot | None:
 
 
 def _drops(label: str) -> bool:
-    tag, *named = label.split(".")
+    tag, *named = base(label).split(".")
     return tag in _DROPPED or _MARK in named
 
 
@@ -322,7 +350,7 @@ def content_path(template: Slot) -> list[Slot]:
     path = [template]
     while path[-1].kids:
         best = max(path[-1].kids.values(), key=mass_of)
-        if _drops(best.label) or mass_of(best) < MOST * mass_of(path[-1]) or best.label.split(".")[0] in ("p", "li", *_HEADINGS):
+        if _drops(best.label) or mass_of(best) < MOST * mass_of(path[-1]) or base(best.label).split(".")[0] in ("p", "li", *_HEADINGS):
             break
         path.append(best)
     return path
@@ -330,7 +358,7 @@ def content_path(template: Slot) -> list[Slot]:
 
 def match(a: Slot, b: Slot) -> int:
     """Simple tree matching: the most slots that can be paired, keeping order and parents."""
-    if a.label != b.label:
+    if base(a.label) != base(b.label):
         return 0
     return 1 + (_align(list(a.kids.values()), list(b.kids.values()))[-1][-1] if a.kids and b.kids else 0)
 
@@ -340,7 +368,7 @@ def _align(xs: list[Slot], ys: list[Slot]) -> list[list[int]]:
     for x in xs:
         above, row = table[-1], [0]
         for k, y in enumerate(ys):
-            row.append(max(above[k + 1], row[k], above[k] + match(x, y) if x.label == y.label else 0))
+            row.append(max(above[k + 1], row[k], above[k] + match(x, y) if base(x.label) == base(y.label) else 0))
         table.append(row)
     return table
 
@@ -349,12 +377,13 @@ def pairs(a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
     """The children of two slots that the matching pairs, in order."""
     xs, ys = list(a.kids.values()), list(b.kids.values())
     common = [y for y in ys if y.label in a.kids]
-    if [x.label for x in xs if x.label in b.kids] == [y.label for y in common]:
+    left, unmet = {base(x.label) for x in xs if x.label not in b.kids}, {base(y.label) for y in ys if y.label not in a.kids}
+    if left.isdisjoint(unmet) and [x.label for x in xs if x.label in b.kids] == [y.label for y in common]:
         return [(a.kids[y.label], y) for y in common]  # labels are unique: in one order, all are paired
     table, out = _align(xs, ys), []
     i, j = len(xs), len(ys)
     while i and j:
-        if xs[i - 1].label == ys[j - 1].label and table[i][j] == table[i - 1][j - 1] + match(xs[i - 1], ys[j - 1]):
+        if base(xs[i - 1].label) == base(ys[j - 1].label) and table[i][j] == table[i - 1][j - 1] + match(xs[i - 1], ys[j - 1]):
             i, j = i - 1, j - 1
             out.append((xs[i], ys[j]))
         elif table[i - 1][j] >= table[i][j - 1]:
@@ -364,10 +393,11 @@ def pairs(a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
     return out[::-1]
 
 
-def extract(html: str | None, template: Slot | None) -> str:
+def extract(html: str | None, template: Slot | None, wider: Slot | None = None) -> str:
+    """By the host's template, else by an article that the markup names, else by the site's template."""
     root = parse(html)
-    found = _by_template(root, template) if template else []
-    return "\n".join(blocks(found or _articles(root) or [root]))
+    found = (_by_template(root, template) if template else []) or _articles(root)
+    return "\n".join(blocks(found or (_by_template(root, wider) if wider else []) or [root]))
 
 
 def _by_template(root: Node, template: Slot) -> list[Node]:
@@ -386,7 +416,7 @@ def _by_template(root: Node, template: Slot) -> list[Node]:
                 node.kids = [k for k in node.kids if isinstance(k, Node) and k.tag not in _INLINE]
         for a, b in pairs(own, t):
             stack.append((a, b))
-            if t in way[:-1] and b.label.split(".")[0] in _HEADINGS and b.constant is None:
+            if t in way[:-1] and base(b.label).split(".")[0] in _HEADINGS and b.constant is None:
                 found.update(map(id, a.nodes))
     out, walk = [], [root]
     while walk:
@@ -422,9 +452,15 @@ def host_of(url: Column) -> Column:
     return lower_ascii(F.regexp_extract(rest, r"^[^/?#]*", 0))
 
 
+def site_of(host: Column) -> Column:
+    """``*.`` and the last two names of a host, so no host is called so."""
+    return F.concat(F.lit("*."), F.regexp_extract(host, r"[^.]*(?:\.[^.]*)?$", 0))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots): the slots of each host's pages, counted. Texts are counted before they are told
-    apart from each other, so a host that stands in every partition is spread over its texts."""
+    """(host, slots): the slots of each host's pages, counted, and of each site's, from the counts of its
+    hosts. Texts are counted before they are told apart from each other, so a host that stands in every
+    partition is spread over its texts."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for htmls in batches:
@@ -432,7 +468,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
     rows = F.pandas_udf(run, "array<struct<path:string,at:int,length:long,hash:long>>")
     each = pages.select(host_of(F.col("url")).alias("host"), F.explode(rows("html")).alias("x")).select("host", "x.*")
-    texts = each.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("at").alias("at"))
+    texts = cut(each.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("at").alias("at")), "page-texts")
+    few = texts.filter(F.col("path") == ROOT).groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") <= LEAST_PAGES).select(site_of(F.col("host")).alias("host")).distinct()
+    sites = texts.withColumn("host", site_of(F.col("host"))).join(few, "host", "left_semi")
+    texts = texts.unionByName(sites.groupBy("host", "path", "hash").agg(*[F.sum(c).alias(c) for c in ("n", "length", "at")]))
     slots = cut(texts.groupBy("host", "path").agg(
         F.sum("n").alias("pages"), F.sum("length").alias("length"), (F.sum("at") / F.sum("n")).alias("at"), F.max(F.struct("n", "hash")).alias("top")), "page-slots")
     whole = slots.filter(F.col("path") == ROOT).select("host", F.col("pages").alias("all"))
@@ -445,22 +484,26 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     known = cut(templates(pages), "page-templates")
     size = known.agg(F.sum(F.length("slots")).alias("n")).first()["n"] or 0
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         read: dict[str, Slot | None] = {}
-        for htmls, made in batches:
-            out = []
-            for html, t in zip(htmls, made):
-                if t and t not in read:
-                    if len(read) > 2000:
-                        read.clear()
-                    read[t] = template_of(json.loads(t))
-                out.append(extract(html, read[t] if t else None))
-            yield pd.Series(out, dtype="object")
+
+        def of(t: str | None) -> Slot | None:
+            if t and t not in read:
+                if len(read) > 2000:
+                    read.clear()
+                read[t] = template_of(json.loads(t))
+            return read[t] if t else None
+
+        for htmls, own, wider in batches:
+            yield pd.Series([extract(h, of(t), of(w)) for h, t, w in zip(htmls, own, wider)], dtype="object")
 
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    text = F.pandas_udf(run, "string")("html", "slots")
+    text = F.pandas_udf(run, "string")("html", "slots", "wider")
+    wider = known.withColumnsRenamed({"host": "site", "slots": "wider"})
+    small = size <= BROADCAST_BYTES
     return (
-        keyed.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
+        keyed.withColumn("site", site_of(F.col("host"))).join(F.broadcast(known) if small else known, "host", "left")
+        .join(F.broadcast(wider) if small else wider, "site", "left")
         .select("page_id", "url", text.alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )
