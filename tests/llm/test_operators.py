@@ -310,6 +310,17 @@ def test_template_and_markup_agree_where_names_tell(spark):
     assert len(got) == len(named) and equal >= 0.9 * len(named), (equal, len(named))
 
 
+def test_pages_and_urls_take_odd_rows(spark):
+    """Nulls, repeated rows, no tags, no rows and columns of the operators' own names: given values."""
+    rows = [(1, None, None), (2, "", ""), (None, "http://A.test/x", "plain  text"), (3, "no host", "<p>one</p><p>two &amp; three</p>"), (3, "no host", "<p>one</p><p>two &amp; three</p>"), (4, "x://" + "h" * 300 + "/" + "p" * 100_000, "<div>" * 200 + "deep" + "</div>" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as site", "'s' as slots", "'w' as wider", "0 as path", "'t' as token", "null as said")
+    got = sorted(((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in pages.extract_pages(df).collect()), key=lambda r: r[0])
+    assert got == [(0, rows[2][1], "plain text", 10), (1, None, "", 0), (2, "", "", 0), (3, "no host", "one\ntwo & three", 15), (3, "no host", "one\ntwo & three", 15), (4, rows[5][1], "deep", 4)]
+    found = sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in urls.judge(df).collect())
+    assert found == [(0, "a.test", 2, None, "allow"), (1, "", 0, None, "allow"), (2, "", 0, None, "allow"), (3, "", 0, None, "allow"), (3, "", 0, None, "allow"), (4, "h" * 300, 100_001, None, "allow")]
+    assert pages.extract_pages(df.filter("false")).count() == 0 and urls.judge(df.filter("false")).count() == 0
+
+
 def test_licenses():
     s = licenses.Scanner()
     assert s.scan("x Released under the MIT License. MIT license")[1:6] == (2, 4, 6, "mit", "mit")
