@@ -36,6 +36,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Rows of a few longs up to which a written table is broadcast (under 100 bytes each in memory); beyond, Spark shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast while it has few enough: what it meets is not shuffled."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def most_frequent(counted: DataFrame, n: int, count: str = "n") -> DataFrame:
     """The rows with the highest counts, n at most: those from a count on that a histogram of
     logarithms gives, so that no task sends the driver more than is kept. Read a written table here."""

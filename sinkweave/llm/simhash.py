@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import LOWER, UPPER, cut, fresh
+from sinkweave.llm.common import LOWER, UPPER, bounded, cut, fresh
 from sinkweave.llm.components import connected_components
 
 RADIUS = 3
@@ -184,9 +184,9 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     drop, text = fresh(docs, "drop"), fresh(docs, "drop_th")
     chosen = grouped.groupBy("group").agg(best).select(F.col("best.doc_id").alias("id"), F.col("best._th").alias("th"))
     others = grouped.select("doc_id", "_th").distinct().join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_anti")
-    # written, so that Spark knows its size: while it is small, whole documents are not shuffled
+    # written and counted: while it is small, whole documents are not shuffled
     gone = cut(others.select(F.col("doc_id").alias(drop), F.col("_th").alias(text)), "gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(drop)) & (F.xxhash64("text") == F.col(text)), "left_anti")
+    kept = docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col(drop)) & (F.xxhash64("text") == F.col(text)), "left_anti")
     if grouped.groupBy("doc_id", "_th").count().filter("count > 1").isEmpty():
         return kept
     row = F.struct(*docs.columns)

@@ -674,3 +674,66 @@ def test_deep_pages_keep_their_text():
     nest = "<div>" * 70 + "<p>Deep</p><script>var x</script><p>down</p>tail" + "</div>" * 70
     assert pages.extract(f"<div><article><p>First</p>{nest}<p>Last</p></article></div><footer>End</footer>", None) == "First\nDeep\ndown\ntail\nLast"
     assert pages.extract("<article>" + "<div>" * 70 + "<p>a<p>b<nav><p>Menu</p></nav></div>c" + "</div>" * 69 + "<p>d</article>e", None) == "a\nb\nc\nd"
+
+
+def _far(a, b, words):
+    return sum((int(x) ^ int(y)).bit_count() for x, y in zip(a[:words], b[:words]))
+
+
+def _meet(a, b):
+    return any((int(x) ^ int(y)).bit_count() <= 2 for k in range(resemblance.VIEWS) for x, y in [(resemblance._view_of(a[None], k)[0], resemblance._view_of(b[None], k)[0])])
+
+
+def test_near_copies_meet_by_balls_around_views(spark):
+    """The stage's candidates are the pairs within two bits in a view, by brute force over fingerprints."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 64, size=(20, resemblance.WORDS), dtype=np.uint64)
+    flips = [np.packbits(rng.random((6, 64 * resemblance.WORDS)) < p, axis=1, bitorder="little").view("<u8") for p in rng.choice([0.05, 0.15, 0.25], 20)]
+    prints = np.concatenate([c ^ f for c, f in zip(centres, flips)])
+    rows = [(k, 100, w.view(np.int64).tolist(), [], 0) for k, w in enumerate(prints)]
+    df = spark.createDataFrame(rows, "cls long, n int, words array<long>, few array<long>, crowd int")
+    every = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if _meet(prints[i], prints[j])}
+    near = {(i, j) for i, j in every if _far(prints[i], prints[j], 2) <= resemblance.NEAR_BITS}
+    some = [F.col("crowd"), F.col("words")[0].alias("one"), F.col("words")[1].alias("two")]
+    got = [tuple(r) for r in resemblance._paired(resemblance.emitted(df, some), "all").collect()]
+    assert len(got) == len(set(got)) and set(got) == near and near
+    # crowded sets: all pairs of different components, each met once
+    named = df.withColumn("component", (F.col("cls") % 3))
+    raw = [tuple(r) for r in resemblance.emitted(named, [F.col("component"), F.col("words")]).mapInArrow(resemblance._task("apart"), "a long, b long").collect()]
+    want = {(i, j) for i, j in every if i % 3 != j % 3 and _far(prints[i], prints[j], resemblance.WORDS) <= resemblance.SHARP_BITS}
+    assert set(raw) == want and want
+    close = {tuple(r) for r in resemblance.close(spark.createDataFrame(sorted(every), "a long, b long"), df).collect()}
+    assert close == {p for p in every if _far(prints[p[0]], prints[p[1]], resemblance.WORDS) <= resemblance.SHARP_BITS}
+
+
+def test_crowded_near_copies_equal_all_pairs(spark):
+    """One group around the bound: 300 copies of one text with 0 to 20 edits, and small texts, against all pairs."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(400), rng.randrange(21)):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    for k in range(60):
+        small = [f"s{k}y{i}" for i in range(rng.randrange(8, 14))]
+        texts += [" ".join(small), " ".join([*small, "more"])]
+    sets = [set(resemblance.shingles_of(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    start = docs(spark, list(enumerate(texts)))
+    classes = resemblance.grouped(start).collect()
+    assert len(classes) == len(texts)
+    assert {r["doc_id"] for r in resemblance.keep_one(start).collect()} == {find(i) for i in range(len(texts))}
