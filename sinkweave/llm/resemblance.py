@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinkweave.llm.common import bounded, cut
@@ -43,7 +43,7 @@ VIEWS, VIEW_BITS = 13, 18
 #: Most differing bits of the first two words and of all.
 NEAR_BITS, SHARP_BITS = 34, 374
 #: Sets are crowded that share views with so many others, beside what chance brings, over all views.
-CROWD = 6
+CROWD = 3
 #: Sets of up to so many shingles also meet by their smallest hashes.
 FEW = 20
 #: Members of a bucket up to which the nearest is looked for among all; in larger ones, beside in order of the first word.
@@ -115,10 +115,10 @@ def _views() -> Column:
 
 def crowded(classes: DataFrame) -> DataFrame:
     """``classes(cls, words)`` -> (cls): those that share many views with others, more than chance brings."""
-    views = cut(classes.select("cls", F.explode(_views()).alias("bucket")), "resemblance-views")
     chance = 2 * VIEWS * classes.count() // (1 << VIEW_BITS)
-    shared = views.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
-    return views.join(shared, "bucket").groupBy("cls").agg(F.sum("others").alias("others")).filter(F.col("others") > CROWD + chance).select("cls")
+    views = classes.select("cls", F.explode(_views()).alias("bucket"))
+    shared = views.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("bucket")) - 1)
+    return shared.groupBy("cls").agg(F.sum("others").alias("others")).filter(F.col("others") > CROWD + chance).select("cls")
 
 
 def emitted(classes: DataFrame, keep: list[Column], variants: bool = True) -> DataFrame:
@@ -295,8 +295,9 @@ def components(docs: DataFrame, marks: DataFrame) -> DataFrame:
     if not several:
         return found
     named = cut(classes.join(crowd, "cls").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "resemblance-named")
-    apart = _paired(emitted(named, [F.col("component"), F.col("words")]), "apart").join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(close(apart, classes), docs, classes))
+    # near by the whole SimHash already
+    apart = cut(_paired(emitted(named, [F.col("component"), F.col("words")]), "apart").join(pairs, ["a", "b"], "left_anti"), "resemblance-apart")
+    links = links.unionByName(verified(apart, docs, classes))
     return cut(connected_components(links).withColumnRenamed("id", "cls"), "resemblance-components")
 
 
