@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sinkweave.llm.common import WORD, WORD_ANY_CASE, cut, fresh, let, lower_ascii
+from sinkweave.llm.common import WORD, cut, fresh, let, lower_ascii
 
 SPAN = 13
 K = 7
@@ -25,6 +25,8 @@ W = SPAN - K + 1
 #: Low bits of a fingerprint hold the place, the others the hash.
 PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
+#: Marks the row of a text with its number of words.
+COUNT = -1
 #: Up to so many fingerprints of the benchmark are broadcast (24 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Up to so many bytes of items' words are broadcast.
@@ -61,14 +63,15 @@ def whole_grams(tokens: Column, length: int) -> Column:
     return F.when(F.size(tokens) >= length, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def _exploded(df: DataFrame, tokens: Column, short: list[int], keep: list[str]) -> DataFrame:
-    """One row per fingerprint: n (0: winnowed, else the length of short items), fp, place. All lengths
-    come from one reading of a text."""
+def _exploded(df: DataFrame, tokens: Column, short: list[int], keep: list[str], counted: bool = False) -> DataFrame:
+    """One row per fingerprint: n (0: winnowed, else the length of short items), fp, place; if ``counted``
+    one more per text, n COUNT and place its number of words. All come from one reading of a text."""
 
     def marked(n: int, packed: Column) -> Column:
         return F.transform(packed, lambda p: F.struct(F.lit(n).alias("n"), p.alias("p")))
 
-    every = F.concat(marked(0, fingerprints(tokens)), *[marked(m, whole_grams(tokens, m)) for m in short])
+    count = marked(COUNT, F.array(F.size(tokens).cast("long")))
+    every = F.concat(*[count] * counted, marked(0, fingerprints(tokens)), *[marked(m, whole_grams(tokens, m)) for m in short])
     return df.select(*keep, F.explode(every).alias("_x")).select(*keep, "_x.n", F.shiftright("_x.p", PLACE_BITS).alias("fp"), F.col("_x.p").bitwiseAND(PLACE).cast("int").alias("place"))
 
 
@@ -102,9 +105,12 @@ def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
     tokens = keyed.select("_id", "_th", words(F.col("text")).alias("w"))
-    found = _exploded(tokens, F.col("w"), short, ["_id", "_th"])
+    # one reading of the texts: a row of each document with its number of words, and its fingerprints that items have
+    found = _exploded(tokens, F.col("w"), short, ["_id", "_th"], counted=True).join(bounded(marks), ["n", "fp"], "left")
+    found = found.filter(F.col("ik").isNotNull() | (F.col("n") == COUNT))
+    found = cut(found.select("_id", "_th", "ik", "place", "iplace"), "bench-found")
     diagonals = (
-        found.join(bounded(marks), ["n", "fp"])
+        found.filter("ik is not null")
         .select("_id", "_th", "ik", (F.col("place") - F.col("iplace")).alias("shift"))
         .distinct()
         .groupBy("_id", "_th")
@@ -112,10 +118,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     diagonals = cut(diagonals, "bench-diagonals")
     hits = cut(_extend(keyed, diagonals, items, bounded), "bench-hits")
-    base = docs.select(
-        "doc_id", F.xxhash64("text").alias("_th"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-    )
+    base = found.filter("ik is null").select(F.col("_id").alias("doc_id"), "_th", F.col("place").cast("long").alias("n_words"))
     joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (base["_th"] == hits["_th"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(

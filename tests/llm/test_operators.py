@@ -737,3 +737,21 @@ def test_crowded_near_copies_equal_all_pairs(spark):
     classes = resemblance.grouped(start).collect()
     assert len(classes) == len(texts)
     assert {r["doc_id"] for r in resemblance.keep_one(start).collect()} == {find(i) for i in range(len(texts))}
+
+
+def test_decontamination_reads_each_text_once(spark):
+    """Words are counted where they are taken: only documents with a candidate are read a second time."""
+    start = docs(spark, [(1, "Ein Wort, zwei Wörter"), (1, "Ein Wort, zwei Wörter"), (None, None), (2, " ".join(f"q{k}" for k in range(20)))])
+    out = decontaminate.contamination(start, spark.createDataFrame([("i", " ".join(f"Q{k}" for k in range(3, 18))), ("j", "zwei")], "item_id string, text string"))
+    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in out.collect())))
+    assert got == sorted(map(str, [(1, 4, 1, 1, True), (1, 4, 1, 1, True), (None, 0, 0, 0, False), (2, 20, 15, 1, True)]))
+    assert "text" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_those_of_the_contract(spark):
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(128, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(400)) for _ in range(20)]
+    texts.append("".join(map(chr, range(0x180))))
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", decontaminate.words(F.col("text")).alias("w")).collect()
+    for r in got:
+        assert r["w"] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["k"]]))
