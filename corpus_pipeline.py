@@ -6,12 +6,18 @@ return the columns of documents. Each result is written as Parquet before the ne
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinkweave.llm import bpe, decontaminate, pii, resemblance, toxicity
 from sinkweave.llm.common import cut, table
 
+#: Rows go to and from Python workers in batches of so many bytes: by rows alone (10,000) a batch of texts has
+#: up to 64 MB, and what the workers of one stage took stays with the executor in the next.
+BATCH_BYTES = 2 << 20
+
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -39,12 +45,23 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest(docs)
 
 
+def in_small_batches(stage):
+    """``stage`` in a session whose Arrow batches have BATCH_BYTES at most. Results are read later, so the setting stays."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", civil),
-    ("near_dedup", distinct_enough),
-    ("decontamination", uncontaminated),
-    ("pii", without_personal_data),
-    ("bpe", encoded),
+    ("toxicity", in_small_batches(civil)),
+    ("near_dedup", in_small_batches(distinct_enough)),
+    ("decontamination", in_small_batches(uncontaminated)),
+    ("pii", in_small_batches(without_personal_data)),
+    ("bpe", in_small_batches(encoded)),
 ]
 
 #: SQL can express neither the classifier nor the merges.

@@ -10,9 +10,10 @@ are coarse, also meet by their smallest hashes, of which two of similarity 0.8 s
 
 Texts with one set are one class and are folded before anything is emitted. Where many sets share
 views as they are, as large groups of near copies do, these crowded sets are first linked, in each
-view, to a central one and to their nearest one. Then they emit all variants with the whole SimHash,
-and all pairs that meet and are not yet connected are compared, so a group that hangs together stays
-linear and no pair that meets is left out.
+view, to a central one and to their nearest one. Then all pairs that meet and are not yet connected
+are compared by the whole SimHash: each view of a connected group emits its variants once, and sets
+go only to variants where several groups meet. So a group that hangs together stays linear and no
+pair that meets is left out.
 
 Defined results: words are split on ASCII white space, A-Z lower-cased; a text of fewer than five
 words is one shingle; null, empty and wordless texts are copies of each other; an empty table gives
@@ -113,6 +114,10 @@ def _views() -> Column:
     return F.array(*[_view(k) for k in range(VIEWS)])
 
 
+def _flips(variants: bool = True) -> Column:
+    return F.array(*[F.lit(f) for f in [0] + [1 << b for b in range(VIEW_BITS if variants else 0)]])
+
+
 def crowded(classes: DataFrame) -> DataFrame:
     """``classes(cls, words)`` -> (cls): those that share many views with others, more than chance brings."""
     chance = 2 * VIEWS * classes.count() // (1 << VIEW_BITS)
@@ -126,13 +131,28 @@ def emitted(classes: DataFrame, keep: list[Column], variants: bool = True) -> Da
     one bit, ``flip`` the bit, and the smallest hashes of small sets."""
     kept = classes.select("cls", *keep, _views().alias("views"), "few")
     own = ["cls", *kept.columns[1:-2]]
-    flips = F.array(*[F.lit(f) for f in [0] + [1 << b for b in range(VIEW_BITS if variants else 0)]])
-    views = kept.select(*own, F.explode("views").alias("view")).select(*own, "view", F.explode(flips).alias("flip"))
+    views = kept.select(*own, F.explode("views").alias("view")).select(*own, "view", F.explode(_flips(variants)).alias("flip"))
     views = views.select(F.col("view").bitwiseXOR(F.col("flip").cast("long")).alias("bucket"), "flip", *own)
     few = kept.select(F.explode("few").alias("bucket"), F.lit(0).alias("flip"), *own)
     return views.unionByName(few).repartition("bucket").sortWithinPartitions("bucket")
 
 
+def mixed(named: DataFrame) -> DataFrame:
+    """``named(cls, component, words, few)`` -> (bucket, flip, cls, component, words): the rows of ``emitted``
+    whose buckets hold several components. Variants are made once for each view that a component has,
+    so a group that hangs together makes as few rows as it has different views."""
+    views = named.select("cls", "component", "words", F.explode(_views()).alias("view"), F.lit(False).alias("small"))
+    own = views.unionByName(named.select("cls", "component", "words", F.explode("few").alias("view"), F.lit(True).alias("small")))
+    has = ["component", "view", "small"]
+    flips = F.when(F.col("small"), F.array(F.lit(0))).otherwise(_flips())
+    balls = own.select(*has).distinct().select(*has, F.explode(flips).alias("flip"))
+    balls = cut(balls.select(F.col("view").bitwiseXOR(F.col("flip").cast("long")).alias("bucket"), "flip", *has), "resemblance-balls")
+    several = balls.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    met = cut(balls.join(several.select("bucket"), "bucket"), "resemblance-met")
+    rows = own.join(bounded(met), has).select("bucket", "flip", "cls", "component", "words")
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def _here(bucket, flip, i, j):
     """Whether the bucket is the one of its view where rows i and j count as a pair."""
     other = flip[i] ^ flip[j]
@@ -296,7 +316,7 @@ def components(docs: DataFrame, marks: DataFrame) -> DataFrame:
         return found
     named = cut(classes.join(crowd, "cls").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "resemblance-named")
     # near by the whole SimHash already
-    apart = cut(_paired(emitted(named, [F.col("component"), F.col("words")]), "apart").join(pairs, ["a", "b"], "left_anti"), "resemblance-apart")
+    apart = cut(_paired(mixed(named), "apart").join(pairs, ["a", "b"], "left_anti"), "resemblance-apart")
     links = links.unionByName(verified(apart, docs, classes))
     return cut(connected_components(links).withColumnRenamed("id", "cls"), "resemblance-components")
 

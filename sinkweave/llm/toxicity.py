@@ -188,29 +188,41 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _sentences(text: str) -> list[list[str]]:
+def _sentences(text: str, words: dict[str, str]) -> list[list[str]]:
+    """``words`` keeps each word once, however often texts repeat it."""
     out: list[list[str]] = [[]]
     for t in tokens(text):
         if _is_end(t):
             out.append([])
         else:
-            out[-1].append(f"^{_plain(t)}$")
+            word = f"^{_plain(t)}$"
+            out[-1].append(words.setdefault(word, word))
     return [s for s in out if s]
 
 
+def _stems(sentences: list[list[str]]) -> set[str]:
+    own = {w for s in sentences for w in s}
+    return {w[: n + 1] for w in own for n in STEM_LENGTHS if n + 2 <= len(w)} | {w for w in own if len(w) >= STEM_LENGTHS[0] + 2}
+
+
 def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> list[str]:
     """Stems by greedy cover of the toxic documents; clean ones count against them."""
     where: dict[str, set[int]] = defaultdict(set)
-    clean: Counter[str] = Counter()
+    toxic: Counter[str] = Counter()
+    for sentences, label in docs:
+        if label:
+            toxic.update(_stems(sentences))
+    often = {s for s, n in toxic.items() if n >= 3}
+    del toxic  # most stems are rare: only the others get sets
     for k, (sentences, label) in enumerate(docs):
-        own = {w for s in sentences for w in s}
-        stems = {w[: n + 1] for w in own for n in STEM_LENGTHS if n + 2 <= len(w)} | {w for w in own if len(w) >= STEM_LENGTHS[0] + 2}
         if label:
-            for s in stems:
+            for s in _stems(sentences) & often:
                 where[s].add(k)
-        else:
-            clean.update(stems)
-    where = {s: ks for s, ks in where.items() if len(ks) >= 3 and len(ks) > 4 * clean[s]}
+    clean: Counter[str] = Counter()  # of those stems only
+    for sentences, label in docs:
+        if not label:
+            clean.update(s for s in _stems(sentences) if s in where)
+    where = {s: ks for s, ks in where.items() if len(ks) > 4 * clean[s]}
     chosen: list[str] = []
     covered: Counter[int] = Counter()
     while where and len(chosen) < N_LANDMARKS:
@@ -236,8 +248,9 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4,
     penalty[-1] *= 1e-3
     for _ in range(rounds):
         active = y * (x @ w) < 1
-        xa = x[active] * weight[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + np.diag(penalty), xa.T @ y[active])
+        own = x[active]
+        xa = own * weight[active, None]
+        new = np.linalg.solve(xa.T @ own + np.diag(penalty), xa.T @ y[active])
         done = np.allclose(new, w, atol=1e-6)
         w = new
         if done:
@@ -263,7 +276,8 @@ def _sigmoid(decision: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tup
 
 def fit(texts: list[tuple[str, int]], toxic_share: float, rounds: int = 5) -> Model:
     """A model from labelled texts; toxic_share is that of all labelled rows."""
-    docs = [(_sentences(t), y) for t, y in texts]
+    words: dict[str, str] = {}
+    docs = [(_sentences(t, words), y) for t, y in texts]
     if {y for _, y in docs} != {0, 1}:
         return Model(None, constant=toxic_share)
     landmarks = choose_landmarks(docs)
@@ -273,18 +287,21 @@ def fit(texts: list[tuple[str, int]], toxic_share: float, rounds: int = 5) -> Mo
     size, basis = np.linalg.eigh(kernel.inner)
     keep = size > 1e-6 * size.max()
     whiten = basis[:, keep] / np.sqrt(size[keep])
-    vocabulary = sorted({w for sentences, _ in docs for s in sentences for w in s})
-    place = {w: k for k, w in enumerate(vocabulary)}
-    at_word = np.concatenate([kernel(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
+    vocabulary = sorted(words)
+    at_word: dict[str, np.ndarray] = {}  # of words near a landmark
+    for k in range(0, len(vocabulary), 20_000):
+        got = kernel(vocabulary[k : k + 20_000])
+        at_word.update((vocabulary[k + i], got[i].copy()) for i in np.flatnonzero(got.any(axis=1)).tolist())
     # sentences near no landmark are alike: one row for all of a document's
     phi, owner = [], []
     for k, (sentences, _) in enumerate(docs):
-        rows = [at_word[[place[w] for w in s]].sum(axis=0) for s in sentences]
-        rows = [r for r in rows if r.any()] + [np.zeros(len(landmarks), np.float32)] * (not rows or any(not r.any() for r in rows))
+        near = [[at_word[w] for w in s if w in at_word] for s in sentences]
+        rows = [np.array(s).sum(axis=0) for s in near if s] + [np.zeros(len(landmarks), np.float32)] * (not all(near) or not near)
         phi += rows
         owner += [k] * len(rows)
-    x, owner = np.array(phi, dtype=np.float32) @ whiten, np.array(owner)
-    near = np.array(phi, dtype=np.float32).max(axis=1)
+    phi = np.array(phi, dtype=np.float32)
+    x, owner, near = phi @ whiten, np.array(owner), phi.max(axis=1)
+    del phi, at_word, vocabulary, words
     label = np.array([y for _, y in docs])
     clean = np.flatnonzero(label[owner] == 0)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
