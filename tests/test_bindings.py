@@ -10,7 +10,7 @@ def plan_of(spark, name: str) -> str:
     return registry.queries()[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["delete_marks"])
+@pytest.mark.parametrize("name", ["delete_marks", "apply_status"])
 def test_decisions_meet_files_by_key(spark, name):
     plan = plan_of(spark, name)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
