@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinkweave.functions.text import content_hash
-from sinkweave.operators import taint
 from sinkweave.streaming import state
 
 
@@ -47,21 +46,26 @@ def fold_decisions(marks: DataFrame, decisions: DataFrame) -> DataFrame:
     manual confirms it, or adds one at the place that its id names. Any split of a log into batches
     that keeps its order gives the same marks."""
     at = F.struct("ts", "seq")
-    gone = decisions.filter("action = 'delete'").groupBy("id").agg(F.max(at).alias("_gone"))
-    after = decisions.withColumn("_at", at).join(gone, "id", "left").filter("_gone is null or _at > _gone").drop("_gone")
-    kept = taint.delete_marks(marks, gone)
-    added = after.filter("action = 'manual'").groupBy("id").agg(F.min("_at").alias("_from"))
-    there = kept.select("id", F.lit(True).alias("_there"))
-    told = after.join(there, "id", "left").join(added, "id", "left").filter("_there or _at >= _from").drop("_there", "_from", "_at")
-    by_hand = told.filter("action = 'manual'").groupBy("id").agg(F.max_by("author", at).alias("author"), F.max("ts").cast("string").alias("time"))
-    none = F.lit(None).cast("string")
-    place = r"^([^:]*):(.*):([0-9]+)$"
-    rows = by_hand.select(
-        F.regexp_extract("id", place, 1).alias("kind"), F.regexp_extract("id", place, 2).alias("file"), F.regexp_extract("id", place, 3).cast(kept.schema["line"].dataType).alias("line"),
-        none.alias("symbol"), none.alias("anchor"), "author", "time")
-    whole = kept.withColumns({c: none for c in ("symbol", "anchor", "category", "cwe", "rule_id", "note", "author", "time") if c not in kept.columns})
-    out = taint.apply_manual_marks(whole, rows)
-    return taint.apply_status(out, told.withColumn("action", F.when(F.col("action") == "manual", "confirm").otherwise(F.col("action"))))
+    is_ = lambda *actions: F.col("action").isin(*actions)
+    # what is last of all is last after the delete too, or nothing is: each id is one row of the log, in one pass
+    folded = decisions.filter("id is not null").groupBy("id").agg(
+        F.max(F.when(is_("delete"), at)).alias("_gone"), F.max(F.when(is_("confirm", "exclude", "restore", "manual"), F.struct(at.alias("at"), "action"))).alias("_last"),
+        F.max(F.when(is_("confirm", "manual"), F.struct(at.alias("at"), "author"))).alias("_by"), F.max(F.when(is_("manual"), F.struct(at.alias("at"), "author"))).alias("_hand"))
+    after = {c: F.when(F.col("_gone").isNull() | (F.col(f"{c}.at") > F.col("_gone")), F.col(c)) for c in ("_last", "_by", "_hand")}
+    folded = folded.select("id", F.col("_gone").isNotNull().alias("_deleted"), *[v.alias(c) for c, v in after.items()])
+    kinds = {f.name: f.dataType for f in marks.schema}
+    names = [*marks.columns, *[c for c in ("symbol", "anchor", "category", "cwe", "rule_id", "note", "author", "time") if c not in kinds]]
+    both = marks.select("id", F.struct(*marks.columns).alias("_m")).join(folded, "id", "full").withColumn("_m", F.when(~F.coalesce("_deleted", F.lit(False)), F.col("_m")))
+    by_hand, place = F.col("_hand").isNotNull(), r"^([^:]*):(.*):([0-9]+)$"
+    own = {c: F.col(f"_m.{c}") if c in kinds else F.lit(None).cast("string") for c in names}
+    made = {
+        "kind": F.regexp_extract("id", place, 1), "status": F.lit("confirmed"), "origin": F.lit("manual"), "file": F.regexp_extract("id", place, 2), "line": F.regexp_extract("id", place, 3).cast(kinds["line"]),
+        "author": F.col("_hand.author"), "time": F.col("_hand.at.ts").cast("string")} | {c: own[c] for c in ("symbol", "anchor", "category", "cwe", "rule_id", "note")}
+    told = own | {c: F.when(by_hand, made.get(c)).otherwise(own[c]) for c in names}
+    action = F.col("_last.action")
+    told["status"] = F.when(action.isin("confirm", "manual"), "confirmed").when(action == "exclude", "excluded").when(action == "restore", "candidate").otherwise(told["status"])
+    told["author"], told["time"] = F.coalesce("_by.author", told["author"]), F.coalesce(F.col("_by.at.ts").cast("string"), told["time"])
+    return both.filter(F.col("_m").isNotNull() | by_hand).select(*[F.col("id") if c == "id" else told[c].alias(c) for c in names])
 
 
 def stream_decisions(decisions: DataFrame, marks_path: str, checkpoint: str, **trigger):
