@@ -1,6 +1,7 @@
 """Look-ups and the scan's summary against brute force, and what their plans move."""
 
 import random
+import re
 
 from sinkweave.operators import lookup
 
@@ -24,3 +25,10 @@ def test_places_are_counted_not_sorted_for(spark):
     assert sorted((r["req"], r["id"], r["place"]) for r in found.collect()) == sorted(want)
     plan = _plan(found)
     assert plan.index("Join") < plan.index("Window")  # ranked before requests and definitions meet
+
+
+def test_runs_of_a_file_move_as_one_row(spark):
+    files = spark.createDataFrame([(0, "a", "needle here"), (1, "b", "need the eedle")], "file_seq int, file string, content string")
+    read = lookup.files_to_read(spark.createDataFrame([("needle",), ("zzzz",)], "query string"), files, lookup.text_postings(files))
+    assert sorted(map(tuple, read.collect())) == [("needle", "a"), ("needle", "b")]
+    assert not re.search(r"Join Inner, \([^\n]*file#\d+ = file#\d+\) AND \(gram#|Join Inner, \([^\n]*gram#\d+ = gram#\d+\) AND \(file#", _plan(read))
