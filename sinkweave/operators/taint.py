@@ -72,6 +72,12 @@ def dedup_marks(hits: DataFrame) -> DataFrame:
     return hits.groupBy("file_seq", "file", "kind", "line").agg(best).select("file_seq", "file", "kind", "line", "h.*")
 
 
+def scan_ids(lines: DataFrame, calls: DataFrame, rule_rows: DataFrame, rules=RULES) -> DataFrame:
+    """The marks of ``scan_taint`` as (id, status, origin), which no symbol changes."""
+    marks = dedup_marks(scan_calls(calls, rule_rows).unionByName(scan_lines(lines, rules)))
+    return marks.select(mark_id(F.col("kind"), F.col("file"), F.col("line")).alias("id"), F.lit("candidate").alias("status"), F.lit("scan").alias("origin"))
+
+
 def scan_taint(lines: DataFrame, calls: DataFrame, symbols: DataFrame, rule_rows: DataFrame, rules=RULES, now: str = "") -> DataFrame:
     """TNT-5. Calls and lines scanned, deduplicated, and anchored to their enclosing symbols."""
     marks = dedup_marks(scan_calls(calls, rule_rows).unionByName(scan_lines(lines, rules)))

@@ -3,7 +3,7 @@
 import random
 import re
 
-from sinkweave.operators import lookup
+from sinkweave.operators import lookup, rules, taint
 
 
 def _plan(df) -> str:
@@ -32,3 +32,14 @@ def test_runs_of_a_file_move_as_one_row(spark):
     read = lookup.files_to_read(spark.createDataFrame([("needle",), ("zzzz",)], "query string"), files, lookup.text_postings(files))
     assert sorted(map(tuple, read.collect())) == [("needle", "a"), ("needle", "b")]
     assert not re.search(r"Join Inner, \([^\n]*file#\d+ = file#\d+\) AND \(gram#|Join Inner, \([^\n]*gram#\d+ = gram#\d+\) AND \(file#", _plan(read))
+
+
+def test_marks_are_counted_without_symbols(spark):
+    calls = spark.createDataFrame([(0, "a.c", "c", 1, 0, "gets"), (0, "a.c", "c", 2, 0, "gets"), (0, "p.py", "python", 1, 3, "eval")], "file_seq long, file string, language_id string, call_seq long, line int, callee string")
+    lines = spark.createDataFrame([(0, "a.js", "javascript", 1, "xreq.query"), (0, "a.js", "javascript", 2, " req.query.id")], "file_seq long, file string, language_id string, line int, text string")
+    symbols = spark.createDataFrame([("a.c#f@0", "f", "a.c", 0, 0, 9), ("a.c#g@0", "g", "a.c", 1, 0, 5)], "id string, name string, file string, sym_seq int, start_line int, end_line int")
+    whole = taint.scan_taint(lines, calls, symbols, rules.rules_table(spark)).select("id", "status", "origin").collect()
+    assert whole and sorted(taint.scan_ids(lines, calls, rules.rules_table(spark)).collect()) == sorted(whole)
+    old = spark.createDataFrame([(whole[0]["id"], "confirmed", "scan"), ("sink:gone:1", "candidate", "manual")], "id string, status string, origin string")
+    ids = taint.scan_ids(lines, calls, rules.rules_table(spark))
+    assert tuple(taint.scan_summary(ids, taint.merge_candidates(old, ids)).first()) == (len(whole), len(whole) - 1)
